@@ -84,9 +84,10 @@ def rank_by_bucket(df: DataFrame, keys: Sequence[str], bucket: Column, order: Se
     counts = with_bucket.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     earlier = (Window.partitionBy(*keys).orderBy("_bucket")
                .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(*group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    offsets = counts.select(*[F.col(c).alias("_k_" + c) for c in group],
+                            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     inside = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
     return (with_bucket.withColumn("_inside", inside)
-            .join(offsets, group)
+            .join(offsets, [F.col(c).eqNullSafe(F.col("_k_" + c)) for c in group])
             .withColumn(name, F.col("_offset") + F.col("_inside"))
             .select(*df.columns, name))

@@ -85,10 +85,14 @@ def lift(nodes: DataFrame, folds: Mapping[str, str] | None = None) -> Lifted:
 
 
 def reply_nodes(messages: DataFrame, extra: Mapping[str, Column] | None = None) -> DataFrame:
-    """Non-source messages as ``lift`` input: a direct reply to the source is a top node."""
+    """Non-source messages as ``lift`` input: a direct reply to the source is a top node.
+
+    A reply without any parent pointer hangs on nothing and so becomes an orphan.
+    """
+    inner = ~F.col("parent_id").eqNullSafe(F.col("source_id"))
     return (messages.where("not is_source")
             .select(F.col("source_id").alias("scope"), F.col("msg_id").alias("node"),
-                    F.when(F.col("parent_id") != F.col("source_id"), F.col("parent_id")).alias("parent"),
+                    F.when(inner, F.coalesce("parent_id", F.lit(""))).alias("parent"),
                     *[c.alias(n) for n, c in (extra or {}).items()]))
 
 
