@@ -109,9 +109,10 @@ def log_likelihood(model: Hmm, obs: Column) -> Column:
 
 def score(seqs: DataFrame, models: Sequence[Hmm], branch: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """``lls``: array of (label, ll) per branch. Branches kept in several parts are put together
-    from one small matrix per part; all others are scored row by row without a shuffle."""
+    from one small matrix per part; all others are scored row by row without a shuffle. ``seqs`` is
+    looked at twice, so pass a table."""
     entries = lambda value: F.array(*[F.struct(F.lit(m.label).alias("label"), value(m).alias("ll")) for m in models])
-    if "part" not in seqs.columns:
+    if "part" not in seqs.columns or not seqs.where("part > 0").take(1):
         return seqs.select(*branch, *keep, entries(lambda m: log_likelihood(m, F.col("obs"))).alias("lls"))
     split = seqs.where("part > 0").select(*branch).distinct()
     single = (seqs.join(split, list(branch), "left_anti")
@@ -319,9 +320,10 @@ def fit(seqs: DataFrame, states: int = 2, kind: str = "gaussian", timestamps: bo
         seqs = seqs.withColumn("keys", F.array(F.concat(F.lit("all|"), F.col("veracity").cast("string"))))
     if "part" not in seqs.columns:
         seqs = seqs.withColumn("part", F.lit(0))
-    rows = seqs.withColumn("stance", F.transform("obs", lambda o: o["stance"])).withColumn(
+    rows = durable(seqs.withColumn("stance", F.transform("obs", lambda o: o["stance"])).withColumn(
         "t", F.transform("obs", lambda o: o["t"]) if width > 1 else F.lit(None).cast("array<double>"))
-    multi = durable(rows.where("part > 0").select(*branch).distinct())
+        .select(*branch, "part", "keys", "stance", "t"))
+    multi = rows.where("part > 0").select(*branch).distinct()
     has_long = bool(multi.take(1))
     short = rows.join(multi, list(branch), "left_anti") if has_long else rows
     short = durable(short.groupBy("keys", "stance", "t").agg(F.count(F.lit(1)).cast("double").alias("weight")))

@@ -27,7 +27,8 @@ COMBINE = {
 class Lifted:
     """Result of pointer doubling.
 
-    ``placed``: one row per node with its ``top`` (last node before the stop), ``depth`` and path folds.
+    ``placed``: one row per node with its ``top`` (last node before the stop), ``depth``, ``is_leaf``
+    and path folds.
     ``jumps[k]``: node -> its 2^k-th ancestor. ``unplaced``: nodes that hang on a missing parent
     (``orphan``) or on a circle of replies (``cycle``).
     """
@@ -45,9 +46,12 @@ def lift(nodes: DataFrame, folds: Mapping[str, str] | None = None) -> Lifted:
     which gives a path-wide value without a window and without listing the path.
     """
     folds = dict(folds or {})
-    active = durable(nodes.select(
+    parents = (nodes.where("parent is not null").select("scope", F.col("parent").alias("node"))
+               .distinct().withColumn("_answered", F.lit(True)))
+    active = durable(nodes.join(parents, ["scope", "node"], "left").select(
         "scope", "node", F.col("parent").alias("up"), F.col("node").alias("top"),
-        F.lit(1).cast("long").alias("depth"), F.lit(False).alias("orphan"), *folds))
+        F.lit(1).cast("long").alias("depth"), F.lit(False).alias("orphan"),
+        F.col("_answered").isNull().alias("is_leaf"), *folds))
     finished = [active.where("up is null")]
     active = active.where("up is not null")
     jumps: list[DataFrame] = []
@@ -57,7 +61,8 @@ def lift(nodes: DataFrame, folds: Mapping[str, str] | None = None) -> Lifted:
         seen = active
         for part in finished:
             seen = seen.unionByName(part)
-        seen = seen.select(
+        # Nobody points at a leaf, so the looked-up side is the inner nodes only.
+        seen = seen.where("not is_leaf").select(
             F.col("scope").alias("_s"), F.col("node").alias("_n"),
             *[F.col(c).alias("_" + c) for c in ("up", "top", "depth", "orphan", *folds)])
         found = F.col("_n").isNotNull()
@@ -67,7 +72,7 @@ def lift(nodes: DataFrame, folds: Mapping[str, str] | None = None) -> Lifted:
                 "scope", "node", F.col("_up").alias("up"),
                 F.when(found, F.col("_top")).otherwise(F.col("top")).alias("top"),
                 F.when(found, F.col("depth") + F.col("_depth")).otherwise(F.col("depth")).alias("depth"),
-                F.when(found, F.col("_orphan")).otherwise(F.lit(True)).alias("orphan"),
+                F.when(found, F.col("_orphan")).otherwise(F.lit(True)).alias("orphan"), "is_leaf",
                 *[F.when(found, COMBINE[how](F.col(c), F.col("_" + c))).otherwise(F.col(c)).alias(c)
                   for c, how in folds.items()]))
         finished.append(step.where("up is null"))
@@ -96,11 +101,6 @@ def reply_nodes(messages: DataFrame, extra: Mapping[str, Column] | None = None)
                     *[c.alias(n) for n, c in (extra or {}).items()]))
 
 
-def _with_leaf_flag(nodes: DataFrame, placed: DataFrame) -> DataFrame:
-    parents = nodes.where("parent is not null").select("scope", F.col("parent").alias("node")).distinct()
-    return placed.join(parents, ["scope", "node"], "left_anti")
-
-
 def expand(leaves: DataFrame, jumps: list[DataFrame], carry: list[str]) -> DataFrame:
     """All (leaf, ancestor-or-self) pairs from leaf rows with scope, node.
 
@@ -122,9 +122,8 @@ def expand(leaves: DataFrame, jumps: list[DataFrame], carry: list[str]) -> DataF
 def branches(messages: DataFrame, folds: Mapping[str, tuple[str, Column]] | None = None) -> DataFrame:
     """One row per branch: source_id, leaf_id, branch_len and the path folds; no expansion."""
     folds = folds or {}
-    nodes = durable(reply_nodes(messages, {n: c for n, (_, c) in folds.items()}))
-    lifted = lift(nodes, {n: how for n, (how, _) in folds.items()})
-    return (_with_leaf_flag(nodes, lifted.placed)
+    lifted = lift(reply_nodes(messages, {n: c for n, (_, c) in folds.items()}), {n: how for n, (how, _) in folds.items()})
+    return (lifted.placed.where("is_leaf")
             .select(F.col("scope").alias("source_id"), F.col("node").alias("leaf_id"),
                     F.col("depth").alias("branch_len"), *folds))
 
@@ -139,9 +138,8 @@ def branch_members(messages: DataFrame, folds: Mapping[str, tuple[str, Column]]
     ``order`` (default: arrival time, then id).
     """
     folds = folds or {}
-    nodes = durable(reply_nodes(messages, {n: c for n, (_, c) in folds.items()}))
-    lifted = lift(nodes, {n: how for n, (how, _) in folds.items()})
-    leaves = _with_leaf_flag(nodes, lifted.placed).withColumnRenamed("depth", "branch_len")
+    lifted = lift(reply_nodes(messages, {n: c for n, (_, c) in folds.items()}), {n: how for n, (how, _) in folds.items()})
+    leaves = lifted.placed.where("is_leaf").withColumnRenamed("depth", "branch_len")
     if index:
         leaves = durable(_index_leaves(messages, leaves, lifted.jumps, order or ["created", "msg_id"], max_group))
     if keep is not None:

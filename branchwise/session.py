@@ -47,11 +47,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and read it from there afterwards.
+    """Write ``df`` to a new table in the shared folder and read it from there afterwards.
 
-    Cuts the lineage of iterative plans; a lost executor re-reads files and recomputes nothing.
+    Cuts the lineage of iterative plans; a lost executor re-reads files and recomputes nothing. Later
+    steps read only the columns they use and plan their joins by the real size of the files.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,6 +16,8 @@ SELECT conv_id, turn,
        CASE WHEN turn = 0 THEN NULL ELSE CAST(FLOOR((turn - 1) / 2.0) AS BIGINT) END AS parent_turn,
        concat('m', CAST(conv_id AS STRING), '_', CAST(turn AS STRING)) AS msg_id,
        CAST((conv_id * 5 + turn * turn * 3 + turn) % 4 AS INT) AS sdqc,
+       CASE WHEN turn > 0 THEN CAST((conv_id * 5 + CAST(FLOOR((turn - 1) / 2.0) AS BIGINT) * CAST(FLOOR((turn - 1) / 2.0) AS BIGINT) * 3
+                                     + CAST(FLOOR((turn - 1) / 2.0) AS BIGINT)) % 4 AS INT) END AS parent_sdqc,
        CAST(conv_id % 3 AS INT) AS truth,
        1704067200 + conv_id * 86400 + turn * turn * 437 AS created_s,
        concat(text, CASE turn % 4
@@ -45,7 +47,8 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("turn") == 0).alias("is_source"),
         F.col("text").alias("text_raw"), masked.alias("text"), tx.word_tokens(masked).alias("tokens"),
         F.timestamp_seconds("created_s").alias("created"),
-        stance_name(F.col("sdqc")).alias("sdqc"), veracity_name(F.col("truth")).alias("truth"))
+        stance_name(F.col("sdqc")).alias("sdqc"), stance_name(F.col("parent_sdqc")).alias("sdqc_parent"),
+        veracity_name(F.col("truth")).alias("truth"))
 
 
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
