@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Masking tags and patterns that must equal those behind the stored feature tables.
 URL_TAG = "urlurlurl"
@@ -47,6 +47,17 @@ def mask_reddit(text: Column, quotes: bool = True) -> Column:
     return F.regexp_replace(strip_newlines(text), REDDIT_URL, URL_TAG)
 
 
+def explode_terms(df: DataFrame, key: list[str], terms: Column, name: str = "term", keep_empty: bool = False) -> DataFrame:
+    """One row per term. The outer form is used on purpose: for the inner one the optimiser adds a
+    filter that computes ``terms`` again, a whole tokenisation more per row."""
+    rows = df.select(*key, F.explode_outer(terms).alias(name))
+    return rows if keep_empty else rows.where(F.col(name).isNotNull())
+
+
+def explode_positions(df: DataFrame, key: list[str], terms: Column, name: str = "term") -> DataFrame:
+    return df.select(*key, F.posexplode_outer(terms).alias("pos", name)).where(F.col(name).isNotNull())
+
+
 def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, functions as F
 
 
-def vector_sum(array: Column, weight: Column | None = None) -> Column:
-    """Element-wise sum over rows as an array; a JVM aggregate with a map-side part."""
-    if weight is not None:
-        array = scale(array, weight)
-    return vector_to_array(Summarizer.sum(array_to_vector(array)))
+def vector_sum(array: Column, dim: int, weight: Column | None = None) -> Column:
+    """Element-wise sum over rows as an array, NULL if there is no vector.
+
+    One plain sum per element: these run as hash aggregates with a map-side part and fixed-size
+    buffers, unlike object-based aggregates, which sort once there are more than a few groups.
+    """
+    def element(i: int) -> Column:
+        x = array[i].cast("double")
+        return F.sum(x if weight is None else x * weight)
+    return F.when(F.count(array) > 0, F.array(*[element(i) for i in range(dim)]))
 
 
 def scale(array: Column, by: Column) -> Column:

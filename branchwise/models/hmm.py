@@ -352,6 +352,7 @@ def fit(seqs: DataFrame, states: int = 2, kind: str = "gaussian", timestamps: bo
                for r in found}
     models = _initial({k: int(k.rsplit("|", 1)[1]) for k in moments}, moments, states, kind, width, seed)
 
+    width_of_stats = max((_stats_size(m) for m in models.values()), default=0)
     last: dict[str, float] = {}
     for _ in range(n_iter):
         stats = short.mapInPandas(_partition_stats(models, width), "key string, stats array<double>")
@@ -370,7 +371,7 @@ def fit(seqs: DataFrame, states: int = 2, kind: str = "gaussian", timestamps: bo
                     run = _first_parts(models, width)
                 stats = stats.unionByName(some.mapInPandas(run, "key string, stats array<double>"))
         totals = {r["key"]: np.array(r["stats"]) for r in
-                  stats.groupBy("key").agg(vector_sum(F.col("stats")).alias("stats")).collect()}
+                  stats.groupBy("key").agg(vector_sum(F.col("stats"), width_of_stats).alias("stats")).collect()}
         ll = {k: float(v[-1]) for k, v in totals.items()}
         if history is not None:
             history.append(ll)

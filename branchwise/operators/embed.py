@@ -6,22 +6,36 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from branchwise.functions.text import explode_positions, explode_terms
 from branchwise.functions.vectors import cosine, norm, scale, vector_sum
-from branchwise.operators.lexicon import term_counts
 
+BROADCAST_BYTES = 256 * 1024 * 1024
 
-def message_vectors(messages: DataFrame, key: list[str], tokens: Column, vectors: DataFrame) -> DataFrame:
+
+def may_broadcast(vectors: DataFrame, dim: int, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the counted rows of the vector table stay below ``limit`` bytes in memory."""
+    return vectors.count() * (8 * dim + 64) <= limit
+
+
+def message_vectors(messages: DataFrame, key: list[str], tokens: Column, vectors: DataFrame, dim: int,
+                    limit: int = BROADCAST_BYTES) -> DataFrame:
     """Per message: n_tokens, n_known and the vector sum over its known tokens (NULL if none).
 
-    The only place where tokens meet vectors. Repeats are counted before the join, so a frequent
-    token is shipped once per message; averages and every similarity come from these sums.
+    The only place where tokens meet vectors; averages and every similarity come from these sums. A
+    vector table of checked size is broadcast, then the tokens of a message never leave their
+    partition and only one sum per message is shuffled. A larger one is joined by token after the
+    repeats within a message have been counted, so a frequent token travels once per message.
     """
-    base = messages.select(*key, tokens.alias("_t"))
-    known = (term_counts(base, key, F.col("_t")).join(vectors, F.col("term") == F.col("token"))
-             .groupBy(*key)
-             .agg(F.sum("n").alias("n_known"), vector_sum(F.col("vector"), F.col("n")).alias("vsum")))
-    return (base.select(*key, F.size("_t").cast("long").alias("n_tokens")).join(known, key, "left")
-            .withColumn("n_known", F.coalesce("n_known", F.lit(0).cast("long"))))
+    terms = explode_terms(messages, key, tokens, keep_empty=True)
+    known = F.col("vector").isNotNull()
+    if may_broadcast(vectors, dim, limit):
+        met = terms.join(F.broadcast(vectors), F.col("term") == F.col("token"), "left")
+        return met.groupBy(*key).agg(F.count("term").alias("n_tokens"), F.count("vector").alias("n_known"),
+                                     vector_sum(F.col("vector"), dim).alias("vsum"))
+    counted = terms.groupBy(*key, "term").agg(F.count("term").alias("n"))
+    met = counted.join(vectors, F.col("term") == F.col("token"), "left")
+    return met.groupBy(*key).agg(F.sum("n").alias("n_tokens"), F.sum(F.when(known, F.col("n")).otherwise(0)).alias("n_known"),
+                                 vector_sum(F.col("vector"), dim, F.col("n")).alias("vsum"))
 
 
 def average_vector(vsum: Column, n_tokens: Column, dim: int) -> Column:
@@ -32,21 +46,21 @@ def average_vector(vsum: Column, n_tokens: Column, dim: int) -> Column:
 def token_matrix(messages: DataFrame, key: list[str], tokens: Column, vectors: DataFrame) -> DataFrame:
     """Vectors of the known tokens in text order; [] if none is known, NULL without tokens."""
     base = messages.select(*key, tokens.alias("_t"))
-    found = (base.select(*key, F.posexplode("_t").alias("pos", "token")).join(vectors, "token")
+    found = (explode_positions(base, key, F.col("_t"), "token").join(vectors, "token")
              .groupBy(*key)
              .agg(F.array_sort(F.collect_list(F.struct("pos", "vector"))).alias("_m")))
     matrix = F.when(F.size("_t") > 0, F.coalesce(F.transform("_m", lambda e: e["vector"]), F.array()))
     return base.join(found, key, "left").select(*key, matrix.alias("matrix"))
 
 
-def branch_pools(members: DataFrame, vecs: DataFrame, branch: list[str]) -> DataFrame:
+def branch_pools(members: DataFrame, vecs: DataFrame, branch: list[str], dim: int) -> DataFrame:
     """Vector sum and token counts over all members of a branch (the message itself included)."""
     sums = vecs.where("n_known > 0").select("msg_id", "n_known", "vsum")
     return (members.select(*branch, "msg_id").join(sums, "msg_id")
-            .groupBy(*branch).agg(vector_sum(F.col("vsum")).alias("branch_sum"), F.sum("n_known").alias("branch_known")))
+            .groupBy(*branch).agg(vector_sum(F.col("vsum"), dim).alias("branch_sum"), F.sum("n_known").alias("branch_known")))
 
 
-def similarities(context: DataFrame, members: DataFrame, vecs: DataFrame, branch: list[str]) -> DataFrame:
+def similarities(context: DataFrame, members: DataFrame, vecs: DataFrame, branch: list[str], dim: int) -> DataFrame:
     """Cosines of each message to its source, the message before it, and its branch.
 
     ``context`` has one row per message: msg_id, source_id, prev_id and the branch it is judged in.
@@ -56,20 +70,20 @@ def similarities(context: DataFrame, members: DataFrame, vecs: DataFrame, branch
     return (context.join(side("msg_id"), "msg_id", "left")
             .join(side("source_id"), "source_id", "left")
             .join(side("prev_id"), "prev_id", "left")
-            .join(branch_pools(members, vecs, branch), branch, "left")
+            .join(branch_pools(members, vecs, branch, dim), branch, "left")
             .select("msg_id", "source_id",
                     F.coalesce(cosine(F.col("v_msg_id"), F.col("v_source_id")), F.lit(0.0)).alias("sim_to_src"),
                     F.coalesce(cosine(F.col("v_msg_id"), F.col("v_prev_id")), F.lit(0.0)).alias("sim_to_prev"),
                     F.coalesce(cosine(F.col("v_msg_id"), F.col("branch_sum")), F.lit(0.0)).alias("sim_to_branch")))
 
 
-def set_cosine(pairs: DataFrame, key: list[str], left: Column, right: Column, vectors: DataFrame) -> DataFrame:
+def set_cosine(pairs: DataFrame, key: list[str], left: Column, right: Column, vectors: DataFrame, dim: int) -> DataFrame:
     """Cosine between two token lists per row; 0 if either has no known token."""
     sides = (pairs.select(*key, F.explode(F.array(
         F.struct(F.lit("l").alias("side"), left.alias("tokens")),
         F.struct(F.lit("r").alias("side"), right.alias("tokens")))).alias("s"))
         .select(*key, "s.*"))
-    sums = message_vectors(sides, [*key, "side"], F.col("tokens"), vectors)
+    sums = message_vectors(sides, [*key, "side"], F.col("tokens"), vectors, dim)
     pick = lambda s: F.first(F.when(F.col("side") == s, F.col("vsum")), ignorenulls=True)
     return sums.groupBy(*key).agg(cosine(pick("l"), pick("r")).alias("similarity"))
 

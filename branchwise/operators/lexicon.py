@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from branchwise.functions.text import explode_positions, explode_terms
+
 # Universal part-of-speech tags in slot order.
 POS_TAGS = ["ADJ", "ADP", "ADV", "AUX", "CONJ", "DET", "INTJ", "NOUN", "NUM", "PART", "PRON",
             "PROPN", "PUNCT", "SCONJ", "SYM", "VERB", "X"]
@@ -11,12 +13,6 @@ POS_TAGS = ["ADJ", "ADP", "ADV", "AUX", "CONJ", "DET", "INTJ", "NOUN", "NUM", "P
 LEXICON_FEATURES = ["swear_count", "negation_count", "positive_smiley_count", "negative_smiley_count"]
 
 
-def term_counts(df: DataFrame, key: list[str], terms: Column) -> DataFrame:
-    """(key, term, n): repeats within a message are added up before anything is joined."""
-    return (df.select(*key, F.explode(terms).alias("term"))
-            .groupBy(*key, "term").agg(F.count(F.lit(1)).alias("n")))
-
-
 def lexicon_counts(df: DataFrame, key: list[str], terms: Column, lexicon: DataFrame,
                    lists: list[str]) -> DataFrame:
     """Per message the number of terms found in each list; only messages with a hit appear.
@@ -24,7 +20,7 @@ def lexicon_counts(df: DataFrame, key: list[str], terms: Column, lexicon: DataFr
     ``lexicon`` has (list, word). Spark broadcasts it when its measured size allows, else it
     shuffles; words outside every list never leave the join.
     """
-    hits = df.select(*key, F.explode(terms).alias("term")).join(
+    hits = explode_terms(df, key, terms).join(
         lexicon.select("list", F.col("word").alias("term")).distinct(), "term")
     return hits.groupBy(*key).agg(*[
         F.sum((F.col("list") == name).cast("long")).alias(name) for name in lists])
@@ -32,7 +28,7 @@ def lexicon_counts(df: DataFrame, key: list[str], terms: Column, lexicon: DataFr
 
 def sentiment(df: DataFrame, key: list[str], terms: Column, scores: DataFrame) -> DataFrame:
     """Sum of term scores per message; ``scores`` has (term, score)."""
-    hits = df.select(*key, F.explode(terms).alias("term")).join(scores, "term")
+    hits = explode_terms(df, key, terms).join(scores, "term")
     return hits.groupBy(*key).agg(F.sum("score").alias("sentiment"))
 
 
@@ -48,7 +44,7 @@ def pos_occurrence(tags: Column) -> Column:
 
 def pos_tag_lines(lines: DataFrame, key: str, tokens: Column, tagger: DataFrame) -> DataFrame:
     """Tag each line by a (token, tag) table: key, tags in token order; unknown tokens are X."""
-    spread = lines.select(key, F.posexplode(tokens).alias("pos", "token"))
+    spread = explode_positions(lines, [key], tokens, "token")
     tagged = spread.join(tagger, "token", "left").select(
         key, F.struct("pos", F.coalesce("tag", F.lit("X")).alias("tag")).alias("t"))
     ordered = F.transform(F.array_sort(F.collect_list("t")), lambda t: t["tag"])

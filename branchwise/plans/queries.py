@@ -15,7 +15,7 @@ from branchwise.operators.normalise import normalise, value_ranges, value_ranges
 from branchwise.operators.skew import prefix_sum, rank_rows
 from branchwise.plans import claims, evaluation
 from branchwise.plans import stance_features as sf
-from branchwise.session import configure, durable, scratch_path
+from branchwise.session import configure, durable, scratch_path, spread
 from branchwise.sources import conversations as cv, sinks, tables
 from branchwise.sources.read import annotation_data
 from branchwise.streaming import activity as st, threads as live
@@ -62,6 +62,11 @@ def _documents(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _texts(spark, sf_dir) -> DataFrame:
+    """Documents for work on their texts, spread over the cores."""
+    return spread(_documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
+
+
 def _events(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -223,19 +228,19 @@ def mask_tweets(spark, d):
 
 @query
 def mask_reddit(spark, d):
-    return _documents(spark, d).select("doc_id", tx.mask_reddit(F.col("text")).alias("text"))
+    return _texts(spark, d).select("doc_id", tx.mask_reddit(F.col("text")).alias("text"))
 
 
 @query
 def tokens(spark, d):
     k = tx.word_tokens(F.col("text"))
-    return _documents(spark, d).select("doc_id", F.size(k).cast("long").alias("n_tokens"), F.array_join(k, " ").alias("tokens"))
+    return _texts(spark, d).select("doc_id", F.size(k).cast("long").alias("n_tokens"), F.array_join(k, " ").alias("tokens"))
 
 
 @query
 def reddit_tokens(spark, d):
     k = tx.reddit_tokens(F.col("text"))
-    return _documents(spark, d).select("doc_id", F.size(k).cast("long").alias("n_tokens"), F.array_join(k, " ").alias("tokens"))
+    return _texts(spark, d).select("doc_id", F.size(k).cast("long").alias("n_tokens"), F.array_join(k, " ").alias("tokens"))
 
 
 @query
@@ -260,7 +265,7 @@ def text_features(spark, d):
 
 @query
 def document_features(spark, d):
-    docs = _documents(spark, d).withColumn("tokens", tx.word_tokens(F.col("text")))
+    docs = _texts(spark, d).withColumn("tokens", tx.word_tokens(F.col("text")))
     return _numbers(docs, "doc_id")
 
 
@@ -316,7 +321,7 @@ def _tagger(m: DataFrame) -> DataFrame:
     """A (token, tag) table over the corpus vocabulary, tags by token length; very long words stay unknown."""
     n = F.length("token")
     tag = F.get(F.array(*[F.lit(t) for t in lx.POS_TAGS]), (n - 1).cast("int"))
-    return m.select(F.explode("tokens").alias("token")).distinct().where(n <= 16).select("token", tag.alias("tag"))
+    return tx.explode_terms(m, [], F.col("tokens"), "token").distinct().where(n <= 16).select("token", tag.alias("tag"))
 
 
 @query
@@ -431,15 +436,15 @@ def _vectors(spark, d) -> DataFrame:
 @query
 def average_vectors(spark, d):
     m = _messages(spark, d)
-    v = embed.message_vectors(m, ["msg_id"], F.col("tokens"), _vectors(spark, d))
+    v = embed.message_vectors(m, ["msg_id"], F.col("tokens"), _vectors(spark, d), DIM)
     avg = embed.average_vector(F.col("vsum"), F.col("n_tokens"), DIM)
     return v.select("msg_id", "n_tokens", "n_known", F.round(_checksum(avg), 5).alias("checksum"), F.round(dot(avg, avg), 6).alias("square"))
 
 
 @query
 def document_average_vectors(spark, d):
-    docs = _documents(spark, d).withColumn("tokens", tx.word_tokens(F.col("text")))
-    v = embed.message_vectors(docs, ["doc_id"], F.col("tokens"), _vectors(spark, d))
+    docs = _texts(spark, d).withColumn("tokens", tx.word_tokens(F.col("text")))
+    v = embed.message_vectors(docs, ["doc_id"], F.col("tokens"), _vectors(spark, d), DIM)
     avg = embed.average_vector(F.col("vsum"), F.col("n_tokens"), DIM)
     return v.select("doc_id", "n_tokens", "n_known", F.round(_checksum(avg), 5).alias("checksum"))
 
@@ -457,7 +462,7 @@ def set_cosine(spark, d):
     m = _messages(spark, d)
     source = m.where("is_source").select("source_id", F.col("tokens").alias("source_tokens"))
     pairs = m.where("not is_source").select("source_id", "msg_id", "tokens").join(source, "source_id")
-    return (embed.set_cosine(pairs, ["msg_id"], F.col("tokens"), F.col("source_tokens"), _vectors(spark, d))
+    return (embed.set_cosine(pairs, ["msg_id"], F.col("tokens"), F.col("source_tokens"), _vectors(spark, d), DIM)
             .select("msg_id", F.round("similarity", 6).alias("similarity")))
 
 
@@ -466,8 +471,8 @@ def similarities(spark, d):
     m = durable(_messages(spark, d))
     members = durable(tree.branch_members(m, index=True))
     context = sf.analysed(m, members).select("msg_id", "prev_id", *BRANCH)
-    vecs = durable(embed.message_vectors(m, ["msg_id"], F.col("tokens"), _vectors(spark, d)))
-    return embed.similarities(context, members, vecs, BRANCH).select(
+    vecs = durable(embed.message_vectors(m, ["msg_id"], F.col("tokens"), _vectors(spark, d), DIM))
+    return embed.similarities(context, members, vecs, BRANCH, DIM).select(
         "msg_id", *[F.round(c, 6).alias(c) for c in ("sim_to_src", "sim_to_prev", "sim_to_branch")])
 
 
@@ -487,7 +492,7 @@ def nearest_words(spark, d):
 
 @query
 def in_vocabulary(spark, d):
-    words = _messages(spark, d).select(F.explode("tokens").alias("token")).distinct()
+    words = tx.explode_terms(_messages(spark, d), [], F.col("tokens"), "token").distinct()
     return embed.in_vocabulary(words, _vectors(spark, d))
 
 
@@ -707,7 +712,7 @@ def cross_corpus(spark, d):
 
 @query
 def word_vectors_trained(spark, d):
-    docs = _documents(spark, d).select(tx.word_tokens(F.col("text")).alias("words"))
+    docs = _texts(spark, d).select(tx.word_tokens(F.col("text")).alias("words"))
     v = embed.train_vectors(docs, "words", dim=16, min_count=5, partitions=4)
     return v.select("token", F.size("vector").cast("long").alias("dim"))
 
@@ -855,7 +860,7 @@ def sequence_file(spark, d):
 def word_list_file(spark, d):
     """Document words as written, with a leading blank, through a word-list file."""
     path = scratch_path(spark, "words")
-    words = _documents(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(tx.WORD), F.lit(0))).alias("word"))
+    words = tx.explode_terms(_texts(spark, d), [], F.regexp_extract_all("text", F.lit(tx.WORD), F.lit(0)), "word")
     words.select(F.concat(F.lit(" "), "word").alias("value")).write.text(path)
     return tables.word_list(spark, path)
 

@@ -91,8 +91,8 @@ def build_features(messages: DataFrame, members: DataFrame, groups: Iterable[str
     if groups & {"wembs", "token_wembs"}:
         everyone = durable(messages.select("msg_id", "source_id", "is_source", "tokens"))
         if "wembs" in groups:
-            vecs = durable(embed.message_vectors(everyone, key, F.col("tokens"), vectors))
-            sims = embed.similarities(rows.select("msg_id", "prev_id", *BRANCH), members, vecs, BRANCH).drop("source_id")
+            vecs = durable(embed.message_vectors(everyone, key, F.col("tokens"), vectors, dim))
+            sims = embed.similarities(rows.select("msg_id", "prev_id", *BRANCH), members, vecs, BRANCH, dim).drop("source_id")
             average = vecs.select("msg_id", embed.average_vector(F.col("vsum"), F.col("n_tokens"), dim).alias("avg_vector"))
             out = out.join(sims, key).join(average, key)
         if "token_wembs" in groups:

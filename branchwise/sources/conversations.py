@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from branchwise.functions import text as tx
 from branchwise.functions.labels import stance_name, veracity_name
+from branchwise.session import spread
 
 MSG_SQL = """
 SELECT conv_id, turn,
@@ -57,7 +58,7 @@ def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     stored = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
-    frequency = (docs.select(F.explode(tx.word_tokens(F.col("text"))).alias("token"))
+    frequency = (tx.explode_terms(spread(docs.select("doc_id", "text"), "doc_id"), [], tx.word_tokens(F.col("text")), "token")
                  .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     ranked = rank_rows(frequency, [], [F.desc("n"), F.col("token")], "vec_id")
     return ranked.join(stored, "vec_id").select("token", "vector")
