@@ -63,17 +63,18 @@ def lift(nodes: DataFrame, folds: Mapping[str, str] | None = None) -> Lifted:
             seen = seen.unionByName(part)
         # Nobody points at a leaf, so the looked-up side is the inner nodes only.
         seen = seen.where("not is_leaf").select(
-            F.col("scope").alias("_s"), F.col("node").alias("_n"),
-            *[F.col(c).alias("_" + c) for c in ("up", "top", "depth", "orphan", *folds)])
-        found = F.col("_n").isNotNull()
+            F.col("scope").alias("_scope"), F.col("node").alias("_node"),
+            *[F.col(c).alias("_" + c) for c in ("up", "top", "depth", "orphan")],
+            *[F.col(c).alias("_fold_" + c) for c in folds])
+        found = F.col("_node").isNotNull()
         step = durable(
-            active.join(seen, (F.col("scope") == F.col("_s")) & (F.col("up") == F.col("_n")), "left")
+            active.join(seen, (F.col("scope") == F.col("_scope")) & (F.col("up") == F.col("_node")), "left")
             .select(
                 "scope", "node", F.col("_up").alias("up"),
                 F.when(found, F.col("_top")).otherwise(F.col("top")).alias("top"),
                 F.when(found, F.col("depth") + F.col("_depth")).otherwise(F.col("depth")).alias("depth"),
                 F.when(found, F.col("_orphan")).otherwise(F.lit(True)).alias("orphan"), "is_leaf",
-                *[F.when(found, COMBINE[how](F.col(c), F.col("_" + c))).otherwise(F.col(c)).alias(c)
+                *[F.when(found, COMBINE[how](F.col(c), F.col("_fold_" + c))).otherwise(F.col(c)).alias(c)
                   for c, how in folds.items()]))
         finished.append(step.where("up is null"))
         active = step.where("up is not null")
