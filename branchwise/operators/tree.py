@@ -27,8 +27,8 @@ COMBINE = {
 class Lifted:
     """Result of pointer doubling.
 
-    ``placed``: one row per node with its ``top`` (last node before the stop), ``depth``, ``is_leaf``
-    and path folds.
+    ``placed``: one row per node with ``depth``, ``is_leaf``, path folds and, if asked for, its ``top``
+    (the last node before the stop).
     ``jumps[k]``: node -> its 2^k-th ancestor. ``unplaced``: nodes that hang on a missing parent
     (``orphan``) or on a circle of replies (``cycle``).
     """
@@ -38,7 +38,7 @@ class Lifted:
     unplaced: DataFrame
 
 
-def lift(nodes: DataFrame, folds: Mapping[str, str] | None = None) -> Lifted:
+def lift(nodes: DataFrame, folds: Mapping[str, str] | None = None, top: bool = False) -> Lifted:
     """Follow ``parent`` pointers to the top for every node at once.
 
     ``nodes`` has scope, node, parent (NULL at a top node) and one column per fold. A fold
@@ -46,10 +46,11 @@ def lift(nodes: DataFrame, folds: Mapping[str, str] | None = None) -> Lifted:
     which gives a path-wide value without a window and without listing the path.
     """
     folds = dict(folds or {})
+    tops = ["top"] if top else []
     parents = (nodes.where("parent is not null").select("scope", F.col("parent").alias("node"))
                .distinct().withColumn("_answered", F.lit(True)))
     active = durable(nodes.join(parents, ["scope", "node"], "left").select(
-        "scope", "node", F.col("parent").alias("up"), F.col("node").alias("top"),
+        "scope", "node", F.col("parent").alias("up"), *[F.col("node").alias(c) for c in tops],
         F.lit(1).cast("long").alias("depth"), F.lit(False).alias("orphan"),
         F.col("_answered").isNull().alias("is_leaf"), *folds))
     finished = [active.where("up is null")]
@@ -64,14 +65,14 @@ def lift(nodes: DataFrame, folds: Mapping[str, str] | None = None) -> Lifted:
         # Nobody points at a leaf, so the looked-up side is the inner nodes only.
         seen = seen.where("not is_leaf").select(
             F.col("scope").alias("_scope"), F.col("node").alias("_node"),
-            *[F.col(c).alias("_" + c) for c in ("up", "top", "depth", "orphan")],
+            *[F.col(c).alias("_" + c) for c in ("up", *tops, "depth", "orphan")],
             *[F.col(c).alias("_fold_" + c) for c in folds])
         found = F.col("_node").isNotNull()
         step = durable(
             active.join(seen, (F.col("scope") == F.col("_scope")) & (F.col("up") == F.col("_node")), "left")
             .select(
                 "scope", "node", F.col("_up").alias("up"),
-                F.when(found, F.col("_top")).otherwise(F.col("top")).alias("top"),
+                *[F.when(found, F.col("_" + c)).otherwise(F.col(c)).alias(c) for c in tops],
                 F.when(found, F.col("depth") + F.col("_depth")).otherwise(F.col("depth")).alias("depth"),
                 F.when(found, F.col("_orphan")).otherwise(F.lit(True)).alias("orphan"), "is_leaf",
                 *[F.when(found, COMBINE[how](F.col(c), F.col("_fold_" + c))).otherwise(F.col(c)).alias(c)
@@ -141,21 +142,23 @@ def branch_members(messages: DataFrame, folds: Mapping[str, tuple[str, Column]]
     folds = folds or {}
     lifted = lift(reply_nodes(messages, {n: c for n, (_, c) in folds.items()}), {n: how for n, (how, _) in folds.items()})
     leaves = lifted.placed.where("is_leaf").withColumnRenamed("depth", "branch_len")
+    carry = ["branch_len", *folds]
     if index:
-        leaves = durable(_index_leaves(messages, leaves, lifted.jumps, order or ["created", "msg_id"], max_group))
-    if keep is not None:
-        leaves = leaves.where(keep)
-    carry = ["branch_len", *folds, *(["branch_idx"] if index else [])]
-    return (expand(leaves, lifted.jumps, carry)
-            .select(F.col("scope").alias("source_id"), F.col("leaf").alias("leaf_id"),
+        # The index counts the leaves of all branches, so all are expanded once and then filtered.
+        pairs = durable(expand(leaves, lifted.jumps, []))
+        place = _leaf_places(messages, pairs, order or ["created", "msg_id"], max_group)
+        kept = (leaves.where(keep) if keep is not None else leaves).select("scope", F.col("node").alias("leaf"), *carry)
+        rows = pairs.join(kept.join(place, ["scope", "leaf"]), ["scope", "leaf"])
+    else:
+        rows = expand(leaves.where(keep) if keep is not None else leaves, lifted.jumps, carry)
+    return (rows.select(F.col("scope").alias("source_id"), F.col("leaf").alias("leaf_id"),
                     *(["branch_idx"] if index else []),
                     (F.col("branch_len") - 1 - F.col("dist")).alias("pos"), "branch_len",
                     F.col("node").alias("msg_id"), *folds))
 
 
-def _index_leaves(messages, leaves, jumps, order, max_group):
+def _leaf_places(messages, pairs, order, max_group):
     """Depth-first place of each leaf = leaves under earlier siblings, added up along its path."""
-    pairs = durable(expand(leaves, jumps, []))
     under = pairs.groupBy("scope", "node").agg(F.count(F.lit(1)).alias("n_leaves"))
     siblings = durable(
         messages.where("not is_source")
@@ -164,10 +167,8 @@ def _index_leaves(messages, leaves, jumps, order, max_group):
         .join(under, ["scope", "node"]))
     before = prefix_sum(siblings, ["scope", "parent_id"], [F.col(f"_o{i}") for i in range(len(order))],
                         F.col("n_leaves"), "before", max_group).select("scope", "node", "before")
-    place = (pairs.join(before, ["scope", "node"]).groupBy("scope", "leaf")
-             .agg(F.sum("before").cast("long").alias("branch_idx"))
-             .withColumnRenamed("leaf", "node"))
-    return leaves.join(place, ["scope", "node"])
+    return (pairs.join(before, ["scope", "node"]).groupBy("scope", "leaf")
+            .agg(F.sum("before").cast("long").alias("branch_idx")))
 
 
 def unplaced(messages: DataFrame) -> DataFrame:
@@ -184,7 +185,7 @@ def roots(edges: DataFrame) -> DataFrame:
     """
     base = durable(edges.select(F.lit(0).alias("scope"), F.col("msg_id").alias("node"),
                                 F.col("parent_id").alias("parent")))
-    lifted = lift(base)
+    lifted = lift(base, top=True)
     whole = lifted.placed.select(F.col("node").alias("msg_id"), F.col("top").alias("root_id"),
                                  (F.col("depth") - 1).alias("depth"), F.lit(True).alias("complete"))
     lost = lifted.unplaced.where("reason = 'orphan'").select(F.col("node").alias("msg_id"))
@@ -194,7 +195,7 @@ def roots(edges: DataFrame) -> DataFrame:
     missing = (base.where("parent is not null").select("scope", F.col("parent").alias("node")).distinct()
                .join(base, ["scope", "node"], "left_anti")
                .withColumn("parent", F.lit(None).cast("string")))
-    again = lift(base.unionByName(missing.select(*base.columns))).placed
+    again = lift(base.unionByName(missing.select(*base.columns)), top=True).placed
     partial = (again.select(F.col("node").alias("msg_id"), F.col("top").alias("root_id"),
                             (F.col("depth") - 1).alias("depth"), F.lit(False).alias("complete"))
                .join(lost, "msg_id", "left_semi"))
