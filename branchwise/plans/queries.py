@@ -16,7 +16,7 @@ from branchwise.operators.skew import prefix_sum, rank_rows
 from branchwise.plans import claims, evaluation
 from branchwise.plans import stance_features as sf
 from branchwise.session import configure, durable, scratch_path, spread
-from branchwise.sources import conversations as cv, sinks, tables
+from branchwise.sources import conversations as cv, sinks, store, tables
 from branchwise.sources.read import annotation_data
 from branchwise.streaming import activity as st, threads as live
 
@@ -771,9 +771,9 @@ def upsert_store_files(spark, d):
     """The same through two written versions of a thread store."""
     old, new = _two_stores(spark, d)
     path = scratch_path(spark, "store")
-    sinks.upsert_threads(spark, path, old, "0001")
-    sinks.upsert_threads(spark, path, new, "0002")
-    return sinks.latest_threads(spark, path)
+    store.append(old, path, 1)
+    store.append(new, path, 2)
+    return store.latest(spark, path)
 
 
 @query

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from branchwise.operators import tree
+from branchwise.sources import store as store_of
 
 BUCKETS = 256
 
@@ -35,7 +36,7 @@ def update_threads(batch: DataFrame, batch_id: int, store: str, out: str,
     history = spark.read.option("basePath", store).parquet(store).where(F.col("batch") <= batch_id)
     messages = (history.join(touched, ["bucket", "source_id"], "left_semi")
                 .dropDuplicates(["source_id", "msg_id"]).drop("bucket", "batch"))
-    (derive or tree.branches)(messages).write.mode("overwrite").parquet(f"{out}/version={batch_id:012d}")
+    store_of.append((derive or tree.branches)(messages), out, batch_id)
 
 
 def run(stream: DataFrame, store: str, out: str, checkpoint: str, derive=None, available_now: bool = True):
@@ -47,26 +48,20 @@ def run(stream: DataFrame, store: str, out: str, checkpoint: str, derive=None, a
     return writer.start()
 
 
-def latest(spark: SparkSession, out: str) -> DataFrame:
+def latest(spark: SparkSession, out: str) -> DataFrame | None:
     """Rows of the highest version of every thread."""
-    rows = spark.read.option("basePath", out).parquet(out)
-    newest = rows.groupBy("source_id").agg(F.max("version").alias("version"))
-    return rows.join(newest, ["source_id", "version"], "left_semi")
+    return store_of.latest(spark, out)
 
 
 def upsert_sink(stream: DataFrame, out: str, checkpoint: str, mode: str = "update", available_now: bool = True):
     """Write changed rows of an aggregating stream as versions; read them back with ``latest_rows``."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/version={batch_id:012d}")
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write)
+    writer = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+              .foreachBatch(lambda batch, batch_id: store_of.append(batch, out, batch_id)))
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
 
 
-def latest_rows(spark: SparkSession, out: str, key: list[str]) -> DataFrame:
+def latest_rows(spark: SparkSession, out: str, key: list[str]) -> DataFrame | None:
     """The newest version of each key."""
-    rows = spark.read.option("basePath", out).parquet(out)
-    rest = [c for c in rows.columns if c not in key and c != "version"]
-    return (rows.groupBy(*key).agg(F.max(F.struct("version", *rest)).alias("r"))
-            .select(*key, *[F.col(f"r.{c}").alias(c) for c in rest]))
+    return store_of.latest_rows(spark, out, key)

@@ -184,3 +184,32 @@ def test_evaluation_and_grid(spark):
     assert all(0 <= r[m] <= 1 for r in rows for m in mt.METRICS)
     configs = evaluation.grid(["early", "late"])
     assert len(configs) == 2 * 2 * 3 * 3 and not any(c.timestamps and c.kind == "discrete" for c in configs)
+
+
+def test_stance_models(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    from branchwise.models import stance
+
+    rng = random.Random(1)
+    rows = [(f"m{i}", i % 4, [float(i % 4 == k) + rng.random() * .2 for k in range(4)]) for i in range(80)]
+    df = durable(spark.createDataFrame(rows, "msg_id string, stance int, x array<double>").select("msg_id", "stance", array_to_vector("x").alias("features")))
+    for kind in ("logistic", "perceptron"):
+        result, cells = stance.test(df, stance.fit(df, kind=kind, max_iter=30, hidden=(8,)))
+        assert result.head().accuracy > 0.9 and cells.agg(F.sum("n")).head()[0] == 80
+    table = stance.grid(df, df, [{"kind": "logistic"}], [1, 5])
+    assert table.count() == 2 and set(table.columns) == {"kind", "epoch", "accuracy", "f1_macro", "f1_micro"}
+    with pytest.raises(ValueError):
+        stance.fit(df, kind="forest")
+
+
+def test_release_removes_own_tables(spark):
+    import os
+
+    from branchwise import session
+
+    durable(spark.range(3))
+    own = f"{session.shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    assert os.path.isdir(own)
+    session.release(spark)
+    assert not os.path.exists(own)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from branchwise.operators import sequences as sq, tree
 from branchwise.session import durable
-from branchwise.sources import reddit, sinks, tables, threads, tweets
+from branchwise.plans import run
+from branchwise.sources import reddit, sinks, store, tables, threads, tweets
 from branchwise.sources.read import annotation_data, read_messages
 
 
@@ -148,13 +149,26 @@ def test_metric_and_epoch_files(spark, tmp_path):
 def test_store_versions(spark, tmp_path):
     path = str(tmp_path / "store")
     rows = lambda *r: spark.createDataFrame(list(r), "source_id string, v long")
-    assert sinks.latest_threads(spark, path) is None
-    sinks.upsert_threads(spark, path, rows(("s", 1), ("t", 1)), "001")
-    sinks.upsert_threads(spark, path, rows(("s", 2), ("u", 2)), "002")
-    assert sorted(tuple(r)[:2] for r in sinks.latest_threads(spark, path).select("source_id", "v").collect()) == [("s", 2), ("t", 1), ("u", 2)]
+    assert store.latest(spark, path) is None
+    store.append(rows(("s", 1), ("s", 1), ("t", 1)), path, 1)
+    store.append(rows(("s", 2), ("u", 2)), path, 2)
+    (tmp_path / "store" / "version=000000000003").mkdir()  # a write that never finished
+    want = [("s", 2), ("t", 1), ("u", 2)]
+    assert sorted(tuple(r) for r in store.latest(spark, path).select("source_id", "v").collect()) == want
+    store.compact(spark, path, str(tmp_path / "small"))
+    assert sorted(tuple(r) for r in store.latest(spark, str(tmp_path / "small")).select("source_id", "v").collect()) == want
 
 
 def test_label_export(spark, tmp_path):
     (tmp_path / "l.json").write_text('{"id": 1, "text": "x", "annotations": [{"user": 1, "label": 5}, {"user": 2, "label": 6}]}\n')
     rows = tables.label_export(spark, str(tmp_path / "l.json")).collect()
     assert {(r.item_id, r.user, r.label) for r in rows} == {(1, 1, 5), (1, 2, 6)}
+
+
+def test_whole_jobs(spark, reddit_dir, tmp_path):
+    features, members = run.stance_table(spark, reddit_dir, "reddit", ["text", "sdqc_parent"], out=str(tmp_path / "f"), out_format="tsv")
+    assert members.count() == 4 and {r.msg_id for r in features.collect()} == {"a", "b", "c"}
+    assert "id\tsdqc_submission" in next((tmp_path / "f").glob("*.csv")).read_text()
+    seqs = run.claim_table(spark, reddit_dir, "reddit", timestamps=False, rumours_only=True, out=str(tmp_path / "s"), out_format="tsv")
+    assert seqs.count() == 2
+    assert sorted([o.stance for o in r.obs] for r in tables.sequences(spark, str(tmp_path / "s")).collect()) == [[1, 2], [1, 3]]

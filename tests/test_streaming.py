@@ -44,3 +44,19 @@ def test_repeats_and_windows(spark, tmp_path):
     assert got == {datetime(2024, 1, 1): 4, datetime(2024, 1, 1, 0, 2): 4}
     bursts = activity.sessions(spark.createDataFrame(rows, SCHEMA), "created", ["source_id"], "90 seconds").collect()
     assert len(bursts) == 1 and bursts[0].n == 8
+
+
+def test_live_claims(spark, tmp_path):
+    from branchwise.plans import run
+    from pyspark.sql import functions as F
+    from tests.test_models import DISCRETE
+
+    base = str(tmp_path)
+    rows = make(spark, [("s", "s", None, 0, "Commenting"), ("s", "a", "s", 1, "Supporting"), ("s", "b", "a", 2, "Supporting"),
+                        ("s", "c", "s", 3, "Underspecified")])
+    rows = rows.withColumn("truth", F.lit(None).cast("string")).withColumn("text", F.col("msg_id"))
+    rows.write.parquet(f"{base}/in")
+    stream = activity.file_stream(spark, f"{base}/in", rows.schema, "parquet")
+    run.live_claims(stream, base, DISCRETE).awaitTermination()
+    got = [(r.leaf_id, r.veracity, r.claim) for r in threads.latest(spark, f"{base}/claims").collect()]
+    assert got == [("b", "False", "s")]  # the branch of c has no labelled member
