@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from branchwise.operators import tree
 from branchwise.sources import store as store_of
 
-BUCKETS = 256
+BUCKETS = 64
 
 
 def _bucket():
@@ -29,7 +29,8 @@ def update_threads(batch: DataFrame, batch_id: int, store: str, out: str,
     ``derive`` maps messages to rows with source_id, by default the branches with their lengths.
     """
     spark = batch.sparkSession
-    (batch.withColumn("bucket", _bucket()).write.mode("overwrite").partitionBy("bucket")
+    # Few files per bucket, and several for a bucket that holds much of the batch.
+    (batch.withColumn("bucket", _bucket()).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket")
      .parquet(f"{store}/batch={batch_id:012d}"))
     arrived = spark.read.option("basePath", store).parquet(f"{store}/batch={batch_id:012d}")
     touched = arrived.select("bucket", "source_id").distinct()
