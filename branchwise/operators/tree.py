@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from branchwise.operators.skew import prefix_sum, MAX_GROUP
-from branchwise.session import durable
+from branchwise.session import durable, durable_counting
 
 COMBINE = {
     "min": lambda a, b: F.least(a, b),
@@ -49,14 +49,14 @@ def lift(nodes: DataFrame, folds: Mapping[str, str] | None = None, top: bool = F
     tops = ["top"] if top else []
     parents = (nodes.where("parent is not null").select("scope", F.col("parent").alias("node"))
                .distinct().withColumn("_answered", F.lit(True)))
-    active = durable(nodes.join(parents, ["scope", "node"], "left").select(
+    open_end = F.col("up").isNotNull()
+    base, left = durable_counting(nodes.join(parents, ["scope", "node"], "left").select(
         "scope", "node", F.col("parent").alias("up"), *[F.col("node").alias(c) for c in tops],
         F.lit(1).cast("long").alias("depth"), F.lit(False).alias("orphan"),
-        F.col("_answered").isNull().alias("is_leaf"), *folds))
-    finished = [active.where("up is null")]
-    active = active.where("up is not null")
+        F.col("_answered").isNull().alias("is_leaf"), *folds), open_end)
+    finished = [base.where(~open_end)]
+    active = base.where(open_end)
     jumps: list[DataFrame] = []
-    left = active.count()
     while left:
         jumps.append(active.select("scope", "node", "up"))
         seen = active
@@ -68,7 +68,7 @@ def lift(nodes: DataFrame, folds: Mapping[str, str] | None = None, top: bool = F
             *[F.col(c).alias("_" + c) for c in ("up", *tops, "depth", "orphan")],
             *[F.col(c).alias("_fold_" + c) for c in folds])
         found = F.col("_node").isNotNull()
-        step = durable(
+        step, now = durable_counting(
             active.join(seen, (F.col("scope") == F.col("_scope")) & (F.col("up") == F.col("_node")), "left")
             .select(
                 "scope", "node", F.col("_up").alias("up"),
@@ -76,10 +76,9 @@ def lift(nodes: DataFrame, folds: Mapping[str, str] | None = None, top: bool = F
                 F.when(found, F.col("depth") + F.col("_depth")).otherwise(F.col("depth")).alias("depth"),
                 F.when(found, F.col("_orphan")).otherwise(F.lit(True)).alias("orphan"), "is_leaf",
                 *[F.when(found, COMBINE[how](F.col(c), F.col("_fold_" + c))).otherwise(F.col(c)).alias(c)
-                  for c, how in folds.items()]))
-        finished.append(step.where("up is null"))
-        active = step.where("up is not null")
-        now = active.count()
+                  for c, how in folds.items()]), open_end)
+        finished.append(step.where(~open_end))
+        active = step.where(open_end)
         if now == left:
             break  # every round places the next depths, so what no longer shrinks is circular
         left = now

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 # Runtime SQL settings: they may be set on a live session and change no results.
 RUNTIME_CONF = {
@@ -67,6 +67,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def durable_counting(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """``durable``, and how many rows fulfil ``condition``, counted while writing."""
+    seen = Observation()
+    table = durable(df.observe(seen, F.count(F.when(condition, True)).alias("n")))
+    return table, seen.get["n"]
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Repartition a table that comes in fewer files than there are cores; others stay as they are.
 
