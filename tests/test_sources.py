@@ -134,7 +134,7 @@ def test_word_files(spark, tmp_path):
 
 
 def test_metric_and_epoch_files(spark, tmp_path):
-    row = [("m", "true", "false", "dast", "gaussian", 2, .5, .25, .25, .125, 1.0), ("m_majority", "true", "false", "dast", "gaussian", 2, .1, .1, .1, .1, .1)]
+    row = [("m", "true", "false", "threads", "gaussian", 2, .5, .25, .25, .125, 1.0), ("m_majority", "true", "false", "threads", "gaussian", 2, .1, .1, .1, .1, .1)]
     cols = ["model", "unverified_cast", "remove_commenting", "testdata_type", "model_type", "comp_count", "f1_macro", "f1_micro", "accuracy", "precision", "recall"]
     path = str(tmp_path / "metrics")
     df = spark.createDataFrame(row, cols)
