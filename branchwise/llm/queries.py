@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from branchwise.llm import pieces, quality, sharding, token_scan
+from branchwise.llm import pieces, quality, sharding, simhash, token_scan, topk
 from branchwise.llm.words import table
 from branchwise.session import configure, durable
 
@@ -61,6 +61,19 @@ def op5_piece_encoding(spark, sf_dir):
     return pieces.encode(docs, public_file("piece_bpe_32k.model"), digest=True)
 
 
+@query
+def op8_exact_top_k(spark, sf_dir):
+    """The five nearest other vectors, by inner product, of every vector whose id is divisible by 50."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+@query
+def op10_simhash_groups(spark, sf_dir):
+    """Fingerprint and near-duplicate group of every document."""
+    marked = durable(simhash.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return simhash.groups(marked).select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query
 def op9_extendible_sharding(spark, sf_dir):
     """The shard of every document, by doc_id and UTF-8 size."""
@@ -81,3 +94,12 @@ SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') EN
        CAST(shard_bytes AS BIGINT) AS shard_bytes
 FROM d JOIN leaf ON leaf.prefix = d.h >> (60 - leaf.depth)
 """
+
+ORACLES["op8_exact_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) r WHERE rank <= 5
+"""
