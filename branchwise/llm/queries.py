@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from branchwise.llm import pieces, quality, sharding, simhash, token_scan, topk
+from branchwise.llm import mixing, pieces, quality, sharding, simhash, substring, templates, token_scan, topk, toxicity
 from branchwise.llm.words import table
 from branchwise.session import configure, durable
 
@@ -46,6 +46,12 @@ def op1_token_counts(spark, sf_dir):
     return token_scan.scan(blocks, SEPARATOR)
 
 
+@query
+def op2_source_mixing(spark, sf_dir):
+    """Words that the mix takes from every document, and its source's size and target."""
+    return mixing.shares(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def op3_quality_rules(spark, sf_dir):
     """Counts and verdict of every document; cutoffs from all labelled documents."""
@@ -54,6 +60,12 @@ def op3_quality_rules(spark, sf_dir):
     return quality.judge(measured, quality.certify(measured.join(labels, "doc_id")))
 
 
+@query
+def op4_line_templates(spark, sf_dir):
+    """Every document without its lines of recurring templates."""
+    return templates.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op5_piece_encoding(spark, sf_dir):
     """Digests of every document's ids and decoded text."""
@@ -61,6 +73,20 @@ def op5_piece_encoding(spark, sf_dir):
     return pieces.encode(docs, public_file("piece_bpe_32k.model"), digest=True)
 
 
+@query
+def op6_toxicity_scores(spark, sf_dir):
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op7_substring_dedup(spark, sf_dir):
+    """Every document's words, removed words and digest of what is kept."""
+    return substring.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
 @query
 def op8_exact_top_k(spark, sf_dir):
     """The five nearest other vectors, by inner product, of every vector whose id is divisible by 50."""
