@@ -13,8 +13,8 @@ Documents are numbered within hash ranges of a source, whose number grows with t
 spread; blocks and slots are keyed by (source, block).
 
 Defined cases: a null source is a source of its own, last in order; a null or empty text has size 0 and takes nothing; documents without an
-id are ordered among equals by size; repeated rows are separate documents of their source; an empty table gives no rows. Input columns may have any
-names but ``source_size``, ``target``, ``taken``, ``size`` and ``_...``, which are replaced.
+id are ordered among equals by size; repeated rows are separate documents of their source; an empty table gives no rows. Other
+columns of the input may have any names.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from branchwise.llm.words import WORD, hash60, word_count
+from branchwise.llm.words import WORD, boxed, hash60, unboxed, word_count
 from branchwise.session import durable
 
 WEIGHTS = (5, 2, 1)
@@ -158,14 +158,15 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     A round that takes the whole document gives its text unchanged; otherwise the taken runs of words follow each other with the white space
     behind each word, and ``n_chars`` is counted anew. Documents of which nothing is taken, those without words too, are left out.
     """
-    packed, parts = plan(docs, keep=docs.columns, **options)
+    packed, parts = plan(boxed(docs, "doc_id", "source", "text"), keep=["_row"], **options)
     each = parts.withColumn("_round", F.explode(F.array(*[F.lit(e) for e in range(REPEATS)]))).where(F.expr("_rounds & shiftleft(1, _round)") > 0)
     spans = each.groupBy("_s", "_off", "_round").agg(F.sort_array(F.collect_list(F.struct("_from", "_len"))).alias("_spans"), F.sum("_len").alias("_n"))
-    words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    text = F.col("_row")["text"]
+    words = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     joined = packed.where("size > 0").join(spans, ["_s", "_off"]).withColumn("_words", F.when(F.col("_n") < F.col("size"), words))
     cut = F.array_join(F.transform("_spans", lambda x: F.array_join(F.slice("_words", (x["_from"] + 1).cast("int"), x["_len"].cast("int")), "")), "")
-    text = F.when(F.col("_n") < F.col("size"), F.regexp_replace(cut, r"[\x20\x09-\x0D]+$", "")).otherwise(F.col("text"))
-    out = joined.withColumn("text", text)
+    out = joined.withColumn("_cut", F.when(F.col("_n") < F.col("size"), F.regexp_replace(cut, r"[\x20\x09-\x0D]+$", "")).otherwise(text))
+    changed = {"text": F.col("_cut")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        changed["n_chars"] = F.char_length("_cut").cast(docs.schema["n_chars"].dataType)
+    return out.select(unboxed(docs.columns, **changed))

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from branchwise.llm.words import hash60
+from branchwise.llm.words import hash60, unboxed
 from branchwise.operators.skew import prefix_sum
 from branchwise.session import durable
 
@@ -62,22 +62,20 @@ def assign(docs: DataFrame, key: str, size: Column, limit: int, hash_bits: int =
 
     ``shard_bytes`` is the size of the bucket; an overflow page holds at most ``limit`` of it.
     """
-    sized = docs.withColumns({"_hash": hash60(F.col(key)), "_bytes": F.coalesce(size, F.lit(0)).cast("long")})
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    sized = docs.select(whole, hash60(F.col(key)).alias("_hash"), F.coalesce(size, F.lit(0)).cast("long").alias("_bytes"))
     buckets = directory(sized.select("_hash", "_bytes"), limit, hash_bits)
-    depths = sorted(r[0] for r in buckets.select("depth").distinct().collect())  # at most one per hash bit
-    if not depths:
-        depths = [0]
+    depths = sorted(r[0] for r in buckets.select("depth").distinct().collect()) or [0]  # at most one per hash bit
     placed = (sized.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths])))
               .withColumn("prefix", _prefix(F.col("_hash"), F.col("depth")))
               .join(buckets, ["depth", "prefix"])
               .withColumn("shard", F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(prefix), depth, '0')"))))
-    names = [c for c in docs.columns if c not in ("shard", "depth", "n_bytes", "shard_bytes")]
-    result = [*names, "shard", "depth", F.col("_bytes").alias("n_bytes"), "shard_bytes"]
+    result = unboxed(docs.columns, shard=F.col("shard"), depth=F.col("depth"), n_bytes=F.col("_bytes"), shard_bytes=F.col("shard_bytes"))
     crowded = (F.col("depth") == hash_bits) & (F.col("n_rows") > 1) & (F.col("shard_bytes") > limit)
     if not buckets.where(crowded).take(1):
         return placed.select(result), buckets
     full = durable(placed.where(crowded))
-    paged = prefix_sum(full, ["prefix"], [F.col("_bytes"), F.xxhash64(*[F.col(c) for c in docs.columns])], F.col("_bytes"), "_before")
+    paged = prefix_sum(full, ["prefix"], [F.col("_bytes"), F.xxhash64("_row")], F.col("_bytes"), "_before")
     step = F.greatest(F.lit(limit) - F.col("largest"), F.lit(1))
     paged = paged.withColumn("shard", F.concat_ws(".", "shard", F.floor(F.col("_before") / step).cast("string")))
     return placed.where(~crowded).select(result).unionByName(paged.select(result)), buckets

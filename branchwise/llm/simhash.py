@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from branchwise.llm.components import components
+from branchwise.llm.words import boxed, unboxed
 from branchwise.session import durable
 
 RADIUS = 3
@@ -166,6 +167,7 @@ def groups(marked: DataFrame, doc_id: str = "doc_id", radius: int = RADIUS) -> D
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group, that with the smallest doc_id; of rows that share it one stays. Columns are those of ``docs``."""
-    marked = fingerprints(docs.withColumn("_text", F.col(text)), text="_text")
+    marked = fingerprints(boxed(docs, doc_id, text), text=text)
     grouped = groups(durable(marked), doc_id)
-    return grouped.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).dropDuplicates(["_group"]).select(docs.columns)
+    kept = grouped.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).dropDuplicates(["_group"])
+    return kept.select(unboxed(docs.columns))

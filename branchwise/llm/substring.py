@@ -273,4 +273,4 @@ def deduplicate(docs: DataFrame, digest: bool = False, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *[pa.array(v, k) for v, k in zip(rows, kinds)]],
                                              [*keep, "n_words", "n_removed", new])
 
-    return joined.select(*[docs[c] for c in keep], docs["text"], "hits").mapInArrow(run, schema)
+    return joined.select(*[docs[c] for c in keep], docs["text"], right["hits"]).mapInArrow(run, schema)

@@ -15,7 +15,7 @@ Scores are computed in floating point only while every partial sum is below 2 **
 Defined cases: vectors that are null, or hold null or non-finite components, take no part, nor do rows without a vec_id; vectors of different
 length never meet; empty vectors score 0 with each other; rows that share the query's vec_id count as the query's own, and
 the smallest of their vectors is the query; equal scores go to the
-smaller vec_id; a query with fewer than k partners returns all of them. Components are floored to 64 bits. An empty table gives no rows.
+smaller vec_id; a query with fewer than k partners returns all of them. Scores must fit 64 bits. An empty table gives no rows.
 """
 
 from __future__ import annotations

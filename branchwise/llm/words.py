@@ -25,3 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def hash60(key: Column) -> Column:
     """The first 60 bits of MD5 as a long: the same in any SQL engine. Null counts as the empty string."""
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+
+
+def boxed(docs: DataFrame, *names: str) -> DataFrame:
+    """``names`` beside ``_row``, a struct of all columns: whatever they are called, they clash with no helper column."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), *[docs[c] for c in names])
+
+
+def unboxed(columns: list[str], **new: Column) -> list[Column]:
+    """The columns of a ``boxed`` table again, some replaced or added."""
+    kept = [new.get(c, F.col("_row")[c]).alias(c) for c in columns]
+    return kept + [v.alias(c) for c, v in new.items() if c not in columns]
