@@ -81,8 +81,8 @@ def fold_means(per_fold: DataFrame, by: Sequence[str], folds: int | None = None)
 
 
 def learning_curve(epochs: DataFrame, params: Sequence[str]) -> DataFrame:
-    """(params, epoch, f1_macro), one row per point, in reading order."""
-    return epochs.select(*params, "epoch", "f1_macro").orderBy(*params, "epoch")
+    """(params, epoch, f1_macro), one row per point; the reader sorts what it shows."""
+    return epochs.select(*params, "epoch", "f1_macro")
 
 
 def best_epoch(epochs: DataFrame, params: Sequence[str]) -> DataFrame:

@@ -29,11 +29,12 @@ def observations(members: DataFrame, messages: DataFrame, scaled_time: bool = Fa
 
     ``members`` carries earliest and latest of its branch, so no window over the branch is needed.
     """
-    facts = messages.select("msg_id", "sdqc", "created")
+    on = [c for c in ("corpus", "source_id", "msg_id") if c in members.columns and c in messages.columns]
+    facts = messages.select(*on, "sdqc", "created")
     created = F.col("created")
     time = (times.scaled_time(F.col("earliest"), F.col("latest"), created) if scaled_time
             else times.log_hours(F.col("earliest"), created))
-    return (members.join(facts, "msg_id")
+    return (members.join(facts, on)
             .withColumn("stance", labels.stance_code(F.col("sdqc")))
             .withColumn("t", F.when(F.col("branch_len") == 1, F.lit(0.0)).otherwise(time)))
 
@@ -41,9 +42,10 @@ def observations(members: DataFrame, messages: DataFrame, scaled_time: bool = Fa
 def sequences(observed: DataFrame, sources: DataFrame, branch: list[str], part: int = PART) -> DataFrame:
     """Ordered observations per branch with the claim code of its source.
 
-    A branch of more than ``part`` members is kept in several rows (``part`` 0, 1, …), so that no
-    row grows without bound; all others have exactly one. Unlabelled members are left out, and so
-    are branches in which none is labelled.
+    A branch of more than ``part`` members is stored in several rows (``part`` 0, 1, …), so that no row
+    grows without bound while models are fitted; ``whole`` puts them together again wherever rows are
+    results, and ``per_branch`` gives one row per branch wherever rows are counted. Unlabelled members
+    are left out, and so are branches in which none is labelled.
     """
     obs = F.array_sort(F.collect_list(F.struct("pos", "stance", "t")))
     keep = [c for c in ("source_id",) if c not in branch]
@@ -55,6 +57,18 @@ def sequences(observed: DataFrame, sources: DataFrame, branch: list[str], part:
     return grouped.join(claims, "source_id")
 
 
+def whole(seqs: DataFrame) -> DataFrame:
+    """One row per branch: its stored parts joined again in order, ``part`` gone."""
+    keys = [c for c in seqs.columns if c not in ("part", "obs")]
+    parts = F.array_sort(F.collect_list(F.struct("part", "obs")))
+    return seqs.groupBy(*keys).agg(F.flatten(F.transform(parts, lambda p: p["obs"])).alias("obs"))
+
+
+def per_branch(seqs: DataFrame) -> DataFrame:
+    """One row per branch without its observations, whichever of its parts are present."""
+    return seqs.drop("part", "obs").distinct()
+
+
 def prepare(seqs: DataFrame, unverified_cast: str = "none", remove_commenting: bool = False) -> DataFrame:
     """Recode unverified claims and, if asked, drop commenting observations and emptied rows."""
     out = seqs.withColumn("veracity", labels.cast_unverified(F.col("veracity"), unverified_cast))

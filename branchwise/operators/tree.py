@@ -136,38 +136,60 @@ def branch_members(messages: DataFrame, folds: Mapping[str, tuple[str, Column]]
 
     ``keep`` filters whole branches by their folds before they are expanded. ``index`` adds
     ``branch_idx``, the place of the branch in depth-first order of its thread, children ordered by
-    ``order`` (default: arrival time, then id).
+    ``order`` (default: ``sibling_order``); it needs no expansion, so ``keep`` saves the members of all other branches.
     """
     folds = folds or {}
     lifted = lift(reply_nodes(messages, {n: c for n, (_, c) in folds.items()}), {n: how for n, (how, _) in folds.items()})
     leaves = lifted.placed.where("is_leaf").withColumnRenamed("depth", "branch_len")
     carry = ["branch_len", *folds]
+    kept = leaves.where(keep) if keep is not None else leaves
     if index:
-        # The index counts the leaves of all branches, so all are expanded once and then filtered.
-        pairs = durable(expand(leaves, lifted.jumps, []))
-        place = _leaf_places(messages, pairs, order or ["created", "msg_id"], max_group)
-        kept = (leaves.where(keep) if keep is not None else leaves).select("scope", F.col("node").alias("leaf"), *carry)
-        rows = pairs.join(kept.join(place, ["scope", "leaf"]), ["scope", "leaf"])
-    else:
-        rows = expand(leaves.where(keep) if keep is not None else leaves, lifted.jumps, carry)
+        place = leaf_places(messages, lifted, order, max_group)
+        kept = kept.join(place, ["scope", "node"])
+        carry.append("branch_idx")
+    rows = expand(kept, lifted.jumps, carry)
     return (rows.select(F.col("scope").alias("source_id"), F.col("leaf").alias("leaf_id"),
                     *(["branch_idx"] if index else []),
                     (F.col("branch_len") - 1 - F.col("dist")).alias("pos"), "branch_len",
                     F.col("node").alias("msg_id"), *folds))
 
 
-def _leaf_places(messages, pairs, order, max_group):
-    """Depth-first place of each leaf = leaves under earlier siblings, added up along its path."""
-    under = pairs.groupBy("scope", "node").agg(F.count(F.lit(1)).alias("n_leaves"))
-    siblings = durable(
-        messages.where("not is_source")
-        .select(F.col("source_id").alias("scope"), F.col("msg_id").alias("node"), "parent_id",
-                *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-        .join(under, ["scope", "node"]))
+def sibling_order(messages: DataFrame) -> list[str]:
+    """Children in the order of their file where the reader kept it, else by arrival; then by id."""
+    return (["ord"] if "ord" in messages.columns else []) + ["created", "msg_id"]
+
+
+def leaf_counts(lifted: Lifted) -> DataFrame:
+    """Leaves under every node (itself included): scope, node, n_leaves, by doubling the depth looked at.
+
+    After round k a node has the leaves less than 2^k below it; each node then adds its own count to that of
+    its 2^k-th ancestor. Work is the number of nodes per round, whatever the length of their paths.
+    """
+    counts = lifted.placed.select("scope", "node", F.col("is_leaf").cast("long").alias("n_leaves"))
+    for jump in lifted.jumps:
+        more = (jump.join(counts, ["scope", "node"]).groupBy("scope", F.col("up").alias("node"))
+                .agg(F.sum("n_leaves").alias("_more")))
+        counts = durable(counts.join(more, ["scope", "node"], "left").select(
+            "scope", "node", (F.col("n_leaves") + F.coalesce("_more", F.lit(0))).alias("n_leaves")))
+    return counts
+
+
+def leaf_places(messages: DataFrame, lifted: Lifted, order: list[str] | None = None, max_group: int = MAX_GROUP) -> DataFrame:
+    """Depth-first place ``branch_idx`` of each leaf: leaves under earlier siblings, added up along its path while lifting."""
+    order = order or sibling_order(messages)
+    nodes = reply_nodes(messages, {"parent_id": F.col("parent_id"), **{f"_o{i}": F.col(c) for i, c in enumerate(order)}})
+    siblings = durable(nodes.join(leaf_counts(lifted), ["scope", "node"]))
     before = prefix_sum(siblings, ["scope", "parent_id"], [F.col(f"_o{i}") for i in range(len(order))],
-                        F.col("n_leaves"), "before", max_group).select("scope", "node", "before")
-    return (pairs.join(before, ["scope", "node"]).groupBy("scope", "leaf")
-            .agg(F.sum("before").cast("long").alias("branch_idx")))
+                        F.col("n_leaves"), "branch_idx", max_group).select("scope", "node", "parent", F.col("branch_idx").cast("long").alias("branch_idx"))
+    return lift(before, {"branch_idx": "sum"}).placed.where("is_leaf").select("scope", "node", "branch_idx")
+
+
+def indexed_branches(messages: DataFrame, order: list[str] | None = None, max_group: int = MAX_GROUP) -> DataFrame:
+    """source_id, leaf_id, branch_idx, branch_len of every branch, without listing members."""
+    lifted = lift(reply_nodes(messages))
+    leaves = lifted.placed.where("is_leaf").select("scope", "node", F.col("depth").alias("branch_len"))
+    return leaves.join(leaf_places(messages, lifted, order, max_group), ["scope", "node"]).select(
+        F.col("scope").alias("source_id"), F.col("node").alias("leaf_id"), "branch_idx", "branch_len")
 
 
 def unplaced(messages: DataFrame) -> DataFrame:
@@ -218,7 +240,7 @@ def children(messages: DataFrame, order: list[str] | None = None, max_group: int
 
     Long form on purpose: a message with very many replies never becomes one array.
     """
-    order = order or ["created", "msg_id"]
+    order = order or sibling_order(messages)
     replies = durable(messages.where("not is_source").select("source_id", "parent_id", "msg_id",
                                                             *[c for c in order if c != "msg_id"]))
     ranked = prefix_sum(replies, ["source_id", "parent_id"], [F.col(c) for c in order],
@@ -232,16 +254,10 @@ def reply_counts(messages: DataFrame) -> DataFrame:
             .agg(F.sum(F.when(F.col("is_source"), 0).otherwise(1)).alias("replies")))
 
 
-def previous_and_source(members: DataFrame) -> DataFrame:
-    """Each member with the message before it in its branch; the source comes before the first.
-
-    The members must hold valid branches; the neighbour at pos-1 is found by an equi-join, so no
-    branch is sorted inside one task.
-    """
-    before = members.select("source_id", "leaf_id", (F.col("pos") + 1).alias("pos"),
-                            F.col("msg_id").alias("_prev"))
-    return (members.join(before, ["source_id", "leaf_id", "pos"], "left")
-            .withColumn("prev_id", F.coalesce("_prev", "source_id")).drop("_prev"))
+def previous_and_source(members: DataFrame, messages: DataFrame) -> DataFrame:
+    """Each member with the message before it in its branch, which is its parent; the source comes before the first."""
+    parents = messages.where("not is_source").select("source_id", "msg_id", F.col("parent_id").alias("prev_id"))
+    return members.join(parents, ["source_id", "msg_id"])
 
 
 def first_occurrence(members: DataFrame, order: list[str]) -> DataFrame:

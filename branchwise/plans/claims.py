@@ -30,12 +30,12 @@ def judge(seqs: DataFrame, models: Sequence[hmm.Hmm], messages: DataFrame) -> Da
 
 
 def stance_lists(seqs: DataFrame) -> DataFrame:
-    """Stance names per branch part, in order."""
-    return seqs.select(*BRANCH, "part", F.transform("obs", lambda o: stance_name(o["stance"])).alias("stances"))
+    """Stance names per branch, in order."""
+    return sq.whole(seqs).select(*BRANCH, F.transform("obs", lambda o: stance_name(o["stance"])).alias("stances"))
 
 
 def predict_claims(messages: DataFrame, vectors: DataFrame, dim: int, stance_model, models: Sequence[hmm.Hmm]) -> DataFrame:
-    """Whole path for stored or newly collected threads: source_id, leaf_id, part, veracity, stances, claim."""
+    """Whole path for stored or newly collected threads: source_id, leaf_id, veracity, stances, claim."""
     members = durable(tree.branch_members(messages, folds=sq.time_folds(), index=True))
     context = durable(analysed(messages, members)).select("msg_id", "prev_id", *BRANCH)
     features = stance.vector_features(messages, context, members, vectors, dim, BRANCH)

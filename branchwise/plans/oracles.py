@@ -233,7 +233,7 @@ SENTIMENT_SUM = "CAST(coalesce(list_sum(list_transform(tokens, lambda t: CASE t
 oracle("lexicon_counts", ["mt"], f"SELECT msg_id, {', '.join(lexicon_count(n) for n in LEXICON_FEATURES)} FROM mt")
 oracle("sentiment", ["mt"], f"SELECT msg_id, {SENTIMENT_SUM} FROM mt")
 TAGS = "[" + ", ".join(f"'{t}'" for t in POS_TAGS) + "]"
-TAGGED = f"list_transform(tokens, lambda t: CASE WHEN length(t) <= 16 THEN {TAGS}[length(t)] ELSE 'X' END)"
+TAGGED = f"list_transform(tokens, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN 'X' ELSE {TAGS}[length(t) % 17 + 1] END)"
 oracle("pos_tag_lines", ["mt"], f"SELECT msg_id, array_to_string({TAGGED}, ' ') AS tags FROM mt WHERE len(tokens) > 0")
 oracle("pos_vector", ["mt"], "SELECT msg_id, " + " || ".join(f"CASE WHEN list_contains(k, '{t}') THEN '1' ELSE '0' END" for t in POS_TAGS)
        + f" AS slots FROM (SELECT msg_id, {TAGGED} AS k FROM mt)")

@@ -107,8 +107,7 @@ def thread_summary(spark, d):
 
 @query
 def branches(spark, d):
-    members = tree.branch_members(_messages(spark, d), index=True)
-    return members.where("pos = 0").select(*BRANCH, "branch_idx", "branch_len")
+    return tree.indexed_branches(_messages(spark, d)).select(*BRANCH, "branch_idx", "branch_len")
 
 
 @query
@@ -164,7 +163,8 @@ def reply_totals(spark, d):
 
 @query
 def previous_and_source(spark, d):
-    return tree.previous_and_source(durable(tree.branch_members(_messages(spark, d)))).select(*BRANCH, "pos", "msg_id", "prev_id")
+    m = _messages(spark, d)
+    return tree.previous_and_source(tree.branch_members(m), m).select(*BRANCH, "pos", "msg_id", "prev_id")
 
 
 @query
@@ -304,11 +304,11 @@ def value_ranges_ordered(spark, d):
 
 @query
 def lexicon_counts(spark, d):
+    """All four lists in one pass: two over the tokens, two over the words of the raw text."""
     m = _messages(spark, d)
-    out = m.select("msg_id")
-    lex = _lexicon(spark)
-    out = lx.attach_counts(out, lx.lexicon_counts(m, ["msg_id"], F.col("tokens"), lex, lx.LEXICON_FEATURES[:2]), ["msg_id"], lx.LEXICON_FEATURES[:2])
-    return lx.attach_counts(out, lx.lexicon_counts(m, ["msg_id"], tx.words(F.col("text")), lex, lx.LEXICON_FEATURES[2:]), ["msg_id"], lx.LEXICON_FEATURES[2:])
+    table = lx.list_terms(_lexicon(spark), dict(zip(lx.LEXICON_FEATURES, ["token", "token", "word", "word"])))
+    sums = lx.term_sums(m, ["msg_id"], {"token": F.col("tokens"), "word": tx.words(F.col("text"))}, table, lx.LEXICON_FEATURES)
+    return lx.attach_counts(m.select("msg_id"), sums, ["msg_id"], lx.LEXICON_FEATURES)
 
 
 @query
@@ -318,10 +318,10 @@ def sentiment(spark, d):
 
 
 def _tagger(m: DataFrame) -> DataFrame:
-    """A (token, tag) table over the corpus vocabulary, tags by token length; very long words stay unknown."""
-    n = F.length("token")
-    tag = F.get(F.array(*[F.lit(t) for t in lx.POS_TAGS]), (n - 1).cast("int"))
-    return tx.explode_terms(m, [], F.col("tokens"), "token").distinct().where(n <= 16).select("token", tag.alias("tag"))
+    """A (token, tag) table over the corpus vocabulary, tags by token length; tokens with a digit stay unknown."""
+    tag = F.get(F.array(*[F.lit(t) for t in lx.POS_TAGS]), F.pmod(F.length("token"), F.lit(len(lx.POS_TAGS))))
+    words = tx.explode_terms(m, [], F.col("tokens"), "token").distinct().where(~F.col("token").rlike("[0-9]"))
+    return words.select("token", tag.alias("tag"))
 
 
 @query
@@ -371,26 +371,26 @@ def _time_sum(obs):
 
 @query
 def sequences(spark, d):
-    s = sq.from_messages(_messages(spark, d), index=True)
+    s = sq.whole(sq.from_messages(_messages(spark, d), index=True))
     return s.select("source_id", "branch_idx", *_long("veracity"), _stances(F.col("obs")).alias("stances"), _time_sum(F.col("obs")).alias("t_sum"))
 
 
 @query
 def sequences_skip_first(spark, d):
-    s = sq.from_messages(_messages(spark, d), timestamps=False, skip_first=True)
+    s = sq.whole(sq.from_messages(_messages(spark, d), timestamps=False, skip_first=True))
     return s.select("source_id", "branch_idx", *_long("veracity"), _stances(F.col("obs")).alias("stances"))
 
 
 @query
 def sequences_without_commenting(spark, d):
-    s = sq.prepare(sq.from_messages(_messages(spark, d)), remove_commenting=True)
+    s = sq.whole(sq.prepare(sq.from_messages(_messages(spark, d)), remove_commenting=True))
     return s.select(*BRANCH, *_long("veracity"), _stances(F.col("obs")).alias("stances"))
 
 
 @query
 def sequence_casts(spark, d):
     """Claim classes of all sequences under the three treatments of unverified claims."""
-    s = sq.from_messages(_messages(spark, d), timestamps=False)
+    s = sq.per_branch(sq.from_messages(_messages(spark, d), timestamps=False))
     kinds = F.array(*[F.struct(F.lit(k).alias("unverified_cast"), lb.cast_unverified(F.col("veracity"), k).alias("veracity"))
                       for k in ("true", "false", "none")])
     return (s.groupBy("veracity").agg(F.count(F.lit(1)).alias("n")).select("n", F.inline(kinds))
@@ -413,7 +413,7 @@ def attach_stances(spark, d):
 @query
 def sequences_of_labelled(spark, d):
     """Sequences over labelled members only; branches without any are left out."""
-    s = sq.from_messages(_partly_labelled(_messages(spark, d)))
+    s = sq.whole(sq.from_messages(_partly_labelled(_messages(spark, d))))
     return s.select(*BRANCH, *_long("veracity"), _stances(F.col("obs")).alias("stances"), _time_sum(F.col("obs")).alias("t_sum"))
 
 
@@ -559,7 +559,7 @@ def majority_label(spark, d):
 @query
 def majority_baseline(spark, d):
     """Scores of the constant answer on branch sequences with unverified counted as true."""
-    s = durable(sq.prepare(sq.from_messages(_messages(spark, d), timestamps=False), "true"))
+    s = durable(sq.per_branch(sq.prepare(sq.from_messages(_messages(spark, d), timestamps=False), "true")))
     judged = majority.predict(s, majority.fit(s)).withColumnRenamed("veracity", "actual")
     return mt.scores(judged).select(*[F.round(c, 6).alias(c) for c in mt.METRICS])
 
@@ -680,7 +680,7 @@ def _parameters(spark, models) -> DataFrame:
 
 @query
 def hmm_fit_gaussian(spark, d):
-    return _parameters(spark, hmm.fit(sq.from_messages(_messages(spark, d)), timestamps=True, n_iter=5))
+    return _parameters(spark, hmm.fit(sq.from_messages(_messages(spark, d)), timestamps=True))
 
 
 @query
@@ -695,7 +695,7 @@ def hmm_fit_one_state(spark, d):
 
 @query
 def hmm_fit_discrete(spark, d):
-    return _parameters(spark, hmm.fit(sq.from_messages(_messages(spark, d), timestamps=False), kind="discrete", n_iter=5))
+    return _parameters(spark, hmm.fit(sq.from_messages(_messages(spark, d), timestamps=False), kind="discrete"))
 
 
 @query
@@ -705,7 +705,7 @@ def cross_corpus(spark, d):
     corpus = m.where("is_source").select("source_id", F.when(F.dayofweek("created") <= 3, "early").otherwise("late").alias("corpus"))
     s = durable(sq.from_messages(m).join(corpus, "source_id"))
     config = evaluation.Config(unverified_cast="true", remove_commenting=True, test=("early",), kind="discrete")
-    return evaluation.evaluate(s, config, ["early", "late"], folds=3, n_iter=3)
+    return evaluation.evaluate(s, config, ["early", "late"])
 
 
 # --- learned models ------------------------------------------------------------------------------
@@ -731,7 +731,7 @@ def stance_model(spark, d):
     """Hold-out scores of the stance classifier."""
     _, _, rows = _stance_rows(spark, d)
     split = durable(splits.holdout(rows, 0.2, *splits.shuffled(["msg_id"])))
-    result, _ = stance.test(split.where("is_test"), stance.fit(split.where("not is_test"), max_iter=20))
+    result, _ = stance.test(split.where("is_test"), stance.fit(split.where("not is_test")))
     return result
 
 
@@ -739,9 +739,9 @@ def stance_model(spark, d):
 def claim_predictions(spark, d):
     """Stance and claim labels for all branches from messages alone."""
     m, vectors, rows = _stance_rows(spark, d)
-    model = stance.fit(rows, max_iter=10)
+    model = stance.fit(rows)
     out = claims.predict_claims(m, vectors, DIM, model, discrete_models())
-    return out.select(*BRANCH, "part", "veracity", F.array_join("stances", ",").alias("stances"), "claim")
+    return out.select(*BRANCH, "veracity", F.array_join("stances", ",").alias("stances"), "claim")
 
 
 # --- stores, corpora, labelling -------------------------------------------------------------------

@@ -66,18 +66,19 @@ def build_features(messages: DataFrame, members: DataFrame, groups: Iterable[str
     if "text" in groups:
         numbers = text_counts(rows, key)
         scaled_cols += [c for c in tx.COUNT_FEATURES]
+    tables, names = [], []
     if "lexicon" in groups:
-        by_token = lx.lexicon_counts(rows, key, F.col("tokens"), lexicon, lx.LEXICON_FEATURES[:2])
-        by_word = lx.lexicon_counts(rows, key, tx.words(F.col("text")), lexicon, lx.LEXICON_FEATURES[2:])
-        numbers = numbers if numbers is not None else rows.select(*key)
-        numbers = lx.attach_counts(numbers, by_token, key, lx.LEXICON_FEATURES[:2])
-        numbers = lx.attach_counts(numbers, by_word, key, lx.LEXICON_FEATURES[2:])
-        scaled_cols += lx.LEXICON_FEATURES
+        kinds = dict(zip(lx.LEXICON_FEATURES, ["token", "token", "word", "word"]))
+        tables.append(lx.list_terms(lexicon, kinds).withColumn("score", F.col("score").cast("double")))
+        names += lx.LEXICON_FEATURES
     if "sentiment" in groups:
-        sums = lx.sentiment(rows, key, F.col("tokens"), sentiment)
-        numbers = numbers if numbers is not None else rows.select(*key)
-        numbers = lx.attach_counts(numbers, sums, key, ["sentiment"])
-        scaled_cols += ["sentiment"]
+        tables.append(sentiment.select(F.lit("token").alias("kind"), "term", F.lit("sentiment").alias("name"), F.col("score").cast("double").alias("score")))
+        names += ["sentiment"]
+    if names:  # one pass over the texts for all lists
+        table = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
+        sums = lx.term_sums(rows, key, {"token": F.col("tokens"), "word": tx.words(F.col("text"))}, table, names)
+        numbers = lx.attach_counts(numbers if numbers is not None else rows.select(*key), sums, key, names)
+        scaled_cols += names
     if numbers is not None:
         # Narrow numeric rows: needed for the ranges and again for scaling, so kept once.
         numbers = durable(numbers)

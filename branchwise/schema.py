@@ -37,7 +37,9 @@ REDDIT_THREAD = struct(
 TWEET = struct(
     id_str=S, full_text=S, text=S, created_at=S, lang=S,
     in_reply_to_status_id=S, in_reply_to_status_id_str=S, children=T.ArrayType(S),
-    SDQC_Submission=S, SDQC_Parent=S, SourceSDQC=S, TruthStatus=S)
+    SDQC_Submission=S, SDQC_Parent=S, SourceSDQC=S, TruthStatus=S,
+    entities=struct(hashtags=T.ArrayType(struct(text=S))), coordinates=struct(coordinates=T.ArrayType(D)),
+    retweeted_status=struct(id_str=S))
 
 STANCE_ANNOTATION = T.StructType([
     T.StructField("tweetid", S), T.StructField("responsetype-vs-source", S)])

@@ -75,9 +75,10 @@ def durable_counting(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Repartition a table that comes in fewer files than there are cores; others stay as they are.
+    """Repartition a table that is read in fewer parts than there are cores; others stay as they are.
 
-    For single-file inputs, whose one row group would leave all work on it to one task.
+    For single-file inputs, whose one row group would leave all work on it to one task. Changes the plan, never
+    the result; only the number of scan partitions is looked at.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -10,10 +10,16 @@ from branchwise.operators.tree import first_occurrence
 from branchwise.schema import REDDIT_THREAD
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """Raw documents with the event taken from the folder name."""
-    return (spark.read.schema(REDDIT_THREAD).option("multiLine", True).json(f"{path}/*/*.json")
+def scan(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Raw documents with the event taken from the folder name. A file without a submission is an error, or left
+    out without ``strict``."""
+    raw = (spark.read.schema(REDDIT_THREAD).option("multiLine", True).json(f"{path}/*/*.json")
             .withColumn("event", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)))
+    if strict:
+        bad = raw.where("redditSubmission.submission_id is null").select(F.col("_metadata.file_path")).take(5)
+        if bad:
+            raise ValueError(f"files without a submission: {[r[0] for r in bad]}")
+    return raw.where("redditSubmission.submission_id is not null")
 
 
 def _source_rows(raw: DataFrame, quotes: bool) -> DataFrame:
@@ -26,7 +32,8 @@ def _source_rows(raw: DataFrame, quotes: bool) -> DataFrame:
         tx.title_fallback(tx.mask_reddit(sub("text"), quotes), title).alias("text"),
         tx.reddit_tokens(title).alias("tokens"), times.reddit_time(sub("created")).alias("created"),
         source_stance(sub("SourceSDQC")).alias("sdqc"), F.lit(None).cast("string").alias("sdqc_parent"),
-        sub("IsRumour").alias("is_rumour"), sub("TruthStatus").alias("truth"))
+        sub("IsRumour").alias("is_rumour"), sub("TruthStatus").alias("truth"),
+        F.lit(-1).cast("long").alias("ord"))
 
 
 def _member_rows(raw: DataFrame) -> DataFrame:
@@ -50,12 +57,13 @@ def _comment_rows(raw: DataFrame, quotes: bool) -> DataFrame:
         F.lit(False).alias("is_source"), none.alias("title"), F.col("c.text").alias("text_raw"), text.alias("text"),
         tx.reddit_tokens(text).alias("tokens"), times.reddit_time(F.col("c.created")).alias("created"),
         F.col("c.SDQC_Submission").alias("sdqc"), F.col("c.SDQC_Parent").alias("sdqc_parent"),
-        F.lit(None).cast("boolean").alias("is_rumour"), none.alias("truth"))
+        F.lit(None).cast("boolean").alias("is_rumour"), none.alias("truth"), F.col("branch_idx").alias("ord"))
 
 
-def messages(spark: SparkSession, path: str, quotes: bool = True) -> DataFrame:
-    """Canonical messages; a comment listed in several branches appears once."""
-    raw = scan(spark, path)
+def messages(spark: SparkSession, path: str, quotes: bool = True, strict: bool = True) -> DataFrame:
+    """Canonical messages; a comment listed in several branches appears once. ``ord`` is the first branch it is listed in,
+    so siblings, and with them branches, keep the order of the file."""
+    raw = scan(spark, path, strict)
     return _source_rows(raw, quotes).unionByName(_comment_rows(raw, quotes))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from branchwise.functions.text import pair_text
 from branchwise.operators import tree
 from branchwise.operators.metrics import METRICS
+from branchwise.operators.sequences import whole
 
 
 def feature_table(features: DataFrame, path: str, columns: Sequence[str], fmt: str = "parquet", mode: str = "errorifexists") -> None:
@@ -31,10 +32,8 @@ def sequence_table(seqs: DataFrame, path: str, timestamps: bool = False, fmt: st
     if fmt == "parquet":
         seqs.write.mode(mode).parquet(path)
         return
-    # One text line holds a whole branch, so this form is refused for branches kept in parts.
-    if "part" in seqs.columns and seqs.where("part > 0").take(1):
-        raise ValueError("a branch is too long for one text line; write Parquet")
-    seqs.select(F.col("veracity").alias("TruthStatus"), sequence_text(F.col("obs"), timestamps).alias("SDQC_Labels")).write.mode(
+    lines = whole(seqs) if "part" in seqs.columns else seqs  # one text line holds a whole branch
+    lines.select(F.col("veracity").alias("TruthStatus"), sequence_text(F.col("obs"), timestamps).alias("SDQC_Labels")).write.mode(
         mode).csv(path, sep="\t", header=True, quote="")
 
 

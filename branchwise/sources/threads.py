@@ -19,13 +19,15 @@ def _from_path(depth: int):
 
 def stance_annotations(spark: SparkSession, base: str) -> DataFrame:
     """(msg_id, sdqc) of direct and deep replies. Only reply lines carry a response to the source,
-    so section headings and source lines drop out by that field."""
+    so section headings and source lines drop out by that field. Of a repeated id the last line counts,
+    files in the order of their names."""
+    lines = spark.read.text(f"{base}/annotations/*.json", wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     a = F.from_json("value", STANCE_ANNOTATION)
-    return (spark.read.text(f"{base}/annotations/*.json").select(a.alias("a"))
-            .where(F.col("a.`responsetype-vs-source`").isNotNull())
-            .select(F.col("a.tweetid").alias("msg_id"),
-                    lookup(F.col("a.`responsetype-vs-source`"), RESPONSE_TO_STANCE).alias("sdqc"))
-            .groupBy("msg_id").agg(F.max("sdqc").alias("sdqc")))
+    stance = lookup(F.col("a.`responsetype-vs-source`"), RESPONSE_TO_STANCE)
+    return (lines.select("file", "line", a.alias("a")).where(F.col("a.`responsetype-vs-source`").isNotNull())
+            .groupBy(F.col("a.tweetid").alias("msg_id"))
+            .agg(F.max(F.struct("file", "line", stance.alias("sdqc"))).alias("_last")).select("msg_id", "_last.sdqc"))
 
 
 def claim_overview(spark: SparkSession, path: str) -> DataFrame:
@@ -75,6 +77,8 @@ def structure_edges(spark: SparkSession, base: str) -> DataFrame:
             break
         parts.append(level.where("parent_id is not null").select("source_id", "parent_id", F.col("node").alias("msg_id")))
         level = level.select("source_id", "node", "value")
+    if not parts:
+        raise ValueError(f"no reply is listed in any structure.json below {base}")
     edges = parts[0]
     for part in parts[1:]:
         edges = edges.unionByName(part)

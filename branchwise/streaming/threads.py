@@ -18,32 +18,57 @@ from branchwise.sources import store as store_of
 BUCKETS = 64
 
 
-def _bucket():
-    return F.pmod(F.xxhash64("source_id"), F.lit(BUCKETS)).cast("int")
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("source_id"), F.lit(buckets)).cast("int")
+
+
+def newest(messages: DataFrame) -> DataFrame:
+    """Of every message the copy of the last batch; inside a batch the largest row, compared column by column
+    from the time on, so that a run over the same files gives the same."""
+    rest = [c for c in messages.columns if c not in ("source_id", "msg_id", "bucket", "batch")]
+    rest.sort(key=lambda c: c != "created")
+    return (messages.groupBy("source_id", "msg_id").agg(F.max(F.struct("batch", *rest)).alias("_m"))
+            .select("source_id", "msg_id", *[f"_m.{c}" for c in rest]))
 
 
 def update_threads(batch: DataFrame, batch_id: int, store: str, out: str,
-                   derive: Callable[[DataFrame], DataFrame] | None = None) -> None:
+                   derive: Callable[[DataFrame], DataFrame] | None = None, buckets: int = BUCKETS) -> None:
     """One micro-batch: store its messages, then write ``derive`` of all touched threads.
 
-    ``derive`` maps messages to rows with source_id, by default the branches with their lengths.
+    ``derive`` maps messages to rows with source_id, by default the branches with their lengths. A message seen again
+    replaces the older one. The number of ``buckets`` belongs to a store for good; choose it by the expected size, as a batch
+    reads the buckets it touches.
     """
     spark = batch.sparkSession
     # Few files per bucket, and several for a bucket that holds much of the batch.
-    (batch.withColumn("bucket", _bucket()).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket")
+    (batch.withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket")
      .parquet(f"{store}/batch={batch_id:012d}"))
     arrived = spark.read.option("basePath", store).parquet(f"{store}/batch={batch_id:012d}")
     touched = arrived.select("bucket", "source_id").distinct()
-    history = spark.read.option("basePath", store).parquet(store).where(F.col("batch") <= batch_id)
-    messages = (history.join(touched, ["bucket", "source_id"], "left_semi")
-                .dropDuplicates(["source_id", "msg_id"]).drop("bucket", "batch"))
+    ids = sorted(r[0] for r in touched.select("bucket").distinct().collect())  # at most ``buckets`` numbers
+    if not ids:
+        return
+    history = spark.read.option("basePath", store).parquet(store).where((F.col("batch") <= batch_id) & F.col("bucket").isin(ids))
+    messages = newest(history.join(touched, ["bucket", "source_id"], "left_semi")).select([c for c in batch.columns])
     store_of.append((derive or tree.branches)(messages), out, batch_id)
 
 
-def run(stream: DataFrame, store: str, out: str, checkpoint: str, derive=None, available_now: bool = True):
+def compact(spark: SparkSession, store: str, target: str, buckets: int = BUCKETS) -> None:
+    """Write the newest copy of every message of ``store`` as the first batch of the new store ``target``.
+
+    Run it between two streams now and then: later batches then read each message once. It keeps the number of
+    the last batch, so a stream with the same checkpoint goes on in ``target``.
+    """
+    history = spark.read.option("basePath", store).parquet(store)
+    last = history.agg(F.max("batch")).first()[0]
+    (newest(history).withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket").write.partitionBy("bucket")
+     .parquet(f"{target}/batch={int(last):012d}"))
+
+
+def run(stream: DataFrame, store: str, out: str, checkpoint: str, derive=None, available_now: bool = True, buckets: int = BUCKETS):
     """Start the query; with ``available_now`` it stops when all present input is handled."""
     writer = (stream.writeStream.option("checkpointLocation", checkpoint)
-              .foreachBatch(lambda batch, batch_id: update_threads(batch, batch_id, store, out, derive)))
+              .foreachBatch(lambda batch, batch_id: update_threads(batch, batch_id, store, out, derive, buckets)))
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()

@@ -119,7 +119,7 @@ def test_roots_of_unknown_threads(spark):
 def test_previous_children_and_direct_replies(spark):
     rows = [("s", "s", None, 0, "x"), ("s", "a", "s", 5, "x"), ("s", "b", "s", 2, "x"), ("s", "c", "a", 9, "x")]
     m = make(spark, rows)
-    prev = tree.previous_and_source(durable(tree.branch_members(m)))
+    prev = tree.previous_and_source(tree.branch_members(m), m)
     assert {(r.msg_id, r.prev_id) for r in prev.collect()} == {("a", "s"), ("b", "s"), ("c", "a")}
     for limit in (100, 1):
         kids = tree.children(m, max_group=limit)
