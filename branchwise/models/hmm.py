@@ -311,7 +311,7 @@ def fit(seqs: DataFrame, states: int = 2, kind: str = "gaussian", timestamps: bo
     """Fit all models named in the rows at once.
 
     ``seqs`` has obs and ``keys`` (array of "<group>|<label>" model names the row trains; default:
-    its own class). Equal rows are counted first, so a pass costs one visit per distinct sequence.
+    its own class). Without times equal rows are counted first, so a pass costs one visit per distinct sequence.
     """
     if kind not in ("gaussian", "discrete"):
         raise ValueError(f"kind must be gaussian or discrete, got {kind}")
@@ -326,7 +326,9 @@ def fit(seqs: DataFrame, states: int = 2, kind: str = "gaussian", timestamps: bo
     multi = rows.where("part > 0").select(*branch).distinct()
     has_long = bool(multi.take(1))
     short = rows.join(multi, list(branch), "left_anti") if has_long else rows
-    short = durable(short.groupBy("keys", "stance", "t").agg(F.count(F.lit(1)).cast("double").alias("weight")))
+    # Without times many sequences are equal; with them hardly any, so counting would only shuffle them whole.
+    short = durable(short.groupBy("keys", "stance", "t").agg(F.count(F.lit(1)).cast("double").alias("weight")) if width == 1
+                    else short.select("keys", "stance", "t", F.lit(1.0).alias("weight")))
     long = None
     if has_long:
         long = rows.join(multi, list(branch), "left_semi")

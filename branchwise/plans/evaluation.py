@@ -77,14 +77,14 @@ def evaluate(seqs: DataFrame, config: Config, corpora: Sequence[str], folds: int
     rows = prepare(seqs, config.unverified_cast, config.remove_commenting)
     rows = durable(assign(rows, config, corpora, folds, seed))
     keyed = rows.withColumn("keys", F.transform("train", lambda m: F.concat(m, F.lit("|"), F.col("veracity").cast("string"))))
-    models = hmm.fit(keyed, config.states, config.kind, config.timestamps, n_iter, seed=seed)
+    ids = ["corpus", *BRANCH]  # equal ids in two corpora are different branches
+    models = hmm.fit(keyed, config.states, config.kind, config.timestamps, n_iter, seed=seed, branch=ids)
     counted = (per_branch(rows.select("corpus", *BRANCH, "train", "veracity")).select(F.explode("train").alias("model"), "veracity").groupBy("model", "veracity").count()
                .groupBy("model").agg(F.max(F.struct("count", (-F.col("veracity")).alias("neg"))).alias("b")).collect())
     majority = {r["model"]: -r["b"]["neg"] for r in counted}  # one row per model
 
     names = list(corpora) + (["+".join(corpora)] if len(corpora) > 1 else [])
-    key = ["corpus", *BRANCH]  # ids may be the same in two corpora
-    lengths = rows.groupBy(*key).agg(F.sum(F.size("obs")).alias("n_obs"), F.max("veracity").alias("actual"), F.max("fold").alias("fold"))
+    lengths = rows.groupBy(*ids).agg(F.sum(F.size("obs")).alias("n_obs"), F.max("veracity").alias("actual"), F.max("fold").alias("fold"))
     judged = None
     for f in range(folds):
         fitted, owner = [], []
@@ -94,7 +94,7 @@ def evaluate(seqs: DataFrame, config: Config, corpora: Sequence[str], folds: int
                 if key.rsplit("|", 1)[0] == stem:
                     owner.append((name, model.label))
                     fitted.append(replace(model, label=len(fitted)))
-        scored = hmm.score(rows.where(F.col("fold") == f).select(*key, "part", "obs"), fitted, key)
+        scored = hmm.score(rows.where(F.col("fold") == f).select(*ids, "part", "obs"), fitted, ids)
         answers = []
         for name in names:
             mine = F.array(*[F.struct(F.lit(label).alias("label"), F.col("lls")[i]["ll"].alias("ll"))
@@ -102,9 +102,9 @@ def evaluate(seqs: DataFrame, config: Config, corpora: Sequence[str], folds: int
             stem = f"{name}@{f}" if f"{name}@{f}" in majority else f"{name}@all"
             answers += [F.struct(F.lit(name).alias("model"), hmm.best_label(mine).alias("predicted")),
                         F.struct(F.lit(name + "_majority").alias("model"), F.lit(majority.get(stem, -1)).alias("predicted"))]
-        part = scored.select(*key, F.inline(F.array(*answers)))
+        part = scored.select(*ids, F.inline(F.array(*answers)))
         judged = part if judged is None else judged.unionByName(part)
-    judged = judged.join(lengths, key).withColumn("length", length_bucket(F.col("n_obs")))
+    judged = judged.join(lengths, ids).withColumn("length", length_bucket(F.col("n_obs")))
     by = ["model"] + (["length"] if config.by_length else [])
     means = fold_means(scores(judged, [*by, "fold"]), by, folds)
     return means.select(

@@ -32,7 +32,8 @@ def sequence_table(seqs: DataFrame, path: str, timestamps: bool = False, fmt: st
     if fmt == "parquet":
         seqs.write.mode(mode).parquet(path)
         return
-    lines = whole(seqs) if "part" in seqs.columns else seqs  # one text line holds a whole branch
+    # One text line holds a whole branch; rows that name no branch are lines as they are.
+    lines = whole(seqs) if {"part", "leaf_id"} <= set(seqs.columns) else seqs
     lines.select(F.col("veracity").alias("TruthStatus"), sequence_text(F.col("obs"), timestamps).alias("SDQC_Labels")).write.mode(
         mode).csv(path, sep="\t", header=True, quote="")
 

@@ -148,3 +148,14 @@ def test_merge_keeps_repeats_inside_one_side(spark):
     assert sorted(tuple(r) for r in merge.upsert(a, b).collect()) == [("s", 3), ("t", 4), ("t", 4)]
     both = merge.union_corpora({"one": a, "two": b})
     assert {r.corpus: r["count"] for r in both.groupBy("corpus").count().collect()} == {"one": 2, "two": 3}
+
+
+def test_word_lists_are_the_broadcast_side(spark):
+    from branchwise.operators import lexicon as lx
+
+    texts = spark.range(1000).select(F.col("id").alias("msg_id"), F.array(F.lit("ikke"), F.col("id").cast("string")).alias("tokens"))
+    table = lx.list_terms(spark.createDataFrame([("negation_count", "ikke")], "list string, word string"), {"negation_count": "term"})
+    sums = lx.term_sums(texts, ["msg_id"], {"term": F.col("tokens")}, table, ["negation_count"])
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan and "hashpartitioning(term" not in plan
+    assert sums.count() == 1000

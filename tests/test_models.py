@@ -176,6 +176,30 @@ def test_fold_assignment_never_trains_on_its_test_rows(spark):
             assert len(r.train) == (4 if r.fold is not None else 6)
 
 
+def test_parts_are_never_a_result(spark):
+    from tests.test_tree import make
+
+    rows = [("s", "s", None, 0, "Commenting")] + [("s", f"c{i}", f"c{i - 1}" if i else "s", i + 1, "Commenting" if i < 4 else "Denying") for i in range(7)]
+    rows += [("s", "z", "s", 20, "Querying"), ("t", "t", None, 0, "x"), ("t", "q", "t", 1, "Denying")]
+    m = durable(make(spark, rows).withColumn("truth", F.when(F.col("is_source"), F.when(F.col("source_id") == "s", "True").otherwise("False"))))
+    cut_up, plain = (durable(sq.from_messages(m, part=n)) for n in (2, 10**9))
+    assert cut_up.count() > plain.count() == 3
+    shape = lambda df: sorted((r.leaf_id, r.veracity, [tuple(o) for o in r.obs]) for r in sq.whole(df).collect())
+    for remove in (False, True):
+        a, b = (durable(sq.prepare(s, remove_commenting=remove)) for s in (cut_up, plain))
+        assert shape(a) == shape(b)
+        assert sorted(map(tuple, sq.per_branch(a).collect())) == sorted(map(tuple, sq.per_branch(b).collect()))
+        assert majority.fit(sq.per_branch(a)).collect() == majority.fit(sq.per_branch(b)).collect()
+    # a branch whose first parts only comment still votes and is judged
+    results = []
+    for seqs in (cut_up, plain):
+        both = seqs.withColumn("corpus", F.lit("early")).unionByName(seqs.withColumn("corpus", F.lit("late")))  # equal ids in two corpora
+        config = evaluation.Config(unverified_cast="true", remove_commenting=True, test=("early", "late"), kind="discrete")
+        got = evaluation.evaluate(durable(both), config, ["early", "late"], folds=2, n_iter=2).collect()
+        results.append(sorted((r.model, *[round(r[x], 9) for x in mt.METRICS]) for r in got))
+    assert results[0] == results[1]
+
+
 def test_evaluation_and_grid(spark):
     seqs = durable(spark.createDataFrame(cut(sequences(n=36), 3), SEQ))
     config = evaluation.Config(unverified_cast="true", remove_commenting=False, test=("early", "late"), kind="discrete", by_length=True)

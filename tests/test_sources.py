@@ -98,6 +98,54 @@ def test_thread_folders(spark, threads_dir, edges):
     assert seqs == {"12": ([0, 1], 2)}
 
 
+def test_last_stance_line_counts(spark, threads_dir, tmp_path):
+    more = [{"tweetid": "11", "responsetype-vs-source": "disagreed"}, {"tweetid": "11", "responsetype-vs-source": "comment"}]
+    with open(tmp_path / "annotations" / "en-scheme.json", "a") as f:
+        f.write("\n" + "\n".join(map(json.dumps, more)))
+    got = {r.msg_id: r.sdqc for r in threads.stance_annotations(spark, threads_dir).collect()}
+    assert got == {"11": "Commenting", "12": "Denying"}
+
+
+def test_unreadable_threads_are_reported(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("7\tnot json\n1\t" + json.dumps({"1": tweet("1", None, "x", [])}) + "\n")
+    with pytest.raises(ValueError, match="7"):
+        tweets.messages(spark, str(tmp_path / "t.txt")).count()
+    assert tweets.messages(spark, str(tmp_path / "t.txt"), strict=False).count() == 1
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "x.json").write_text("{}")
+    with pytest.raises(ValueError, match="x.json"):
+        reddit.messages(spark, str(tmp_path))
+    assert reddit.messages(spark, str(tmp_path), strict=False).count() == 0
+
+
+def test_a_reply_listed_twice_has_one_parent(spark, tmp_path):
+    thread = {"1": tweet("1", None, "x", ["2", "3"]), "2": tweet("2", "1", "x", ["9", "4"]), "3": tweet("3", "1", "x", ["4"]), "4": tweet("4", "2", "x", []),
+              "9": tweet("9", "2", "RT @a x", [])}
+    thread["1"]["entities"] = {"hashtags": [{"text": "Jord"}]}
+    thread["1"]["coordinates"] = {"coordinates": [10.2, 56.1]}
+    (tmp_path / "t.txt").write_text("1\t" + json.dumps(thread) + "\n")
+    m = durable(tweets.messages(spark, str(tmp_path / "t.txt")))
+    rows = {r.msg_id: r for r in m.collect()}
+    assert m.count() == 5 and rows["4"].parent_id == "3"  # first in the list of 3, second in that of 2
+    assert rows["9"].is_retweet and not rows["4"].is_retweet
+    for options, n in (({"hashtag": "#jord"}, 5), ({"hashtag": "sol"}, 0), ({"near": (56.2, 10.2, 200.0)}, 5), ({"near": (50.0, 10.2, 200.0)}, 0),
+                       ({"drop_retweets": True}, 5), ({"lang": "da"}, 5), ({"lang": "en"}, 0), ({"min_replies": 4}, 5), ({"min_replies": 5}, 0)):
+        assert tree.select_threads(m, **options).count() == n
+
+
+def test_reddit_branches_keep_the_order_of_the_file(spark, tmp_path):
+    late, early, deep = comment("z", "sub", "x", "Denying", 9), comment("a", "sub", "x", "Querying", 1), comment("m", "z", "x", "Supporting", 12)
+    more = comment("b", "z", "x", "Commenting", 11)
+    document = {"redditSubmission": {"submission_id": "sub", "title": "t", "text": "t", "created": "2019-01-01T10:00:00", "TruthStatus": "True"},
+                "branches": [[late, deep], [late, more], [early]]}
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "sub.json").write_text(json.dumps(document))
+    m = durable(reddit.messages(spark, str(tmp_path)))
+    want = {(r.branch_idx, r.leaf_id) for r in reddit.members(spark, str(tmp_path)).collect()}
+    assert {(r.branch_idx, r.leaf_id) for r in tree.indexed_branches(m).collect()} == want == {(0, "m"), (1, "b"), (2, "a")}
+    assert {r.leaf_id for r in sq.from_messages(m, skip_first=True).collect()} == {"b", "a"}
+
+
 def test_claim_overview(spark, threads_dir, tmp_path):
     overview = threads.veracity_overview(spark, threads_dir)
     assert [tuple(r) for r in overview.collect()] == [("10", 0)]
@@ -116,9 +164,11 @@ def test_sequence_text_round_trip(spark, tmp_path):
     seqs = spark.createDataFrame([(1, 0, [(3, 0.0), (0, 0.25)])], "veracity int, part int, obs array<struct<stance:int,t:double>>")
     sinks.sequence_table(seqs, str(tmp_path / "ts"), timestamps=True, fmt="tsv")
     assert [(o.stance, o.t) for o in tables.sequences(spark, str(tmp_path / "ts")).head().obs] == [(3, 0.0), (0, 0.25)]
-    long = seqs.withColumn("part", F.lit(1))
-    with pytest.raises(ValueError):
-        sinks.sequence_table(long, str(tmp_path / "no"), fmt="tsv")
+    parts = spark.createDataFrame([("l", 1, 1, [(1, 0.5)]), ("l", 1, 0, [(3, 0.0), (0, 0.25)]), ("k", 1, 0, [(2, 0.0)])],
+                                  "leaf_id string, veracity int, part int, obs array<struct<stance:int,t:double>>")
+    sinks.sequence_table(parts, str(tmp_path / "parts"), timestamps=True, fmt="tsv")
+    back = tables.sequences(spark, str(tmp_path / "parts")).collect()
+    assert sorted([(o.stance, o.t) for o in r.obs] for r in back) == [[(2, 0.0)], [(3, 0.0), (0, 0.25), (1, 0.5)]]
 
 
 def test_word_files(spark, tmp_path):

@@ -21,6 +21,23 @@ def test_late_replies_reopen_a_thread(spark, tmp_path):
     assert arrive([("s", "c", "s", 3, "x")]) == {("s", "b", 2), ("s", "d", 2), ("t", "q", 1)}
 
 
+def test_the_newest_message_wins(spark, tmp_path):
+    base = str(tmp_path)
+    first = make(spark, [("s", "s", None, 0, "x"), ("s", "a", "s", 1, "Denying"), ("s", "b", "a", 2, "x")])
+    second = make(spark, [("s", "b", "s", 2, "x"), ("s", "a", "s", 1, "Supporting")])
+    labels = lambda m: m.where("not is_source").select("source_id", "msg_id", "parent_id", "sdqc")
+    for i, batch in enumerate((first, second)):
+        threads.update_threads(batch, i, f"{base}/store", f"{base}/out", buckets=4)
+        threads.update_threads(batch, i, f"{base}/store2", f"{base}/labels", labels, buckets=4)
+    assert {(r.leaf_id, r.branch_len) for r in threads.latest(spark, f"{base}/out").collect()} == {("a", 1), ("b", 1)}
+    want = {("a", "s", "Supporting"), ("b", "s", "x")}
+    assert {(r.msg_id, r.parent_id, r.sdqc) for r in threads.latest(spark, f"{base}/labels").collect()} == want
+    threads.compact(spark, f"{base}/store2", f"{base}/store3", buckets=4)
+    threads.update_threads(make(spark, [("s", "c", "b", 3, "x")]), 2, f"{base}/store3", f"{base}/labels", labels, buckets=4)
+    assert {(r.msg_id, r.parent_id, r.sdqc) for r in threads.latest(spark, f"{base}/labels").collect()} == want | {("c", "b", "x")}
+    assert {r.batch for r in spark.read.option("basePath", f"{base}/store3").parquet(f"{base}/store3").select("batch").distinct().collect()} == {1, 2}
+
+
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     base = str(tmp_path)
     batch = make(spark, [("s", "s", None, 0, "x"), ("s", "a", "s", 1, "x")])
