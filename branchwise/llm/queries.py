@@ -129,3 +129,88 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * C
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) r WHERE rank <= 5
 """
+
+WORD_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES["op7_substring_dedup"] = f"""
+WITH w AS (SELECT doc_id, {WORD_SQL} AS ws FROM documents),
+     win AS (SELECT doc_id, s, list_slice(ws, s, s + 12) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS s FROM w)),
+     low AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+     hit AS (SELECT DISTINCT doc_id, s + o AS p FROM win JOIN low USING (k), (SELECT unnest(range(0, 13)) AS o) WHERE m < doc_id),
+     each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+     kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM each ANTI JOIN hit USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES["op4_line_templates"] = rf"""
+WITH a AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents),
+     l AS (SELECT doc_id, text, unnest(a) AS line, unnest(range(1, len(a) + 1)) AS no, unnest(list_prepend(NULL, a[:-2])) AS before,
+                  unnest(list_append(a[2:], NULL)) AS after FROM a),
+     t AS (SELECT doc_id, text, no, row(before, after) AS ctx,
+                  list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '{templates.FIELD}' ELSE w END) AS ws FROM l),
+     f AS (SELECT *, row(len(ws), ws[1:{templates.DEPTH}]) AS leaf FROM t WHERE len(ws) > 0),
+     c AS (SELECT f.* FROM f JOIN (SELECT leaf FROM f GROUP BY leaf HAVING count(DISTINCT ctx) >= {templates.RECUR}) USING (leaf)),
+     d AS (SELECT leaf, ws, count(*) AS n FROM c GROUP BY ALL),
+     e AS (SELECT leaf, ws, n, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+     o AS (SELECT leaf, p, word FROM e WHERE word <> '{templates.FIELD}' GROUP BY ALL HAVING sum(n) >= {templates.RECUR}),
+     g AS (SELECT e.leaf, e.ws, string_agg(CASE WHEN o.word IS NULL THEN '{templates.FIELD}' ELSE e.word END, ' ' ORDER BY e.p) AS tpl
+           FROM e LEFT JOIN o ON o.leaf = e.leaf AND o.p = e.p AND o.word = e.word GROUP BY ALL
+           HAVING avg(CASE WHEN o.word IS NOT NULL OR e.word = '{templates.FIELD}' THEN 1.0 ELSE 0 END) >= {templates.CONSTANT}
+              AND avg(CASE WHEN o.word IS NOT NULL THEN 1.0 ELSE 0 END) >= 0.5),
+     j AS (SELECT c.leaf, tpl, doc_id, text, no, ctx FROM c JOIN g ON g.leaf = c.leaf AND g.ws = c.ws),
+     r AS (SELECT leaf, tpl, min(doc_id) AS first_id FROM j GROUP BY ALL
+           HAVING count(DISTINCT row(doc_id, text)) >= {templates.RECUR} AND count(DISTINCT ctx) >= {templates.RECUR}),
+     x AS (SELECT DISTINCT doc_id, text, no FROM j JOIN r USING (leaf, tpl) WHERE doc_id IS DISTINCT FROM first_id),
+     gone AS (SELECT doc_id, text, count(*) AS n FROM x GROUP BY ALL),
+     kept AS (SELECT l.doc_id, l.text, string_agg(l.line, chr(10) ORDER BY l.no) AS new_text FROM (SELECT DISTINCT doc_id, text, line, no FROM l) l
+              ANTI JOIN x ON x.doc_id = l.doc_id AND x.text = l.text AND x.no = l.no SEMI JOIN gone ON gone.doc_id = l.doc_id AND gone.text = l.text GROUP BY ALL)
+SELECT a.doc_id, CASE WHEN gone.n IS NULL THEN a.text ELSE coalesce(kept.new_text, '') END AS text,
+       CAST(coalesce(len(a.a), 0) AS BIGINT) AS n_lines, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_dropped
+FROM a LEFT JOIN gone ON gone.doc_id = a.doc_id AND gone.text = a.text LEFT JOIN kept ON kept.doc_id = a.doc_id AND kept.text = a.text
+"""
+
+
+def _hash_sql(text: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
+
+
+def _mixing_sql(block: int = mixing.BLOCK, shard: int = mixing.SHARD, rounds: int = mixing.ROUNDS, repeats: int = mixing.REPEATS) -> str:
+    x, steps = "x", []
+    for r in range(rounds):
+        key = f"(({_hash_sql(f'''concat('mix|key|', s, '|', round * {rounds} + {r})''')} - {x}) % n_blocks + n_blocks) % n_blocks"
+        steps.append(f"p{r} AS (SELECT *, {key} AS y{r} FROM {f'q{r - 1}' if r else 'slot'}),\n"
+                     f"q{r} AS (SELECT * REPLACE (CASE WHEN substr(md5(concat('mix|swap|', s, '|', round, '|{r}|', greatest({x}, y{r}))), 1, 1) < '8' THEN y{r} ELSE {x} END AS x) FROM p{r})")
+    return f"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len({WORD_SQL}), 0) AS BIGINT) AS size FROM documents),
+w AS (SELECT *, 3.0::DOUBLE * source_size AS cap, [{', '.join(f'{v}.0::DOUBLE' for v in mixing.WEIGHTS)}][s % {len(mixing.WEIGHTS)} + 1] AS weight
+      FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS s FROM d GROUP BY source)),
+lv AS (SELECT *, (CAST(sum(source_size) OVER () AS BIGINT) - coalesce(sum(cap) OVER (ORDER BY cap / weight, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                 / sum(weight) OVER (ORDER BY cap / weight, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM w),
+tg AS (SELECT *, least(cap, coalesce(max(CASE WHEN lvl <= cap / weight THEN lvl END) OVER () * weight, cap)) AS target, CAST(ceil(source_size / {block}) AS BIGINT) AS n_blocks FROM lv),
+qt AS (SELECT *, CAST(least({repeats} * n_blocks, floor(coalesce(target * n_blocks / nullif(source_size, 0), 0) + 0.5)) AS BIGINT) AS quota FROM tg),
+src AS (SELECT *, CAST(sum(quota) OVER (ORDER BY s) AS BIGINT) AS hi FROM qt),
+pk AS (SELECT d.*, src.s, src.source_size, src.target, CAST(coalesce(sum(size) OVER (PARTITION BY src.s
+              ORDER BY {_hash_sql("coalesce(CAST(doc_id AS VARCHAR), '')")}, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off
+       FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source),
+total AS (SELECT CAST(sum(quota) AS BIGINT) AS n FROM src),
+pt AS (SELECT id // {shard} AS shard, CAST(floor(CAST({_hash_sql("concat('mix|draw|', id)")} AS DOUBLE) / 1152921504606846976.0::DOUBLE * n) AS BIGINT) AS place
+       FROM (SELECT unnest(range(n)) AS id, n FROM total)),
+ct AS (SELECT shard, s, count(*) AS c FROM pt JOIN src ON place >= hi - quota AND place < hi GROUP BY ALL),
+kp AS (SELECT ct.*, least(greatest(quota - coalesce(sum(c) OVER (PARTITION BY ct.s ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0), c)::BIGINT AS keep
+       FROM ct JOIN src USING (s)),
+sp AS (SELECT shard, unnest(range(upto - m, upto)) AS r FROM (SELECT *, CAST(sum(m) OVER (ORDER BY shard, s) AS BIGINT) AS upto FROM (SELECT *, c - keep AS m FROM kp) WHERE m > 0)),
+ms AS (SELECT s, unnest(range(upto - m, upto)) AS r FROM (SELECT *, CAST(sum(m) OVER (ORDER BY s) AS BIGINT) AS upto FROM
+         (SELECT src.s, CAST(quota - coalesce(got, 0) AS BIGINT) AS m FROM src LEFT JOIN (SELECT s, sum(keep) AS got FROM kp GROUP BY s) USING (s)) WHERE m > 0)),
+fc AS (SELECT shard, s, CAST(sum(n) AS BIGINT) AS n FROM (SELECT shard, s, keep AS n FROM kp WHERE keep > 0 UNION ALL SELECT shard, s, 1 FROM sp JOIN ms USING (r)) GROUP BY ALL),
+st AS (SELECT s, n, CAST(coalesce(sum(n) OVER (PARTITION BY s ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS k FROM fc),
+slot AS (SELECT s, n_blocks, i // n_blocks AS round, i % n_blocks AS x FROM (SELECT s, unnest(range(k, k + n)) AS i FROM st) JOIN src USING (s)),
+{(',' + chr(10)).join(steps)},
+us AS (SELECT s, x AS j, count(*) AS times FROM q{rounds - 1} GROUP BY ALL),
+pc AS (SELECT s, off, size, unnest(range(off // {block}, (off + size - 1) // {block} + 1)) AS j FROM pk WHERE size > 0),
+tk AS (SELECT s, off, CAST(sum((least((j + 1) * {block}, off + size) - greatest(j * {block}, off)) * times) AS BIGINT) AS taken FROM pc JOIN us USING (s, j) GROUP BY ALL)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM pk LEFT JOIN tk ON pk.size > 0 AND tk.s = pk.s AND tk.off = pk.off
+"""
+
+
+ORACLES["op2_source_mixing"] = _mixing_sql()
