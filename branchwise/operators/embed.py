@@ -133,12 +133,17 @@ def unit(vectors: DataFrame) -> DataFrame:
 
 
 def train_vectors(sentences: DataFrame, tokens: str, dim: int = 300, min_count: int = 5,
-                  seed: int = 42, max_iter: int = 1, partitions: int = 1) -> DataFrame:
-    """Skip-gram word vectors as a (token, vector) table."""
+                  seed: int = 42, max_iter: int = 1, partitions: int | None = None) -> DataFrame:
+    """Skip-gram word vectors as a (token, vector) table, trained in ``partitions`` parts (default: one per core).
+
+    Spark's trainer holds vocabulary times ``dim`` numbers on the driver and sends them to every task: raise ``min_count`` until
+    that fits.
+    """
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
     model = Word2Vec(vectorSize=dim, minCount=min_count, inputCol=tokens, outputCol="_v", seed=seed,
-                     maxIter=max_iter, numPartitions=partitions).fit(sentences)
+                     maxIter=max_iter,
+                     numPartitions=partitions or sentences.sparkSession.sparkContext.defaultParallelism).fit(sentences)
     return model.getVectors().select(F.col("word").alias("token"),
                                      vector_to_array("vector", "float32").alias("vector"))

@@ -132,7 +132,9 @@ oracle("unplaced", ["m"], """
        extra="""live AS (SELECT * FROM m WHERE is_source OR sdqc <> 1),
 reach AS (SELECT msg_id FROM live WHERE is_source UNION ALL SELECT l.msg_id FROM reach r JOIN live l ON l.parent_id = r.msg_id)""")
 oracle("branch_tokens", ["mf", "mt"], """
-    SELECT mf.source_id, branch_idx, pos, CAST(len(tokens) AS BIGINT) AS n_tokens, array_to_string(tokens, ' ') AS pool FROM mf JOIN mt USING (msg_id)""")
+    SELECT source_id, branch_idx, CAST(0 AS BIGINT) AS piece, CAST(sum(len(tokens)) AS BIGINT) AS n_tokens,
+           string_agg(array_to_string(tokens, ' '), ' ' ORDER BY pos) FILTER (WHERE len(tokens) > 0) AS pool
+    FROM (SELECT mf.source_id, branch_idx, pos, tokens FROM mf JOIN mt USING (msg_id)) GROUP BY source_id, branch_idx""")
 oracle("drop_commenting_branches", ["mf"], """
     SELECT source_id, leaf_id, branch_len, CAST(count(*) FILTER (WHERE sdqc = 3) AS BIGINT) AS n_commenting FROM mf
     GROUP BY ALL HAVING count(*) FILTER (WHERE sdqc = 3) < count(*)""")
@@ -297,9 +299,9 @@ oracle("similarities", ["ctx", "msum", "mnorm"], f"""
                JOIN bsum b ON b.leaf_id = c.leaf_id AND b.i = a.i JOIN mnorm na ON na.msg_id = c.msg_id JOIN bnorm nb ON nb.leaf_id = c.leaf_id GROUP BY c.msg_id) b USING (msg_id)""",
        extra="""bsum AS (SELECT leaf_id, i, sum(x) AS x FROM mf JOIN msum USING (msg_id) GROUP BY ALL),
 bnorm AS (SELECT leaf_id, sqrt(sum(x * x)) AS norm FROM bsum GROUP BY leaf_id)""")
-oracle("word_similarity", ["mt", "vec"], """
+oracle("word_similarity", ["mtok", "vec"], """
     SELECT w1, w2, round(coalesce(list_cosine_similarity(a.v, b.v), 0.0), 6) AS similarity
-    FROM (SELECT DISTINCT tokens[1] AS w1, tokens[2] AS w2 FROM mt WHERE len(tokens) > 1)
+    FROM (SELECT DISTINCT a.token AS w1, b.token AS w2 FROM mtok a JOIN mtok b ON b.msg_id = a.msg_id AND b.pos = a.pos + 1)
     LEFT JOIN vec a ON a.token = w1 LEFT JOIN vec b ON b.token = w2""")
 oracle("nearest_words", ["vec"], """
     SELECT word, rank, neighbour, round(similarity, 6) AS similarity FROM (
@@ -323,10 +325,16 @@ oracle("branch_features", ["mt", "kept"], f"""
     SELECT source_id, leaf_id, count(*) AS n, {', '.join(f'round(sum({c}), 4) AS {c}' for c in TEXT_ORDER)}
     FROM mf JOIN feat USING (msg_id) WHERE leaf_id IN (SELECT leaf_id FROM kept) GROUP BY ALL""",
        extra=KEPT_RAW.replace("round(", "(").replace(", 6) AS", ") AS"))
-oracle("vector_feature_table", ["mtok", "vec"], """
-    SELECT msg_id, sim_to_src, sim_to_prev, sim_to_branch, a.n AS n_comment, b.n AS n_source
-    FROM sims JOIN m USING (msg_id) JOIN counts a USING (msg_id) JOIN counts b ON b.msg_id = m.source_id""",
-       extra="counts AS (SELECT msg_id, count(*) AS n FROM mtok JOIN vec USING (token) GROUP BY msg_id),\nsims AS ("
+# Rows of a message's matrix and their position-weighted sum.
+MATRICES = """counts AS (SELECT msg_id, count(*) AS n, sum(w * r) AS c FROM (
+  SELECT msg_id, w, row_number() OVER (PARTITION BY msg_id ORDER BY pos) AS r FROM mtok
+  JOIN (SELECT token, list_sum(list_transform(v, lambda x, i: x * i)) AS w FROM vec) USING (token)) GROUP BY msg_id)"""
+oracle("vector_feature_table", ["mtok", "vec", "mt", "msum"], """
+    SELECT msg_id, sim_to_src, sim_to_prev, sim_to_branch, a.n AS n_comment, b.n AS n_source, round(a.c, 3) AS comment_checksum, round(b.c, 3) AS source_checksum,
+           round(coalesce(avg_sum, 0.0), 4) AS avg_checksum
+    FROM sims JOIN m USING (msg_id) JOIN counts a USING (msg_id) JOIN counts b ON b.msg_id = m.source_id
+    LEFT JOIN (SELECT msg_id, sum(x / len(tokens) * (i + 1)) AS avg_sum FROM msum JOIN mt USING (msg_id) GROUP BY msg_id) USING (msg_id)""",
+       extra=MATRICES + ",\nsims AS ("
              + ORACLES["q_similarities"] + ")")
 
 # --- statistics and metrics ---------------------------------------------------------------------
@@ -420,6 +428,18 @@ oracle("hmm_fit_one_state", ["obs"], """
     SELECT CAST(truth AS BIGINT) AS label, round(avg(sdqc), 6) AS stance_mean, round(avg(t), 6) AS time_mean,
            round(var_pop(sdqc), 6) AS stance_var, round(var_pop(t), 6) AS time_var FROM obs GROUP BY truth""")
 
+# Siblings in the files from the latest to the first.
+LATE = """
+late AS (SELECT source_id, leaf_id, veracity, stances, t_sum, CAST(row_number() OVER (PARTITION BY br.conv_id ORDER BY list_transform(path, lambda x: -x)) - 1 AS BIGINT) AS branch_idx
+         FROM br JOIN seq USING (source_id, leaf_id))"""
+oracle("reddit_file", ["br", "seq"], "SELECT source_id, leaf_id, branch_idx, veracity, stances, round(t_sum, 6) AS t_sum FROM late WHERE branch_idx > 0", extra=LATE)
+oracle("tweet_file", ["br", "seq"], "SELECT source_id, leaf_id, branch_idx, veracity, stances, round(t_sum, 6) AS t_sum FROM late", extra=LATE)
+oracle("stance_annotation_file", ["m"], f"SELECT msg_id, {STANCE.format('sdqc')} AS sdqc FROM m WHERE NOT is_source")
+oracle("claim_overview_file", ["m"], f"SELECT source_id, {TRUTH.format('truth')} AS truth FROM m WHERE is_source")
+oracle("flagged_claims", ["mf"], f"""
+    SELECT source_id, leaf_id, 'False' AS veracity, string_agg({STANCE.format('sdqc')}, ',' ORDER BY pos) AS stances
+    FROM mf JOIN best USING (source_id, leaf_id) WHERE predicted = 0 GROUP BY source_id, leaf_id""", extra=HMM_DISCRETE + "," + BEST)
+
 # --- stores, corpora, labelling -------------------------------------------------------------------
 
 oracle("merge_stores", ["m"], """
@@ -465,9 +485,8 @@ oracle("sentence_file", [], f"""
 oracle("vector_file", ["vec"], """
     SELECT token, CAST(len(v) AS BIGINT) AS dim, round(list_sum(list_transform(v, lambda x, i: x * i)), 4) AS checksum FROM vec""")
 oracle("matrix_file", ["m", "mtok", "vec"], """
-    SELECT m.msg_id, CAST(sdqc AS BIGINT) AS sdqc, a.n AS n_comment, b.n AS n_source
-    FROM m JOIN counts a USING (msg_id) JOIN counts b ON b.msg_id = m.source_id WHERE turn > 0""",
-       extra="counts AS (SELECT msg_id, count(*) AS n FROM mtok JOIN vec USING (token) GROUP BY msg_id)")
+    SELECT m.msg_id, CAST(sdqc AS BIGINT) AS sdqc, a.n AS n_comment, b.n AS n_source, round(a.c, 3) AS comment_checksum, round(b.c, 3) AS source_checksum
+    FROM m JOIN counts a USING (msg_id) JOIN counts b ON b.msg_id = m.source_id WHERE turn > 0""", extra=MATRICES)
 oracle("annotation_task_files", ["msg"], """
     SELECT 'claims' AS task, msg_id AS id_str, text, CAST(0 AS BIGINT) AS n_labels FROM msg WHERE turn = 0
     UNION ALL SELECT 'stances', r.msg_id, 'Source: ' || s.text || chr(10) || chr(10) || 'Reply: ' || r.text, 0

@@ -17,7 +17,8 @@ from branchwise.plans import claims, evaluation
 from branchwise.plans import stance_features as sf
 from branchwise.session import configure, durable, scratch_path, spread
 from branchwise.sources import conversations as cv, sinks, store, tables
-from branchwise.sources.read import annotation_data
+from branchwise.sources import threads as threads_of
+from branchwise.sources.read import annotation_data, read_messages
 from branchwise.streaming import activity as st, threads as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +89,12 @@ def _checksum(vector):
     return F.aggregate(F.transform(vector, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
 
 
+def _matrix_columns():
+    """Rows and position-weighted sums of the two matrices of a reply."""
+    total = lambda c: F.aggregate(F.transform(c, lambda row, i: _checksum(row) * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return [x for c in ("comment", "source") for x in (F.size(f"{c}_matrix").cast("long").alias(f"n_{c}"), F.round(total(f"{c}_matrix"), 3).alias(f"{c}_checksum"))]
+
+
 # --- trees ------------------------------------------------------------------------------------
 
 @query
@@ -181,10 +188,12 @@ def unplaced(spark, d):
 
 @query
 def branch_tokens(spark, d):
-    """Token pool of every branch, one row per member in order."""
+    """Token pool of every branch: the tokens of its members in order, as one value per ``sq.PART`` members."""
     m = _messages(spark, d)
-    return (tree.branch_members(m, index=True).join(m.select("msg_id", "tokens"), "msg_id")
-            .select("source_id", "branch_idx", "pos", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("pool")))
+    rows = tree.branch_members(m, index=True).join(m.select("msg_id", "tokens"), "msg_id")
+    pool = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tokens"))), lambda x: x["tokens"]))
+    pools = rows.groupBy("source_id", "branch_idx", F.floor(F.col("pos") / sq.PART).alias("piece")).agg(pool.alias("pool"))
+    return pools.select("source_id", "branch_idx", *_long("piece"), F.size("pool").cast("long").alias("n_tokens"), F.array_join("pool", " ").alias("pool"))
 
 
 @query
@@ -478,9 +487,10 @@ def similarities(spark, d):
 
 @query
 def word_similarity(spark, d):
-    """Similarity of the first two tokens of every message."""
+    """Similarity of all pairs of neighbouring tokens."""
+    last = F.size("tokens") - 1
     pairs = (_messages(spark, d).where(F.size("tokens") > 1)
-             .select(F.col("tokens")[0].alias("w1"), F.col("tokens")[1].alias("w2")).distinct())
+             .select(F.inline(F.arrays_zip(F.slice("tokens", F.lit(1), last).alias("w1"), F.slice("tokens", F.lit(2), last).alias("w2")))).distinct())
     return embed.word_similarity(pairs, _vectors(spark, d)).select("w1", "w2", F.round("similarity", 6).alias("similarity"))
 
 
@@ -530,7 +540,7 @@ def vector_feature_table(spark, d):
     members = durable(sf.build_members(m))
     features = sf.build_features(m, members, ["wembs", "token_wembs"], vectors=_vectors(spark, d), dim=DIM)
     return features.select("msg_id", *[F.round(c, 6).alias(c) for c in ("sim_to_src", "sim_to_prev", "sim_to_branch")],
-                           F.size("comment_matrix").cast("long").alias("n_comment"), F.size("source_matrix").cast("long").alias("n_source"))
+                           *_matrix_columns(), F.round(_checksum(F.col("avg_vector")), 4).alias("avg_checksum"))
 
 
 # --- statistics and metrics ---------------------------------------------------------------------
@@ -713,8 +723,7 @@ def cross_corpus(spark, d):
 @query
 def word_vectors_trained(spark, d):
     docs = _texts(spark, d).select(tx.word_tokens(F.col("text")).alias("words"))
-    v = embed.train_vectors(docs, "words", dim=16, min_count=5, partitions=4)
-    return v.select("token", F.size("vector").cast("long").alias("dim"))
+    return embed.train_vectors(docs, "words", dim=DIM).select("token", "vector")
 
 
 def _stance_rows(spark, d):
@@ -895,8 +904,7 @@ def matrix_file(spark, d):
     path = scratch_path(spark, "matrices")
     sinks.feature_table(rows, path, ["comment_matrix", "source_matrix"], fmt="tsv")
     back = tables.token_matrices(spark, path)
-    return back.select("msg_id", *_long("sdqc"), F.size("comment_matrix").cast("long").alias("n_comment"),
-                       F.size("source_matrix").cast("long").alias("n_source"))
+    return back.select("msg_id", *_long("sdqc"), *_matrix_columns())
 
 
 @query
@@ -920,6 +928,83 @@ def metric_file(spark, d):
     return tables.metrics(spark, path, with_length=True).select("model", *_long("length"), "f1_macro", "accuracy")
 
 
+def _latest_first(spark, d) -> DataFrame:
+    """Messages whose siblings are to stand in the files from the latest to the first."""
+    m = _messages(spark, d)
+    return m.withColumn("ord", -F.unix_seconds("created"))
+
+
+def _branch_rows(m: DataFrame, **options) -> DataFrame:
+    s = sq.whole(sq.from_messages(m, index=True, **options))
+    return s.select("source_id", "leaf_id", "branch_idx", *_long("veracity"), _stances(F.col("obs")).alias("stances"), _time_sum(F.col("obs")).alias("t_sum"))
+
+
+@query
+def reddit_file(spark, d):
+    """Threads written as one JSON document each and read again: branches keep the order of the file, the first is skipped."""
+    path = scratch_path(spark, "reddit")
+    m = durable(_latest_first(spark, d).select("source_id", "msg_id", "parent_id", "is_source", "text_raw", "created", "sdqc", "sdqc_parent", "truth", "ord"))
+    when = F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss")
+    comment = F.struct(F.struct(F.col("msg_id").alias("comment_id"), F.col("text_raw").alias("text"), "parent_id", when.alias("created"),
+                                F.col("sdqc").alias("SDQC_Submission"), F.col("sdqc_parent").alias("SDQC_Parent")).alias("comment"))
+    rows = tree.branch_members(m, index=True).join(m.select("msg_id", comment.alias("c")), "msg_id")
+    ordered = lambda place, value: F.transform(F.array_sort(F.collect_list(F.struct(place, value))), lambda x: x[value])
+    lists = (rows.groupBy("source_id", "branch_idx").agg(ordered("pos", "c").alias("branch"))
+             .groupBy("source_id").agg(ordered("branch_idx", "branch").alias("branches")))
+    submission = F.struct(F.col("source_id").alias("submission_id"), F.col("text_raw").alias("title"), F.lit("").alias("text"), when.alias("created"),
+                          F.col("truth").alias("TruthStatus"), F.col("sdqc").alias("SourceSDQC"))
+    sources = m.where("is_source").select("source_id", submission.alias("redditSubmission"))
+    documents = sources.join(lists, "source_id", "left").select("redditSubmission", F.coalesce("branches", F.array()).alias("branches"))
+    documents.write.option("maxRecordsPerFile", 1).json(f"{path}/event")
+    return _branch_rows(read_messages(spark, path, "reddit"), skip_first=True)
+
+
+@query
+def tweet_file(spark, d):
+    """Threads written as lines of tweet maps and read again: ``children`` lists give parents and order."""
+    path = scratch_path(spark, "tweets")
+    m = durable(_latest_first(spark, d).select("source_id", "msg_id", "parent_id", "is_source", "text_raw", "created", "sdqc", "sdqc_parent", "truth", "ord"))
+    below = m.where("not is_source").groupBy(F.col("parent_id").alias("msg_id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ord", "msg_id"))), lambda x: x["msg_id"]).alias("children"))
+    tweet = F.struct(F.col("msg_id").alias("id_str"), F.col("text_raw").alias("full_text"), F.date_format("created", "EEE MMM dd HH:mm:ss +0000 yyyy").alias("created_at"),
+                     F.coalesce("children", F.array()).alias("children"), F.col("sdqc").alias("SDQC_Submission"), F.col("sdqc_parent").alias("SDQC_Parent"),
+                     F.col("sdqc").alias("SourceSDQC"), F.col("truth").alias("TruthStatus"))
+    threads = m.join(below, "msg_id", "left").groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("msg_id", tweet))).alias("tweets"))
+    threads.select(F.concat("source_id", F.lit("\t"), F.to_json("tweets")).alias("value")).write.text(path)
+    return _branch_rows(read_messages(spark, path, "twitter"))
+
+
+@query
+def stance_annotation_file(spark, d):
+    """Stance lines among section headings; every reply is labelled twice, and the later line counts."""
+    base = scratch_path(spark, "stances")
+    names = F.create_map(*[F.lit(x) for code, name in lb.RESPONSE_TO_STANCE.items() for x in (name, code)])
+    line = lambda label: F.to_json(F.struct(F.col("msg_id").alias("tweetid"), label.alias("responsetype-vs-source")))
+    replies = _messages(spark, d).where("not is_source")
+    lines = replies.select(F.explode(F.array(F.lit("# Direct Replies"), line(F.lit("comment")), line(F.lit("disagreed")), line(names[F.col("sdqc")]))).alias("value"))
+    lines.write.text(f"{base}/annotations/en.json")
+    return threads_of.stance_annotations(spark, base)
+
+
+@query
+def claim_overview_file(spark, d):
+    """Claim codes through the overview file and back to the names of the sources."""
+    path = scratch_path(spark, "overview")
+    m = durable(_messages(spark, d).select("source_id", "msg_id", "is_source", "truth"))
+    sinks.claim_overview(m.where("is_source").select("source_id", lb.veracity_code(F.col("truth")).alias("veracity")), path)
+    return threads_of.attach_claims(m.drop("truth"), threads_of.claim_overview(spark, path)).where("is_source").select("source_id", "truth")
+
+
+@query
+def flagged_claims(spark, d):
+    """Branches whose claim the fixed models hold false, written and read again with their stances."""
+    path = scratch_path(spark, "flagged")
+    m = durable(_messages(spark, d).select("source_id", "msg_id", "parent_id", "is_source", "created", "sdqc", "truth", "text"))
+    s = durable(sq.from_messages(m))
+    sinks.flagged_claims(claims.flagged(claims.judge(s, discrete_models(), m).join(claims.stance_lists(s), BRANCH)), path)
+    return spark.read.parquet(path).select(*BRANCH, "veracity", F.array_join("stances", ",").alias("stances"))
+
+
 # --- streams --------------------------------------------------------------------------------------
 
 @query
