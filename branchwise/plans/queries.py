@@ -1050,12 +1050,16 @@ def repeats_stream(spark, d):
 
 @query
 def thread_stream(spark, d):
-    """Messages arrive in two rounds, so that parents may come after their replies; branches are kept current."""
+    """Messages arrive in two rounds: half of them first with another parent and label, so that parents may come after their
+    replies and newer copies replace older ones; branches are kept current."""
     base = scratch_path(spark, "live")
     m = _messages(spark, d).select("source_id", "msg_id", "parent_id", "is_source", "created", "sdqc")
     schema = m.schema
-    for kinds in (["Supporting", "Denying"], ["Querying", "Commenting"]):
-        m.where(F.col("sdqc").isin(*kinds)).write.mode("append").parquet(f"{base}/in")
+    early = F.col("sdqc").isin("Supporting", "Denying")
+    stale = (m.where(~early).withColumn("parent_id", F.when(~F.col("is_source"), F.col("source_id")))
+             .withColumn("sdqc", F.lit("Underspecified")))
+    for rows in (m.where(early).unionByName(stale), m.where(~early)):
+        rows.write.mode("append").parquet(f"{base}/in")
         stream = st.file_stream(spark, f"{base}/in", schema, "parquet")
         live.run(stream, f"{base}/store", f"{base}/out", f"{base}/ckpt").awaitTermination()
     return live.latest(spark, f"{base}/out").select(*BRANCH, "branch_len")
