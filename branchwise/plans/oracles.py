@@ -435,6 +435,8 @@ late AS (SELECT source_id, leaf_id, veracity, stances, t_sum, CAST(row_number()
 oracle("reddit_file", ["br", "seq"], "SELECT source_id, leaf_id, branch_idx, veracity, stances, round(t_sum, 6) AS t_sum FROM late WHERE branch_idx > 0", extra=LATE)
 oracle("tweet_file", ["br", "seq"], "SELECT source_id, leaf_id, branch_idx, veracity, stances, round(t_sum, 6) AS t_sum FROM late", extra=LATE)
 oracle("stance_annotation_file", ["m"], f"SELECT msg_id, {STANCE.format('sdqc')} AS sdqc FROM m WHERE NOT is_source")
+oracle("label_round_trip", ["m"], f"""
+    SELECT source_id, msg_id, CASE WHEN (conv_id + turn) % 5 = 0 THEN 'Underspecified' ELSE {STANCE.format('sdqc')} END AS sdqc FROM m WHERE turn > 0""")
 oracle("claim_overview_file", ["m"], f"SELECT source_id, {TRUTH.format('truth')} AS truth FROM m WHERE is_source")
 oracle("flagged_claims", ["mf"], f"""
     SELECT source_id, leaf_id, 'False' AS veracity, string_agg({STANCE.format('sdqc')}, ',' ORDER BY pos) AS stances

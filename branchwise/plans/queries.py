@@ -13,7 +13,7 @@ from branchwise.models import hmm, majority, stance
 from branchwise.operators import agreement as ag, embed, lexicon as lx, merge, metrics as mt, sequences as sq, splits, tree
 from branchwise.operators.normalise import normalise, value_ranges, value_ranges_in_order
 from branchwise.operators.skew import prefix_sum, rank_rows
-from branchwise.plans import claims, evaluation
+from branchwise.plans import claims, evaluation, run
 from branchwise.plans import stance_features as sf
 from branchwise.session import configure, durable, scratch_path, spread
 from branchwise.sources import conversations as cv, sinks, store, tables
@@ -839,6 +839,24 @@ def integrate_labels(spark, d):
     return ag.integrate(m, given, ["doc_id"], ["sdqc"]).select("msg_id", "sdqc")
 
 
+@query
+def label_round_trip(spark, d):
+    """Replies exported, labelled by three users each, read back, agreed, decoded, integrated and put into a thread store.
+
+    The third user disagrees on every fifth reply, which stays as it was.
+    """
+    base = scratch_path(spark, "labelling")
+    raw = cv.raw_messages(spark, d).where("turn > 0").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("item"), "msg_id", "conv_id", "turn", "sdqc", "text")
+    given = lambda u: F.struct(F.lit(u).cast("long").alias("user"), (F.when((F.col("conv_id") + F.col("turn")) % 5 == 0, (F.col("sdqc") + int(u == 3)) % 4)
+                                                                      .otherwise(F.col("sdqc")) + 1).cast("long").alias("label"))
+    raw.select(F.col("item").alias("id"), "text", F.array(*[given(u) for u in (1, 2, 3)]).alias("annotations")).write.json(f"{base}/export")
+    messages = raw.select(F.concat(F.lit("m"), F.col("conv_id").cast("string"), F.lit("_0")).alias("source_id"), "msg_id", "item", F.lit("Underspecified").alias("sdqc"))
+    store.append(messages, f"{base}/store", 1)
+    labelled, _, _ = run.integrate_export(store.latest(spark, f"{base}/store"), tables.label_export(spark, f"{base}/export"), "item")
+    store.append(labelled, f"{base}/store", 2)
+    return store.latest(spark, f"{base}/store").select("source_id", "msg_id", "sdqc")
+
+
 @query
 def evaluation_grid(spark, d):
     """Rows and majority share per language under every cast and removal setting."""

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from branchwise.functions import labels as lb
 from branchwise.models import hmm
-from branchwise.operators import sequences as sq, tree
+from branchwise.operators import agreement as ag, sequences as sq, tree
 from branchwise.plans import claims, stance_features as sf
 from branchwise.session import configure, durable
 from branchwise.sources import sinks
@@ -40,6 +41,18 @@ def claim_table(spark: SparkSession, path: str, fmt: str, timestamps: bool = Tru
     return seqs
 
 
+def integrate_export(messages: DataFrame, export: DataFrame, item: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stance labels of an annotation export (item_id, user, label) on the messages whose ``item`` column names the item.
+
+    Gives the messages (those without an agreed, readable label as they were), the annotations of disputed items, and
+    agreed items whose labels break the scheme with the rule they break.
+    """
+    agreed, disputed = ag.split_by_agreement(export.select("item_id", "user", "label"), ["item_id"])
+    decoded = agreed.select("item_id", *[c.alias(n) for n, c in lb.decode_stance(F.col("labels").cast("array<int>")).items()])
+    given = decoded.where("label_error is null").select(F.col("item_id").alias(item), "item_id", "sdqc")
+    return ag.integrate(messages, given, [item], ["sdqc"]), disputed, decoded.where("label_error is not null").select("item_id", "label_error")
+
+
 def predict_stored(spark: SparkSession, path: str, fmt: str, vectors: DataFrame, dim: int, stance_model,
                    models: Sequence[hmm.Hmm]) -> DataFrame:
     """Claim predictions for all threads of a stored corpus."""
