@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from branchwise.llm.words import word_bytes
+from branchwise.llm.words import stored, word_bytes
 from branchwise.session import durable
 
 WINDOW = 13
@@ -37,6 +37,7 @@ ANCHOR = 5
 CROWD = 5_000
 SHARD_SEGMENTS = 40_000
 STRIP = 1 << 16
+REMEMBER = 500_000
 
 
 def segments(words: list[bytes], window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,8 +73,13 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments with a wanted anchor: the document's key, first window, words, and a 128-bit hash of the words."""
-    names = ["doc_id", "_h", "anchor", "start", "body", "sid"]
+    """Segments with a wanted anchor: the document's key, first window, and a 128-bit hash of the words.
+
+    The words and the anchor come with the first segment of its kind that a task meets (or meets again after ``REMEMBER`` others).
+    """
+    names = ["doc_id", "_h", "start", "sid", "anchor", "body"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+    seen: set[bytes] = set()
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             rows: list[list] = [[] for _ in names]
@@ -81,11 +87,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for key, mark, text, wanted in zip(*(part.column(i) for i in range(4))):
                 words = word_bytes(text.as_py())
                 hashes, first, count = segments(words)
+                key, mark = key.as_py(), mark.as_py()
                 for i in np.flatnonzero(np.isin(hashes, wanted.values.to_numpy())).tolist():
                     body = b" ".join(words[first[i]:first[i] + count[i] + WINDOW - 1])
-                    for out, v in zip(rows, (key.as_py(), mark.as_py(), int(hashes[i]), int(first[i]), body, xxhash.xxh3_128_digest(body))):
+                    sid = xxhash.xxh3_128_digest(body)
+                    new = sid not in seen
+                    if new:
+                        if len(seen) >= REMEMBER:
+                            seen.clear()
+                        seen.add(sid)
+                    for out, v in zip(rows, (key, mark, int(first[i]), sid, int(hashes[i]) if new else None, body if new else None)):
                         out.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds)], names)
 
 
@@ -194,14 +206,9 @@ def smallest_starts(shard: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sid": shard["sid"], "lows": np.split(result, np.cumsum(count)[:-1])})
 
 
-def _collect_garbage(spark) -> None:
-    """Lets Spark delete shuffle files of jobs whose results are written, before the next large shuffle."""
-    spark.sparkContext._jvm.System.gc()
-
-
-def _searched(keyed: DataFrame) -> DataFrame:
-    """sid, lows of the segments in ``keyed`` (key, sid, body, low), shard by shard."""
-    shards = max(1, -(-keyed.count() // SHARD_SEGMENTS))
+def _searched(keyed: DataFrame, n: int) -> DataFrame:
+    """sid, lows of the ``n`` segments in ``keyed`` (key, sid, body, low), shard by shard."""
+    shards = max(1, -(-n // SHARD_SEGMENTS))
     dealt = keyed.withColumn("_shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     return dealt.select("_shard", "sid", "body", "low").groupBy("_shard").applyInPandas(lambda x: smallest_starts(x), "sid binary, lows array<long>")
 
@@ -215,39 +222,41 @@ def _windows(distinct: DataFrame) -> DataFrame:
 
 def covered(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Removed windows: doc_id, ``_h`` (hash of the text) and ``hits``, (first window, bits of the windows after it) of each segment."""
-    spark = docs.sparkSession
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    anchors = durable(named.mapInArrow(_anchors, "anchor long, doc_id long"))
+    anchors, drop_anchors = stored(named.mapInArrow(_anchors, "anchor long, doc_id long"))
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("anchor")
-    wanted = durable(anchors.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
-    _collect_garbage(spark)
-    cut = durable(named.join(wanted, "doc_id").select("doc_id", F.xxhash64("text").alias("_h"), "text", "anchors")
-                  .mapInArrow(_cut, "doc_id long, _h long, anchor long, start long, body binary, sid binary"))
-    _collect_garbage(spark)
-    distinct = durable(cut.groupBy("sid").agg(F.first("anchor").alias("anchor"), F.first("body").alias("body"), F.min("doc_id").alias("low")))
-    _collect_garbage(spark)
+    wanted, drop_wanted = stored(anchors.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
+    drop_anchors()
+    cut, drop_cut = stored(named.join(wanted, "doc_id").select("doc_id", F.xxhash64("text").alias("_h"), "text", "anchors")
+                           .mapInArrow(_cut, "doc_id long, _h long, start long, sid binary, anchor long, body binary"))
+    drop_wanted()
+    distinct, drop_distinct = stored(cut.groupBy("sid").agg(F.max("anchor").alias("anchor"), F.max("body").alias("body"), F.min("doc_id").alias("low")))
     crowds = durable(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowd).select("anchor"))
-    plain = distinct.withColumnRenamed("anchor", "key")
     if crowds.take(1):
         few = distinct.join(crowds, "anchor", "left_anti").withColumnRenamed("anchor", "key").select("key", "sid", "body", "low")
-        windows = durable(_windows(distinct.join(crowds, "anchor", "left_semi")).withColumn("_wid", F.md5("body")))
-        single = windows.groupBy("_wid").agg(F.first("body").alias("body"), F.min("low").alias("low"))
-        found = durable(_searched(durable(few.unionByName(single.select(F.xxhash64("_wid").alias("key"), F.col("_wid").cast("binary").alias("sid"), "body", "low")))))
+        windows, drop_windows = stored(_windows(distinct.join(crowds, "anchor", "left_semi")).withColumn("_wid", F.md5("body")))
+        single, drop_single = stored(windows.groupBy("_wid").agg(F.first("body").alias("body"), F.min("low").alias("low")))
+        dealt = few.unionByName(single.select(F.xxhash64("_wid").alias("key"), F.col("_wid").cast("binary").alias("sid"), "body", "low"))
+        found = durable(_searched(dealt, few.count() + single.count()))
+        drop_single()
         regained = (windows.withColumn("_key", F.col("_wid").cast("binary")).join(found.select(F.col("sid").alias("_key"), F.col("lows")[0].alias("_low")), "_key")
                     .groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("_i", "_low"))).alias("_x")).select("sid", F.col("_x._low").alias("lows")))
-        result = found.join(few.select("sid"), "sid", "left_semi").unionByName(regained)
+        result = durable(found.join(few.select("sid"), "sid", "left_semi").unionByName(regained))
+        drop_windows()
     else:
-        result = durable(_searched(plain))
+        result = durable(_searched(distinct.withColumnRenamed("anchor", "key"), distinct.count()))
+    drop_distinct()
     hit = F.aggregate(F.transform("lows", lambda x, i: F.when(x < F.col("doc_id"), F.call_function("shiftleft", F.lit(1), i)).otherwise(F.lit(0))),
                       F.lit(0), lambda a, b: a + b)
     marked = cut.select("doc_id", "_h", "start", "sid").join(result, "sid").select("doc_id", "_h", "start", hit.alias("bits")).where("bits > 0")
-    return marked.groupBy("doc_id", "_h").agg(F.collect_set(F.struct("start", "bits")).alias("hits"))
+    hits = durable(marked.groupBy("doc_id", "_h").agg(F.collect_set(F.struct("start", "bits")).alias("hits")))
+    drop_cut()
+    return hits
 
 
 def deduplicate(docs: DataFrame, digest: bool = False, **options) -> DataFrame:
     """``docs`` without covered words: n_words, n_removed, and the kept words joined by one space as ``text`` (``digest``: their SHA-256 as kept_sha256)."""
-    hits = durable(covered(docs, **options))
-    _collect_garbage(docs.sparkSession)
+    hits = covered(docs, **options)
     right = hits.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hash"), "hits")
     joined = docs.join(right, (docs["doc_id"] == right["_id"]) & (F.xxhash64(docs["text"]) == right["_hash"]), "left")
     new = "kept_sha256" if digest else "text"

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from branchwise.session import scratch_path
+
 WORD = r"[^\x20\x09-\x0D]+"
 GAPS = " \t\n\x0b\x0c\r"
 
@@ -36,3 +40,20 @@ def unboxed(columns: list[str], **new: Column) -> list[Column]:
     """The columns of a ``boxed`` table again, some replaced or added."""
     kept = [new.get(c, F.col("_row")[c]).alias(c) for c in columns]
     return kept + [v.alias(c) for c, v in new.items() if c not in columns]
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """A table in the shared folder with the rows of ``df``, and a function that deletes it.
+
+    Call that once everything derived from the table is written itself. It also lets Spark delete the shuffle files
+    of jobs that are over, so that a long chain of steps needs the disk of its widest step only.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "step")
+    df.write.option("compression", "zstd").parquet(path)
+
+    def discard() -> None:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        spark.sparkContext._jvm.System.gc()
+
+    return spark.read.schema(df.schema).parquet(path), discard
