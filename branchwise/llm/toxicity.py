@@ -97,12 +97,13 @@ def norms(index: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def kernel(words: list[str], dense: np.ndarray) -> np.ndarray:
     """Normalised kernel of words with landmarks, given the landmarks' normalised vectors of runs as columns."""
-    batch = [codes(w[:PIECE]) for w in words]
-    out = np.zeros((len(words), dense.shape[1]))
-    for at, index, weight in runs(batch):
-        for s in range(0, len(at), 256):
-            part = index[s:s + 256]
-            out[at[s:s + 256]] = np.einsum("ijk,j->ik", dense[part], weight) / norms(part, weight)[:, None]
+    out = np.zeros((len(words), dense.shape[1]), dtype=np.float32)
+    for first in range(0, len(words), 4096):
+        for at, index, weight in runs([codes(w[:PIECE]) for w in words[first:first + 4096]]):
+            light = weight.astype(np.float32)
+            for s in range(0, len(at), 32):  # a few words at a time: each takes runs * landmarks numbers
+                part = index[s:s + 32]
+                out[first + at[s:s + 32]] = np.einsum("ijk,j->ik", dense[part], light) / norms(part, weight)[:, None]
     return out
 
 
@@ -117,20 +118,31 @@ def dense_of(words: list[str]) -> np.ndarray:
 
 def machine(features: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights (the last one the offset) of a linear machine with squared hinge loss, by finite Newton steps."""
-    x = np.hstack([features, np.ones((len(features), 1))])
-    w, penalty = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
+    size = features.shape[1] + 1
+    w, penalty = np.zeros(size), ridge * np.eye(size)
     penalty[-1, -1] = 1e-3
     support = None
     for _ in range(25):
-        inside = y * (x @ w) < 1
+        inside = y * decide(features, w) < 1
         if support is not None and np.array_equal(inside, support):
             break
         support = inside
-        xs = x[inside] * cost[inside, None]
-        w = np.linalg.solve(penalty + x[inside].T @ xs, xs.T @ y[inside])
+        left, right = penalty.copy(), np.zeros(size)
+        rows = np.flatnonzero(inside)
+        for s in range(0, len(rows), 2048):  # the system is added up, features are never copied whole
+            part = rows[s:s + 2048]
+            x = np.hstack([features[part].astype(float), np.ones((len(part), 1))])
+            weighed = x.T * cost[part]
+            left += weighed @ x
+            right += weighed @ y[part]
+        w = np.linalg.solve(left, right)
     return w
 
 
+def decide(features: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return features @ w[:-1].astype(features.dtype) + w[-1]
+
+
 @dataclass
 class Model:
     """``runs``: weight of every run of three characters; ``pool``: weights, means and scales of the text regression."""
@@ -237,17 +249,17 @@ def _learn_words(words: list[str], toxic: np.ndarray, clean: np.ndarray) -> tupl
     rest = others[np.argsort([zlib.crc32(words[i].encode()) for i in others], kind="stable")[:LANDMARKS - len(first)]]
     landmarks = [words[i] for i in dict.fromkeys([*first.tolist(), *rest.tolist()])]
     dense = dense_of(landmarks)
-    gram = kernel(landmarks, dense)
+    gram = kernel(landmarks, dense).astype(float)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2 + 1e-6 * np.eye(len(landmarks)))
     whiten = vectors / np.sqrt(np.maximum(values, 1e-4))
-    features = kernel(words, dense) @ whiten
+    features = kernel(words, dense) @ whiten.astype(np.float32)
     weight = np.zeros(len(landmarks) + 1)
     for _ in range(TURNS):
         used = positive | (clean > 0)
         cost = np.where(positive, np.minimum(toxic, 50) / max(np.minimum(toxic, 50)[positive].sum(), 1),
                         np.minimum(clean, 50) / max(np.minimum(clean, 50)[~positive & used].sum(), 1)) * used.sum()
-        weight = machine(features[used], np.where(positive[used], 1.0, -1.0), cost[used])
-        verdict = features @ weight[:-1] + weight[-1]
+        weight = machine(features, np.where(positive, 1.0, -1.0), cost)
+        verdict = decide(features, weight)
         new = only & (toxic >= 2) & (verdict > 0.3) | positive & (verdict > -0.3)
         if not new.any() or np.array_equal(new, positive):
             break
