@@ -97,7 +97,8 @@ def draw(spark: SparkSession, sources: DataFrame, n_slots: int, seed: str, shard
                .withColumn("_to", F.sum("_m").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, 0))))
     number = F.explode(F.sequence(F.col("_to") - F.col("_m"), F.col("_to") - 1)).alias("_r")
     moved = surplus.select("_shard", number).join(missing.select("_s", number), "_r").select("_shard", "_s", F.lit(1).cast("long").alias("_n"))
-    final = kept.where("_keep > 0").select("_shard", "_s", F.col("_keep").alias("_n")).unionByName(moved).groupBy("_shard", "_s").agg(F.sum("_n").alias("_n"))
+    # a small table, written: planning goes on from its columns instead of carrying everything above along
+    final = durable(kept.where("_keep > 0").select("_shard", "_s", F.col("_keep").alias("_n")).unionByName(moved).groupBy("_shard", "_s").agg(F.sum("_n").alias("_n")))
     return final.withColumn("_k", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
 
 
@@ -139,7 +140,7 @@ def plan(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
     begin = F.greatest(F.col("_j") * block, F.col("_off"))
     end = F.least((F.col("_j") + 1) * block, F.col("_off") + F.col("size"))
     pieces = pieces.select("_s", "_off", "_j", (begin - F.col("_off")).alias("_from"), (end - begin).alias("_len"))
-    return packed, pieces.join(uses(spark, sources, n_slots, seed), ["_s", "_j"]).select("_s", "_off", "_from", "_len", "_rounds")
+    return packed, pieces.join(durable(uses(spark, sources, n_slots, seed)), ["_s", "_j"]).select("_s", "_off", "_from", "_len", "_rounds")
 
 
 def shares(docs: DataFrame, **options) -> DataFrame:
@@ -163,8 +164,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     spans = each.groupBy("_s", "_off", "_round").agg(F.sort_array(F.collect_list(F.struct("_from", "_len"))).alias("_spans"), F.sum("_len").alias("_n"))
     text = F.col("_row")["text"]
     words = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    joined = packed.where("size > 0").join(spans, ["_s", "_off"]).withColumn("_words", F.when(F.col("_n") < F.col("size"), words))
-    cut = F.array_join(F.transform("_spans", lambda x: F.array_join(F.slice("_words", (x["_from"] + 1).cast("int"), x["_len"].cast("int")), "")), "")
+    joined = packed.where("size > 0").join(spans, ["_s", "_off"])
+    # the words are bound once per row: named in the inner function they would be cut out anew for every span
+    run = lambda ws: F.array_join(F.transform("_spans", lambda x: F.array_join(F.slice(ws, (x["_from"] + 1).cast("int"), x["_len"].cast("int")), "")), "")
+    cut = F.transform(F.array(words), run)[0]
     out = joined.withColumn("_cut", F.when(F.col("_n") < F.col("size"), F.regexp_replace(cut, r"[\x20\x09-\x0D]+$", "")).otherwise(text))
     changed = {"text": F.col("_cut")}
     if "n_chars" in docs.columns:
