@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from branchwise.llm import components, mixing, pieces, quality, sharding, simhash, substring, templates, token_scan, topk, toxicity
+from branchwise.llm import components, mixing, near_copies, pieces, quality, sharding, simhash, substring, templates, token_scan, topk, toxicity
 from branchwise.llm.queries import bpe_pattern, public_file
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, size string, _h string, _group long, n_words string, hits string, shard string, depth string"
@@ -477,3 +477,50 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(900, 905), (905, 901)], "a long, b long")
     found = {r.node: r.root for r in components.components(edges).collect()}
     assert found == {**{i: 0 for i in range(301)}, 900: 900, 901: 900, 905: 900}
+
+
+def plain_jaccard(a, b):
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("first", [near_copies.FIRST, 2])
+def test_near_copies_of_the_stage_equal_all_pairs(spark, first, monkeypatch):
+    monkeypatch.setattr(near_copies, "FIRST", first)
+    rng = np.random.default_rng(6)
+    texts = []
+    for i in range(40):
+        base = [f"w{k}" for k in rng.integers(0, 3000, 100)]
+        texts.append(" ".join(base))
+        for _ in range(25 if i == 0 else 2):  # one large group
+            changed = list(base)
+            for k in rng.choice(100, rng.integers(1, 5), replace=False):
+                changed[k] = f"new{rng.integers(0, 10**6)}"
+            texts.append(" ".join(changed))
+    lab = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if plain_jaccard(texts[a], texts[b]) >= 0.8:
+            low, high = sorted((lab[a], lab[b]))
+            lab = [low if x == high else x for x in lab]
+    assert 40 < len(set(lab)) < len(texts)
+    got = near_copies.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(lab))
+
+
+def test_stage_links_what_three_bits_miss(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(30):
+        base = [f"w{k}" for k in rng.integers(0, 5000, 100)]
+        rows += [(i, " ".join(base)), (100 + i, " ".join([*base[:50], "changed", *base[51:]]))]  # similarity 0.9
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == list(range(30))
+
+
+def test_near_copies_odd_rows(odd, empty):
+    kept = near_copies.deduplicate(odd)
+    assert kept.columns == odd.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 3, 4, None], key=str)
+    assert near_copies.deduplicate(empty).count() == 0
