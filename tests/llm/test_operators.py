@@ -187,6 +187,27 @@ def test_templates(spark):
     assert all(got[100 + i].n_dropped == 0 for i in range(30))
 
 
+def test_templates_with_constant_neighbours(spark):
+    import corpus_pipeline
+
+    word = lambda i: "".join("abcdefghij"[int(d)] for d in str(i))
+    own = [f"own{word(i)} first{word(i)} text{word(i)} of its own" for i in range(300)]
+    block = [f"{w} clause of the licence text" for w in ("one", "two", "three", "four", "five")]
+    rows = [(i, f"{own[i]}\n\nAccept all cookies of this site\n\nend{word(i)} {own[i]}") for i in range(50)]  # between blank lines
+    rows += [(100 + i, "\n".join([own[100 + i], *block, f"end{word(i)} {own[100 + i]}"])) for i in range(50)]  # a block
+    rows += [(200 + i, f"Error at night {i} on page {i}") for i in range(20)]  # nothing else
+    rows += [(300 + i, "copied first line here\ncopied second line here\ncopied third line here") for i in range(30)]  # one text
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in templates.drop_recurring(df, by_text=True).collect()}
+    text = dict(rows)
+    assert all(got[i].text == text[i] for i in (0, 100, 200, *range(300, 330)))  # first of their kind, and copies
+    assert all(got[i].n_dropped == 1 and "cookies" not in got[i].text for i in range(1, 50))
+    assert all(got[i].n_dropped == 5 and "licence" not in got[i].text for i in range(101, 150))
+    assert all(got[i].n_dropped == 1 and not got[i].text for i in range(201, 220))
+    left = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, df, "").collect()}
+    assert left == {i: r.text for i, r in got.items() if r.text}
+
+
 def test_templates_odd_rows(odd, empty):
     got = templates.drop_recurring(odd).collect()
     assert sorted(map(str, [r.text for r in got])) == sorted(str(r[1]) for r in ODD) and [r.n_lines for r in got if r.text is None] == [0]
