@@ -68,6 +68,11 @@ def words_of(text: str) -> list[str]:
     return low.split() + [m.replace(" ", "").replace("\t", "") for m in SPACED.findall(low)]
 
 
+def pieces_of(word: str) -> list[str]:
+    """A word as overlapping pieces of ``PIECE`` characters at most."""
+    return [word[at:at + PIECE] for at in range(0, max(1, len(word) - PIECE // 2), PIECE // 2)] if len(word) > PIECE else [word]
+
+
 def runs(batch: list[list[int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For words of one length each: (positions in the batch, index of each run of three, its weight)."""
     sizes = np.array([len(b) for b in batch])
@@ -96,10 +101,10 @@ def norms(index: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def kernel(words: list[str], dense: np.ndarray) -> np.ndarray:
-    """Normalised kernel of words with landmarks, given the landmarks' normalised vectors of runs as columns."""
+    """Normalised kernel of words (or pieces) with landmarks, given the landmarks' normalised vectors of runs as columns."""
     out = np.zeros((len(words), dense.shape[1]), dtype=np.float32)
     for first in range(0, len(words), 4096):
-        for at, index, weight in runs([codes(w[:PIECE]) for w in words[first:first + 4096]]):
+        for at, index, weight in runs([codes(w) for w in words[first:first + 4096]]):
             light = weight.astype(np.float32)
             for s in range(0, len(at), 32):  # a few words at a time: each takes runs * landmarks numbers
                 part = index[s:s + 32]
@@ -109,7 +114,7 @@ def kernel(words: list[str], dense: np.ndarray) -> np.ndarray:
 
 def dense_of(words: list[str]) -> np.ndarray:
     out = np.zeros((CODES**3, len(words)), dtype=np.float32)
-    for at, index, weight in runs([codes(w[:PIECE]) for w in words]):
+    for at, index, weight in runs([codes(w) for w in words]):
         scale = norms(index, weight)
         for row, i in enumerate(at):
             np.add.at(out[:, i], index[row], weight / scale[row])
@@ -156,8 +161,8 @@ class Model:
     def verdicts(self, words: list[str]) -> np.ndarray:
         pieces, owner = [], []
         for i, w in enumerate(words):
-            for at in range(0, max(1, len(w) - PIECE // 2), PIECE // 2) if len(w) > PIECE else (0,):
-                pieces.append(codes(w[at:at + PIECE]))
+            for piece in pieces_of(w):
+                pieces.append(codes(piece))
                 owner.append(i)
         found = np.full(len(pieces), self.offset)
         for at, index, weight in runs(pieces):
@@ -237,7 +242,11 @@ def _word_counts(texts: DataFrame) -> DataFrame:
 
 
 def _learn_words(words: list[str], toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weight per run of three and offset, from words and their counts by label."""
+    """Weight per run of three and offset, from words and their counts by label.
+
+    Words are learnt in the pieces that they are judged by: a clean word has clean pieces only, a toxic one at least one that is toxic,
+    taken to be the one with the highest verdict so far, and any of them before the first verdicts.
+    """
     only = clean == 0
     total = max(toxic.sum(), 1), max(clean.sum(), 1)
     ratio = np.log((toxic + 0.1) / total[0]) - np.log((clean + 0.1) / total[1])
@@ -247,21 +256,27 @@ def _learn_words(words: list[str], toxic: np.ndarray, clean: np.ndarray) -> tupl
     first = np.argsort(-(toxic * positive), kind="stable")[:LANDMARKS // 2]
     others = np.flatnonzero(~positive)
     rest = others[np.argsort([zlib.crc32(words[i].encode()) for i in others], kind="stable")[:LANDMARKS - len(first)]]
-    landmarks = [words[i] for i in dict.fromkeys([*first.tolist(), *rest.tolist()])]
+    cut = [pieces_of(w) for w in words]
+    half = list(dict.fromkeys(chain.from_iterable(cut[i] for i in first)))[:LANDMARKS // 2]
+    landmarks = list(dict.fromkeys([*half, *chain.from_iterable(cut[i] for i in rest)]))[:LANDMARKS]
+    pieces, owner = list(chain.from_iterable(cut)), np.repeat(np.arange(len(words)), [len(c) for c in cut])
     dense = dense_of(landmarks)
     gram = kernel(landmarks, dense).astype(float)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2 + 1e-6 * np.eye(len(landmarks)))
     whiten = vectors / np.sqrt(np.maximum(values, 1e-4))
-    features = kernel(words, dense) @ whiten.astype(np.float32)
-    weight = np.zeros(len(landmarks) + 1)
+    features = kernel(pieces, dense) @ whiten.astype(np.float32)
+    weight, best = np.zeros(len(landmarks) + 1), np.ones(len(pieces), dtype=bool)
     for _ in range(TURNS):
         used = positive | (clean > 0)
         cost = np.where(positive, np.minimum(toxic, 50) / max(np.minimum(toxic, 50)[positive].sum(), 1),
                         np.minimum(clean, 50) / max(np.minimum(clean, 50)[~positive & used].sum(), 1)) * used.sum()
-        weight = machine(features, np.where(positive, 1.0, -1.0), cost)
-        verdict = decide(features, weight)
+        weight = machine(features, np.where(positive, 1.0, -1.0)[owner], np.where(positive[owner] & ~best, 0.0, cost[owner]))
+        decided = decide(features, weight)
+        verdict = np.full(len(words), -np.inf)
+        np.maximum.at(verdict, owner, decided)
+        former, best = best, decided == verdict[owner]
         new = only & (toxic >= 2) & (verdict > 0.3) | positive & (verdict > -0.3)
-        if not new.any() or np.array_equal(new, positive):
+        if not new.any() or np.array_equal(new, positive) and np.array_equal(best[new[owner]], former[new[owner]]):
             break
         positive = new
     return dense @ (whiten @ weight[:-1]), float(weight[-1])

@@ -287,6 +287,23 @@ def test_toxicity_on_held_out_rows_and_disguises(spark):
     assert got[0] < 0.5 and min(got[1:]) > got[0] and got[1] > 0.5
 
 
+@pytest.mark.parametrize("short", [True, False])
+def test_long_words_are_learnt_in_pieces(short):
+    rng = np.random.default_rng(4)
+    parts = ["th", "er", "on", "an", "in", "re", "ou", "ti"]
+    made = lambda n: "".join(rng.choice(parts, n))
+    clean = list(dict.fromkeys(made(int(rng.integers(2, 5))) for _ in range(400)))
+    heads = [made(13) for _ in range(8)]
+    clean += [h + made(3) for h in heads]  # the heads are known to be harmless
+    toxic = [h + w for h, w in zip(heads, ["scumbag", "pigface"] * 4)] + (["moronic"] if short else [])
+    words_, n = clean + toxic, len(clean)
+    y = np.array([0.0] * n + [20.0] * len(toxic))
+    runs, offset = toxicity._learn_words(words_, y, np.where(y > 0, 0.0, 30.0))
+    model = toxicity.Model(runs, offset, np.zeros(8), np.zeros(7), np.ones(7))
+    assert model.verdicts(["scumbag", "pigface"]).min() > 0 > model.verdicts([h[:toxicity.PIECE] for h in heads]).max()
+    assert model.verdicts(toxic).min() > 0 > np.quantile(model.verdicts(clean), 0.99)
+
+
 def test_kernel_equals_its_definition():
     def vector(word):
         c = toxicity.codes(word)
