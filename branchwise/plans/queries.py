@@ -188,11 +188,13 @@ def unplaced(spark, d):
 
 @query
 def branch_tokens(spark, d):
-    """Token pool of every branch: the tokens of its members in order, as one value per ``sq.PART`` members."""
+    """Token pool of every branch: the tokens of its members in order, pooled by ``sq.PART`` members first. ``piece`` is 0: the whole branch."""
     m = _messages(spark, d)
     rows = tree.branch_members(m, index=True).join(m.select("msg_id", "tokens"), "msg_id")
     pool = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tokens"))), lambda x: x["tokens"]))
-    pools = rows.groupBy("source_id", "branch_idx", F.floor(F.col("pos") / sq.PART).alias("piece")).agg(pool.alias("pool"))
+    parts = rows.groupBy("source_id", "branch_idx", F.floor(F.col("pos") / sq.PART).alias("_part")).agg(pool.alias("pool"))
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_part", "pool"))), lambda x: x["pool"]))
+    pools = parts.groupBy("source_id", "branch_idx").agg(F.lit(0).alias("piece"), whole.alias("pool"))
     return pools.select("source_id", "branch_idx", *_long("piece"), F.size("pool").cast("long").alias("n_tokens"), F.array_join("pool", " ").alias("pool"))
 
 

@@ -36,3 +36,12 @@ def test_query_equals_sql(spark, name):
     names = [c[0] for c in want.description]
     assert sorted(df.columns) == sorted(names)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(names, want.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="driver tables not present")
+def test_long_branches_have_one_token_pool(spark, monkeypatch):
+    from branchwise.operators import sequences
+
+    want = sorted(map(str, QUERIES["q_branch_tokens"](spark, SMALL).collect()))
+    monkeypatch.setattr(sequences, "PART", 2)
+    assert sorted(map(str, QUERIES["q_branch_tokens"](spark, SMALL).collect())) == want
