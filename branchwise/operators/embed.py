@@ -10,6 +10,8 @@ from branchwise.functions.text import explode_positions, explode_terms
 from branchwise.functions.vectors import cosine, norm, scale, vector_sum
 
 BROADCAST_BYTES = 256 * 1024 * 1024
+#: Passes over the sentences in training, at least.
+PASSES = 5
 
 
 def may_broadcast(vectors: DataFrame, dim: int, limit: int = BROADCAST_BYTES) -> bool:
@@ -133,17 +135,18 @@ def unit(vectors: DataFrame) -> DataFrame:
 
 
 def train_vectors(sentences: DataFrame, tokens: str, dim: int = 300, min_count: int = 5,
-                  seed: int = 42, max_iter: int = 1, partitions: int | None = None) -> DataFrame:
+                  seed: int = 42, max_iter: int | None = None, partitions: int | None = None) -> DataFrame:
     """Skip-gram word vectors as a (token, vector) table, trained in ``partitions`` parts (default: one per core).
 
+    ``max_iter`` passes are made; by default five, or one per part if there are more parts, as a pass gives each part one look at its share only.
     Spark's trainer holds vocabulary times ``dim`` numbers on the driver and sends them to every task: raise ``min_count`` until
     that fits.
     """
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
+    parts = partitions or sentences.sparkSession.sparkContext.defaultParallelism
     model = Word2Vec(vectorSize=dim, minCount=min_count, inputCol=tokens, outputCol="_v", seed=seed,
-                     maxIter=max_iter,
-                     numPartitions=partitions or sentences.sparkSession.sparkContext.defaultParallelism).fit(sentences)
+                     maxIter=max(PASSES, parts) if max_iter is None else max_iter, numPartitions=parts).fit(sentences)
     return model.getVectors().select(F.col("word").alias("token"),
                                      vector_to_array("vector", "float32").alias("vector"))

@@ -159,3 +159,16 @@ def test_word_lists_are_the_broadcast_side(spark):
     plan = sums._jdf.queryExecution().executedPlan().toString()
     assert "BuildRight" in plan and "BuildLeft" not in plan and "hashpartitioning(term" not in plan
     assert sums.count() == 1000
+
+
+def test_training_passes(spark, monkeypatch):
+    from pyspark.ml import feature
+
+    rng = random.Random(3)
+    docs = spark.createDataFrame([([rng.choice("abcdef") for _ in range(12)],) for _ in range(60)], "words array<string>").coalesce(1)
+    trained = lambda **kw: {r.token: list(r.vector) for r in embed.train_vectors(docs, "words", dim=4, partitions=1, **kw).collect()}
+    assert trained() == trained(max_iter=5) != trained(max_iter=1)
+    asked, plain = [], feature.Word2Vec.fit
+    monkeypatch.setattr(feature.Word2Vec, "fit", lambda self, df: asked.append((self.getMaxIter(), self.getNumPartitions())) or plain(self, df))
+    embed.train_vectors(docs, "words", dim=4, partitions=8)
+    assert asked == [(8, 8)]
