@@ -6,7 +6,8 @@ at random, so its source counts are multinomial; draws beyond a source's quota a
 so totals meet the targets and no source is repeated more than ``REPEATS`` times. The k-th slot of a source takes the
 block at place k mod n of a pseudo-random permutation of its n blocks, another one for each round k div n
 (swap-or-not: rounds of conditional exchanges with a keyed partner, a permutation of any n without tables or
-sorting). Slots then meet blocks by index.
+sorting; with ``ROUNDS`` of them the blocks taken are spread like a random draw). Slots then meet blocks by index. Planning sees keys
+and sizes only; texts meet their spans in one last join.
 
 Everything random is a hash of a fixed seed and of positions: reruns agree, and a lost task is recomputed the same.
 Documents are numbered within hash ranges of a source, whose number grows with the input, so a source with a third of all rows is
@@ -23,14 +24,15 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from branchwise.llm.words import WORD, boxed, hash60, unboxed, word_count
+from branchwise.llm.words import WORD, boxed, hash60, stored, unboxed, word_count
+from branchwise.operators.skew import prefix_sum
 from branchwise.session import durable
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 BLOCK = 32
 SHARD = 1 << 16
-ROUNDS = 6
+ROUNDS = 24
 RANGE_ROWS = 20_000
 
 
@@ -60,12 +62,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = B
 
 
 def pack(sized: DataFrame, sources: DataFrame, n_rows: int) -> DataFrame:
-    """``sized`` with ``_s``, source_size, target and ``_off``, the words of its source that come before the document."""
+    """``sized`` with ``_s``, source_size, target and ``_off``, the words of its source that come before the document.
+
+    Equal ids of one source go by size, then by ``_id`` where there is one.
+    """
     bits = max(0, math.ceil(math.log2(max(1, n_rows / RANGE_ROWS))))
     placed = (sized.join(sources.select("source", "_s", "source_size", "target"), sized["source"].eqNullSafe(sources["source"]), "left").drop(sources["source"])
               .withColumn("_h", hash60(F.col("doc_id")))
               .withColumn("_range", F.call_function("shiftright", F.col("_h"), F.lit(60 - bits))))
-    inside = Window.partitionBy("_s", "_range").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_s", "_range").orderBy("_h", "doc_id", "size", *[c for c in ("_id",) if c in sized.columns]).rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn("_local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     earlier = Window.partitionBy("_rs").orderBy("_rr").rowsBetween(Window.unboundedPreceding, -1)
     ranges = (placed.groupBy(F.col("_s").alias("_rs"), F.col("_range").alias("_rr")).agg(F.sum("size").alias("_n"))
@@ -90,8 +95,8 @@ def draw(spark: SparkSession, sources: DataFrame, n_slots: int, seed: str, shard
     started = drawn.withColumn("_start", F.coalesce(F.sum("_c").over(earlier), F.lit(0))).join(sources.select("_s", "_quota"), "_s")
     kept = durable(started.withColumn("_keep", F.least(F.greatest(F.col("_quota") - F.col("_start"), F.lit(0)), F.col("_c"))))
     # surplus draws and missing slots, both numbered from 0, meet by number
-    surplus = kept.where("_c > _keep").withColumn("_m", F.col("_c") - F.col("_keep"))
-    surplus = surplus.withColumn("_to", F.sum("_m").over(Window.orderBy("_shard", "_s").rowsBetween(Window.unboundedPreceding, 0)))
+    surplus = kept.where("_c > _keep").select("_shard", "_s", (F.col("_c") - F.col("_keep")).alias("_m"))
+    surplus = prefix_sum(surplus, [], [F.col("_shard"), F.col("_s")], F.col("_m"), "_from").withColumn("_to", F.col("_from") + F.col("_m"))
     missing = (sources.join(kept.groupBy("_s").agg(F.sum("_keep").alias("_got")), "_s", "left")
                .withColumn("_m", F.col("_quota") - F.coalesce("_got", F.lit(0))).where("_m > 0")
                .withColumn("_to", F.sum("_m").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, 0))))
@@ -117,20 +122,22 @@ def uses(spark: SparkSession, sources: DataFrame, n_slots: int, seed: str, round
     keys = F.transform(F.sequence(F.lit(0), F.lit(REPEATS * rounds - 1)),
                        lambda i: F.pmod(_hash(seed, "key", F.col("_s"), i), F.greatest(F.col("_blocks"), F.lit(1))))
     counts = draw(spark, sources, n_slots, seed).join(sources.select("_s", "_blocks", keys.alias("_keys")), "_s")
-    slots = (counts.withColumn("_i", F.explode(F.sequence(F.col("_k"), F.col("_k") + F.col("_n") - 1)))
+    # few rows stand for many slots: dealt out by shard, so that the slots are made in as many tasks
+    tasks = max(1, min(n_slots // SHARD + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    slots = (counts.repartition(tasks, "_shard", "_s").withColumn("_i", F.explode(F.sequence(F.col("_k"), F.col("_k") + F.col("_n") - 1)))
              .select("_s", "_blocks", "_keys", F.expr("_i div _blocks").alias("_round"), F.expr("_i % _blocks").alias("_x")))
     return permuted(slots, seed, rounds).groupBy("_s", "_j").agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("_round").cast("int"))).alias("_rounds"))
 
 
-def plan(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(packed documents, taken parts). ``docs``: doc_id, source, text.
+def plan(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(packed documents, taken parts). ``docs``: doc_id, source, text, and ``_id`` where rows must be told apart.
 
-    Packed: doc_id, the columns of ``keep``, source, size, source_size, target, and the key ``_s``, ``_off``. Parts: key, ``_from`` (first word in the
+    Packed: doc_id, ``_id``, source, size, source_size, target, and the key ``_s``, ``_off``. Parts: key, ``_from`` (first word in the
     document, from 0), ``_len`` (words) and ``_rounds``.
     """
     spark = docs.sparkSession
-    sized = durable(docs.select(*dict.fromkeys(["doc_id", "source", *(keep or [])]), word_count(F.col("text")).alias("size")))
+    sized = durable(docs.select(*[docs[c] for c in ("doc_id", "_id", "source") if c in docs.columns], word_count(docs["text"]).alias("size")))
     sources = durable(targets(sized, weights, block))
     totals = sources.agg(F.sum("_quota")).first()  # one number
     n_slots = totals[0] or 0
@@ -159,12 +166,14 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     A round that takes the whole document gives its text unchanged; otherwise the taken runs of words follow each other with the white space
     behind each word, and ``n_chars`` is counted anew. Documents of which nothing is taken, those without words too, are left out.
     """
-    packed, parts = plan(boxed(docs, "doc_id", "source", "text"), keep=["_row"], **options)
+    boxes, _ = stored(boxed(docs, "doc_id", "source", "text").withColumn("_id", F.monotonically_increasing_id()))  # the key must not change
+    packed, parts = plan(boxes.select("doc_id", "_id", "source", "text"), **options)
     each = parts.withColumn("_round", F.explode(F.array(*[F.lit(e) for e in range(REPEATS)]))).where(F.expr("_rounds & shiftleft(1, _round)") > 0)
     spans = each.groupBy("_s", "_off", "_round").agg(F.sort_array(F.collect_list(F.struct("_from", "_len"))).alias("_spans"), F.sum("_len").alias("_n"))
+    spans = durable(packed.where("size > 0").select("_s", "_off", "_id", "size").join(spans, ["_s", "_off"]).select("_id", "size", "_spans", "_n"))
     text = F.col("_row")["text"]
     words = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    joined = packed.where("size > 0").join(spans, ["_s", "_off"])
+    joined = boxes.select("_row", "_id").join(spans, "_id")
     # the words are bound once per row: named in the inner function they would be cut out anew for every span
     run = lambda ws: F.array_join(F.transform("_spans", lambda x: F.array_join(F.slice(ws, (x["_from"] + 1).cast("int"), x["_len"].cast("int")), "")), "")
     cut = F.transform(F.array(words), run)[0]

@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from branchwise.llm.words import columns_and, quoted
+
 META = "▁"
 REMEMBER = 400_000
 
@@ -178,7 +180,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", digest: bool = Fal
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids", "spans", "decoded"]
     keep = [c for c in docs.columns if c != text and c not in new]
     kinds = ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, spans array<long>, decoded string")
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [kinds])
+    schema = columns_and(docs, keep, kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(model)
@@ -201,4 +203,4 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", digest: bool = Fal
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(v, t) for v, t in zip(rows, types)]
             yield pa.RecordBatch.from_arrays(arrays, [*keep, *new])
 
-    return docs.select(*[f"`{c}`" for c in keep], f"`{text}`").mapInArrow(run, schema)
+    return docs.select(*[quoted(c) for c in [*keep, text]]).mapInArrow(run, schema)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from branchwise.llm.words import GAPS, word_bytes
+from branchwise.llm.words import GAPS, columns_and, quoted, word_bytes
 
 SYMBOLS = "#*$%&|<>"
 BANDS = (200, 1000)  # upper ends in words; the last band is open
@@ -77,7 +77,7 @@ def counts(text: str | None) -> tuple[int, ...]:
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """The other columns of ``docs`` and ``COUNTS``, each text read once and whole."""
     keep = [c for c in docs.columns if c != text and c not in COUNTS]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} long" for c in COUNTS])
+    schema = columns_and(docs, keep, ", ".join(f"{c} long" for c in COUNTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,7 +85,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *[pa.array(found[:, i]) for i in range(len(COUNTS))]],
                                              [*keep, *COUNTS])
 
-    return docs.select(*[f"`{c}`" for c in keep], f"`{text}`").mapInArrow(run, schema)
+    return docs.select(*[quoted(c) for c in [*keep, text]]).mapInArrow(run, schema)
 
 
 def base_failed() -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from branchwise.llm import mixing, pieces, quality, sharding, simhash, substring, templates, token_scan, topk, toxicity
+from branchwise.llm import mixing, pieces, prefix_trie, quality, sharding, simhash, substring, templates, token_scan, topk, toxicity
 from branchwise.llm.words import table
 from branchwise.session import configure, durable
 
@@ -108,6 +108,12 @@ def op9_extendible_sharding(spark, sf_dir):
     return placed.drop("size")
 
 
+@query
+def op12_conversation_trie(spark, sf_dir):
+    """The nodes of the prefix trie of all conversations, rebuilt with their shared beginnings."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 ORACLES["op9_extendible_sharding"] = f"""
 WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes,
                   ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h FROM documents),
@@ -171,16 +177,41 @@ FROM a LEFT JOIN gone ON gone.doc_id = a.doc_id AND gone.text = a.text LEFT JOIN
 """
 
 
+ORACLES["op12_conversation_trie"] = f"""
+WITH own AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+             FROM conversations WHERE conv_id IS NOT NULL),
+     size AS (SELECT conv_id, count(*) AS len FROM own GROUP BY conv_id),
+     ids AS (SELECT conv_id, conv_id - conv_id % {prefix_trie.SHARED} AS base,
+                    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                          lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 6 AS h
+             FROM size),
+     r AS (SELECT ids.conv_id, pos, role, text FROM ids JOIN own ON own.conv_id = base AND pos <= h
+           UNION ALL
+           SELECT own.conv_id, pos - h + least(h, coalesce(b.len, 0)), role, text FROM own JOIN ids ON ids.conv_id = own.conv_id AND pos > h
+           LEFT JOIN size b ON b.conv_id = base),
+     c AS (SELECT ids.conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY pos) FILTER (pos IS NOT NULL), []) AS ts
+           FROM ids LEFT JOIN r ON r.conv_id = ids.conv_id GROUP BY ids.conv_id),
+     p AS (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM c),
+     n AS (SELECT d, ts[1:d] AS k, min(conv_id) AS conv_id, count(*) AS n, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(ts) = d), '') AS e
+           FROM p GROUP BY ALL),
+     kids AS (SELECT n.d, n.k, count(c.d) AS m FROM n LEFT JOIN n c ON c.d = n.d + 1 AND c.k[1:n.d] = n.k GROUP BY ALL),
+     w AS (SELECT n.*, m, CASE WHEN n.d = 0 THEN 0 ELSE (n - 1) * length(n.k[n.d].text) END AS own FROM n JOIN kids ON kids.d = n.d AND kids.k = n.k)
+SELECT a.conv_id, a.d AS depth, any_value(u.conv_id) AS parent_conv_id, any_value(a.n) AS n_convs, any_value(a.m) AS n_children,
+       CAST(count(*) FILTER (s.m = 0) AS BIGINT) AS n_leaves, CAST(sum(s.own) AS BIGINT) AS saved_tokens, sha256(any_value(a.e)) AS ends_sha256
+FROM w a JOIN w s ON s.d >= a.d AND s.k[1:a.d] = a.k LEFT JOIN n u ON u.d = a.d - 1 AND u.k = a.k[1:a.d - 1]
+GROUP BY a.d, a.k, a.conv_id
+"""
+
+
 def _hash_sql(text: str) -> str:
     return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
 
 
 def _mixing_sql(block: int = mixing.BLOCK, shard: int = mixing.SHARD, rounds: int = mixing.ROUNDS, repeats: int = mixing.REPEATS) -> str:
-    x, steps = "x", []
-    for r in range(rounds):
-        key = f"(({_hash_sql(f'''concat('mix|key|', s, '|', round * {rounds} + {r})''')} - {x}) % n_blocks + n_blocks) % n_blocks"
-        steps.append(f"p{r} AS (SELECT *, {key} AS y{r} FROM {f'q{r - 1}' if r else 'slot'}),\n"
-                     f"q{r} AS (SELECT * REPLACE (CASE WHEN substr(md5(concat('mix|swap|', s, '|', round, '|{r}|', greatest({x}, y{r}))), 1, 1) < '8' THEN y{r} ELSE {x} END AS x) FROM p{r})")
+    key = _hash_sql(f"concat('mix|key|', s, '|', round * {rounds} + r)")
+    partner = f"((({key} - a) % n_blocks + n_blocks) % n_blocks)"
+    exchange = f"CASE WHEN substr(md5(concat('mix|swap|', s, '|', round, '|', r, '|', greatest(a, {partner}))), 1, 1) < '8' THEN {partner} ELSE a END"
     return f"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len({WORD_SQL}), 0) AS BIGINT) AS size FROM documents),
 w AS (SELECT *, 3.0::DOUBLE * source_size AS cap, [{', '.join(f'{v}.0::DOUBLE' for v in mixing.WEIGHTS)}][s % {len(mixing.WEIGHTS)} + 1] AS weight
@@ -205,8 +236,7 @@ ms AS (SELECT s, unnest(range(upto - m, upto)) AS r FROM (SELECT *, CAST(sum(m)
 fc AS (SELECT shard, s, CAST(sum(n) AS BIGINT) AS n FROM (SELECT shard, s, keep AS n FROM kp WHERE keep > 0 UNION ALL SELECT shard, s, 1 FROM sp JOIN ms USING (r)) GROUP BY ALL),
 st AS (SELECT s, n, CAST(coalesce(sum(n) OVER (PARTITION BY s ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS k FROM fc),
 slot AS (SELECT s, n_blocks, i // n_blocks AS round, i % n_blocks AS x FROM (SELECT s, unnest(range(k, k + n)) AS i FROM st) JOIN src USING (s)),
-{(',' + chr(10)).join(steps)},
-us AS (SELECT s, x AS j, count(*) AS times FROM q{rounds - 1} GROUP BY ALL),
+us AS (SELECT s, list_reduce(list_prepend(x, range({rounds})), lambda a, r: {exchange}) AS j, count(*) AS times FROM slot GROUP BY ALL),
 pc AS (SELECT s, off, size, unnest(range(off // {block}, (off + size - 1) // {block} + 1)) AS j FROM pk WHERE size > 0),
 tk AS (SELECT s, off, CAST(sum((least((j + 1) * {block}, off + size) - greatest(j * {block}, off)) * times) AS BIGINT) AS taken FROM pc JOIN us USING (s, j) GROUP BY ALL)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM pk LEFT JOIN tk ON pk.size > 0 AND tk.s = pk.s AND tk.off = pk.off

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from branchwise.llm.words import hash60, unboxed
+from branchwise.llm.words import hash60, quoted, unboxed
 from branchwise.operators.skew import prefix_sum
 from branchwise.session import durable
 
@@ -62,7 +62,7 @@ def assign(docs: DataFrame, key: str, size: Column, limit: int, hash_bits: int =
 
     ``shard_bytes`` is the size of the bucket; an overflow page holds at most ``limit`` of it.
     """
-    whole = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    whole = F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("_row")
     sized = docs.select(whole, hash60(F.col(key)).alias("_hash"), F.coalesce(size, F.lit(0)).cast("long").alias("_bytes"))
     buckets = directory(sized.select("_hash", "_bytes"), limit, hash_bits)
     depths = sorted(r[0] for r in buckets.select("depth").distinct().collect()) or [0]  # at most one per hash bit

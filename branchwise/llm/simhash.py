@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from branchwise.llm.components import components
-from branchwise.llm.words import boxed, unboxed
+from branchwise.llm.words import boxed, columns_and, quoted, unboxed
 from branchwise.session import durable
 
 RADIUS = 3
@@ -58,14 +58,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "_fp", shingle: int = SHINGLE) -> DataFrame:
     """The other columns of ``docs`` and the fingerprint as a signed long."""
     keep = [c for c in docs.columns if c not in (text, name)]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"`{name}` long"])
+    schema = columns_and(docs, keep, quoted(name) + " long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(v.as_py(), shingle) for v in batch.column(len(keep))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(found)], [*keep, name])
 
-    return docs.select(*[f"`{c}`" for c in keep], f"`{text}`").mapInArrow(run, schema)
+    return docs.select(*[quoted(c) for c in [*keep, text]]).mapInArrow(run, schema)
 
 
 def forest(keys: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:

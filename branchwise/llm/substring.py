@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from branchwise.llm.words import stored, word_bytes
+from branchwise.llm.words import columns_and, quoted, stored, word_bytes
 from branchwise.session import durable
 
 WINDOW = 13
@@ -261,7 +261,7 @@ def deduplicate(docs: DataFrame, digest: bool = False, **options) -> DataFrame:
     joined = docs.join(right, (docs["doc_id"] == right["_id"]) & (F.xxhash64(docs["text"]) == right["_hash"]), "left")
     new = "kept_sha256" if digest else "text"
     keep = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept_sha256", "hits")]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["n_words long", "n_removed long", f"{new} string"])
+    schema = columns_and(docs, keep, f"n_words long, n_removed long, {new} string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,4 +282,4 @@ def deduplicate(docs: DataFrame, digest: bool = False, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *[pa.array(v, k) for v, k in zip(rows, kinds)]],
                                              [*keep, "n_words", "n_removed", new])
 
-    return joined.select(*[docs[c] for c in keep], docs["text"], right["hits"]).mapInArrow(run, schema)
+    return joined.select(*[docs[quoted(c)] for c in keep], docs["text"], right["hits"]).mapInArrow(run, schema)

@@ -33,6 +33,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from branchwise.llm.words import columns_and, quoted
+
 DECAY = 0.6
 SPAN = 7
 LANDMARKS = 300
@@ -328,7 +330,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted``. The text alone decides."""
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     at = keep.index(text)
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["score double"])
+    schema = columns_and(docs, keep, "score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Scorer(model)
@@ -339,4 +341,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 values.extend(model.probability(tool.texts(texts[s:s + 256])).tolist())
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(values, pa.float64())], [*keep, "score"])
 
-    return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return docs.select(*[quoted(c) for c in keep]).mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from branchwise.session import scratch_path
 
@@ -31,14 +32,24 @@ def hash60(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark's parser takes it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns_and(docs: DataFrame, keep: list[str], new: str) -> StructType:
+    """The schema of the columns ``keep`` of ``docs``, followed by ``new`` (in DDL)."""
+    return StructType([*[docs.schema[c] for c in keep], *StructType.fromDDL(new).fields])
+
+
 def boxed(docs: DataFrame, *names: str) -> DataFrame:
     """``names`` beside ``_row``, a struct of all columns: whatever they are called, they clash with no helper column."""
-    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), *[docs[c] for c in names])
+    return docs.select(F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("_row"), *[docs[quoted(c)] for c in names])
 
 
 def unboxed(columns: list[str], **new: Column) -> list[Column]:
     """The columns of a ``boxed`` table again, some replaced or added."""
-    kept = [new.get(c, F.col("_row")[c]).alias(c) for c in columns]
+    kept = [new.get(c, F.col("_row").getField(c)).alias(c) for c in columns]
     return kept + [v.alias(c) for c, v in new.items() if c not in columns]
 
 

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from branchwise.llm import components, mixing, near_copies, pieces, quality, sharding, simhash, substring, templates, token_scan, topk, toxicity
+from branchwise.llm import components, mixing, pieces, prefix_trie, quality, sharding, simhash, substring, templates, token_scan, topk, toxicity
 from branchwise.llm.queries import bpe_pattern, public_file
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, size string, _h string, _group long, n_words string, hits string, shard string, depth string"
@@ -127,6 +127,18 @@ def test_permutations(spark):
         assert sorted(r._j for r in mixing.permuted(slots, "t").collect()) == list(range(n))
 
 
+def test_blocks_are_taken_as_by_a_random_draw(spark):
+    n, share = 100_000, 10_000
+    keys = F.transform(F.sequence(F.lit(0), F.lit(3 * mixing.ROUNDS - 1)), lambda i: F.pmod(mixing.hash60(F.concat(F.lit("t|"), i.cast("string"))), F.lit(n)))
+    slots = spark.range(share).select(F.lit(0).alias("_s"), F.lit(n).cast("long").alias("_blocks"), F.col("id").alias("_x"), F.lit(0).alias("_round"), keys.alias("_keys"))
+    taken = np.array([r._j for r in mixing.permuted(slots, "t").select("_j").collect()])
+    assert len(set(taken)) == share
+    for width in (1000, 10_000):
+        counts = np.bincount(taken // width, minlength=n // width)
+        wide = width * 0.1 * 0.9  # a random draw's variance, but for the finite table
+        assert counts.var() < 1.3 * wide + (3 * wide if width == 10_000 else 0) and (width == 10_000 or counts.var() > 0.7 * wide)
+
+
 def test_mix_odd_rows(odd, empty):
     got = mixing.shares(odd).collect()
     assert len(got) == len(ODD) and {r.size for r in got if r.doc_id in (1, 2, 6)} == {0} and all(r.taken <= 3 * r.size for r in got)
@@ -517,48 +529,67 @@ def test_components_of_a_long_path(spark):
     assert found == {**{i: 0 for i in range(301)}, 900: 900, 901: 900, 905: 900}
 
 
-def plain_jaccard(a, b):
-    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-
-
-@pytest.mark.parametrize("first", [near_copies.FIRST, 2])
-def test_near_copies_of_the_stage_equal_all_pairs(spark, first, monkeypatch):
-    monkeypatch.setattr(near_copies, "FIRST", first)
-    rng = np.random.default_rng(6)
-    texts = []
-    for i in range(40):
-        base = [f"w{k}" for k in rng.integers(0, 3000, 100)]
-        texts.append(" ".join(base))
-        for _ in range(25 if i == 0 else 2):  # one large group
-            changed = list(base)
-            for k in rng.choice(100, rng.integers(1, 5), replace=False):
-                changed[k] = f"new{rng.integers(0, 10**6)}"
-            texts.append(" ".join(changed))
-    lab = list(range(len(texts)))
-    for a, b in itertools.combinations(range(len(texts)), 2):
-        if plain_jaccard(texts[a], texts[b]) >= 0.8:
-            low, high = sorted((lab[a], lab[b]))
-            lab = [low if x == high else x for x in lab]
-    assert 40 < len(set(lab)) < len(texts)
-    got = near_copies.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    assert sorted(r.doc_id for r in got.collect()) == sorted(set(lab))
-
-
-def test_stage_links_what_three_bits_miss(spark):
-    import corpus_pipeline
-
-    rng = np.random.default_rng(8)
+# 12 conversation trie
+
+def plain_trie(rows):
+    own = {}
+    for c, t, r, x in rows:
+        if c is not None:
+            own.setdefault(c, []).append((t is not None, t or 0, r or "", x or ""))
+    own = {c: [v[2:] for v in sorted(vs)] for c, vs in own.items()}
+    full = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        full[c] = own.get(c - int(math.fmod(c, 100)), [])[:h] + turns[h:]
+    members, children = {}, {}
+    for c, turns in full.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    for k in members:
+        if k:
+            children[k[:-1]] = children.get(k[:-1], 0) + 1
+    leaves, saved = dict.fromkeys(members, 0), dict.fromkeys(members, 0)
+    for k, m in members.items():
+        for d in range(len(k) + 1):
+            leaves[k[:d]] += k not in children
+            saved[k[:d]] += (len(m) - 1) * len(k[-1][1]) if k else 0
+    digest = lambda k, m: hashlib.sha256(",".join(str(c) for c in sorted(m) if len(full[c]) == len(k)).encode()).hexdigest()
+    return sorted(((min(m), len(k), min(members[k[:-1]]) if k else None, len(m), children.get(k, 0), leaves[k], saved[k], digest(k, m))
+                   for k, m in members.items()), key=str)
+
+
+@pytest.mark.parametrize("crowd", [prefix_trie.CROWD, 12])
+def test_trie_equals_plain_version(spark, crowd):
+    rng = np.random.default_rng(1)
     rows = []
-    for i in range(30):
-        base = [f"w{k}" for k in rng.integers(0, 5000, 100)]
-        rows += [(i, " ".join(base)), (100 + i, " ".join([*base[:50], "changed", *base[51:]]))]  # similarity 0.9
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == list(range(30))
-
-
-def test_near_copies_odd_rows(odd, empty):
-    kept = near_copies.deduplicate(odd)
-    assert kept.columns == odd.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 3, 4, None], key=str)
-    assert near_copies.deduplicate(empty).count() == 0
+    for c in [*range(-5, 160), 250, 777, 10**12 + 3]:
+        for t in range(int(rng.integers(0, 9))):
+            rows.append((c, t if rng.random() < .95 else None, [None, "user", "bot"][rng.integers(3)], [None, "", "a", "b\u00e9", "cc"][rng.integers(5)]))
+    rows += [(None, 1, "a", "b")] * 3 + rows[:20]  # without an id, and repeated rows
+    rows += [(2000 + i, 0, "user", "hot") for i in range(60)]  # copies
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, pos string, `node.a` long")
+    got = prefix_trie.trie(docs, crowd=crowd).collect()
+    assert sorted(map(tuple, got), key=str) == plain_trie(rows)
+
+
+def test_trie_of_little(spark, monkeypatch):
+    kinds = "conv_id long, turn long, role string, text string"
+    assert prefix_trie.trie(spark.createDataFrame([], kinds)).count() == 0
+    for rows in ([(7, 0, "a", "b")], [(None, 0, "a", "b"), (100, 1, "x", None)]):
+        assert sorted(map(tuple, prefix_trie.trie(spark.createDataFrame(rows, kinds)).collect()), key=str) == plain_trie(rows)
+    monkeypatch.setattr(prefix_trie, "RUN", 5)  # ids of one end in many runs
+    rows = [(i, t, "u", "same" * t) for i in range(200) for t in range(8)]
+    assert sorted(map(tuple, prefix_trie.trie(spark.createDataFrame(rows, kinds)).collect()), key=str) == plain_trie(rows)
+
+
+# column names
+
+def test_any_column_name(spark):
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * 5, "en", "s", 5, 1, 2, 3) for i in range(4)],
+                                 "doc_id long, text string, lang string, source string, n_chars long, `my col` long, `a.b` long, `c``d` long")
+    names = ["my col", "a.b", "c`d"]
+    for made in (mixing.mix(docs), simhash.deduplicate(docs), substring.deduplicate(docs), quality.measure(docs), templates.drop_recurring(docs),
+                 pieces.encode(docs, public_file("piece_bpe_32k.model")), sharding.assign(docs, "doc_id", F.lit(1), 2)[0],
+                 toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")))):
+        assert set(names) <= set(made.columns)
+        assert {tuple(r[n] for n in names) for r in made.collect()} == {(1, 2, 3)}

@@ -102,7 +102,7 @@ def test_run_equals_its_stages_and_an_empty_corpus_stays_empty(spark, folder, tm
 
 def test_registration():
     names = set(__spark_entry__.queries())
-    assert {*QUERIES, "pipeline"} <= names and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {*QUERIES, "pipeline"} <= names and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(ORACLES) <= set(__spark_entry__.oracle_sql())
 
 
