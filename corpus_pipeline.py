@@ -5,8 +5,8 @@ Stages, each over all that the one before kept, written as Parquet in the shared
 1. ``toxicity``: documents that the classifier predicts toxic go. It learns from ``labels`` and the documents table, never from held-out rows.
 2. ``line_dedup``: lines of recurring templates go; a document that loses all its words so goes too (they stand in an earlier one).
    A template recurs by different texts here, also where its neighbours never change; ``op4_line_templates`` asks for different neighbours.
-3. ``simhash_near_dedup``: of documents linked by a Jaccard similarity of 0.8 or more of their shingles of five words, the one with the smallest
-   doc_id stays. Three words and three bits are the contract of ``op10_simhash_groups`` only; that radius misses most such pairs.
+3. ``simhash_near_dedup``: of documents whose fingerprints connect, the one with the smallest doc_id stays: the operator of
+   ``op10_simhash_groups`` with its shingles of three words and its distance of three bits.
 4. ``mixing``: a row per document and round in which the mix takes words of it, with those words as text.
 5. ``sentencepiece``: doc_id, source and the digests of each row's ids and decoded text.
 
@@ -20,7 +20,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from branchwise.llm import mixing, near_copies, pieces, templates, toxicity
+from branchwise.llm import mixing, pieces, simhash, templates, toxicity
 from branchwise.llm.queries import public_file
 from branchwise.llm.words import table, word_count
 from branchwise.session import configure, durable
@@ -40,7 +40,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
-    return near_copies.deduplicate(docs)
+    return simhash.deduplicate(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
