@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from branchwise.llm.words import columns_and, quoted
+from branchwise.llm.words import columns_and, map_arrow, quoted
 
 META = "▁"
 REMEMBER = 400_000
@@ -203,4 +203,4 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", digest: bool = Fal
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(v, t) for v, t in zip(rows, types)]
             yield pa.RecordBatch.from_arrays(arrays, [*keep, *new])
 
-    return docs.select(*[quoted(c) for c in [*keep, text]]).mapInArrow(run, schema)
+    return map_arrow(docs.select(*[quoted(c) for c in [*keep, text]]), run, schema)

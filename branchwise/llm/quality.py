@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from branchwise.llm.words import GAPS, columns_and, quoted, word_bytes
+from branchwise.llm.words import GAPS, columns_and, map_arrow, quoted, word_bytes
 
 SYMBOLS = "#*$%&|<>"
 BANDS = (200, 1000)  # upper ends in words; the last band is open
@@ -85,7 +85,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *[pa.array(found[:, i]) for i in range(len(COUNTS))]],
                                              [*keep, *COUNTS])
 
-    return docs.select(*[quoted(c) for c in [*keep, text]]).mapInArrow(run, schema)
+    return map_arrow(docs.select(*[quoted(c) for c in [*keep, text]]), run, schema)
 
 
 def base_failed() -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from branchwise.llm import mixing, pieces, prefix_trie, quality, sharding, simhash, substring, templates, token_scan, topk, toxicity
+from branchwise.llm import mixing, pieces, pii, prefix_trie, quality, sharding, simhash, substring, templates, token_scan, topk, toxicity
 from branchwise.llm.words import table
 from branchwise.session import configure, durable
 
@@ -114,6 +114,14 @@ def op12_conversation_trie(spark, sf_dir):
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op13_personal_data(spark, sf_dir):
+    """Personal data of every document: plain forms counted and digested, all spans listed."""
+    found = pii.extract(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.counted(F.col("base"), i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 ORACLES["op9_extendible_sharding"] = f"""
 WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes,
                   ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h FROM documents),

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from branchwise.llm.components import components
-from branchwise.llm.words import boxed, columns_and, quoted, unboxed
+from branchwise.llm.words import boxed, columns_and, map_arrow, quoted, unboxed
 from branchwise.session import durable
 
 RADIUS = 3
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "_fp", shingle
             found = np.array([fingerprint(v.as_py(), shingle) for v in batch.column(len(keep))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(found)], [*keep, name])
 
-    return docs.select(*[quoted(c) for c in [*keep, text]]).mapInArrow(run, schema)
+    return map_arrow(docs.select(*[quoted(c) for c in [*keep, text]]), run, schema)
 
 
 def forest(keys: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:

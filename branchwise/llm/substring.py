@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from branchwise.llm.words import columns_and, quoted, stored, word_bytes
+from branchwise.llm.words import columns_and, map_arrow, quoted, stored, word_bytes
 from branchwise.session import durable
 
 WINDOW = 13
@@ -282,4 +282,4 @@ def deduplicate(docs: DataFrame, digest: bool = False, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *[pa.array(v, k) for v, k in zip(rows, kinds)]],
                                              [*keep, "n_words", "n_removed", new])
 
-    return joined.select(*[docs[quoted(c)] for c in keep], docs["text"], right["hits"]).mapInArrow(run, schema)
+    return map_arrow(joined.select(*[docs[quoted(c)] for c in keep], docs["text"], right["hits"]), run, schema)

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from branchwise.llm.words import columns_and, quoted
+from branchwise.llm.words import columns_and, map_arrow, quoted
 
 DECAY = 0.6
 SPAN = 7
@@ -341,4 +341,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 values.extend(model.probability(tool.texts(texts[s:s + 256])).tolist())
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(values, pa.float64())], [*keep, "score"])
 
-    return docs.select(*[quoted(c) for c in keep]).mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return map_arrow(docs.select(*[quoted(c) for c in keep]), run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from branchwise.session import scratch_path
 
@@ -42,6 +44,17 @@ def columns_and(docs: DataFrame, keep: list[str], new: str) -> StructType:
     return StructType([*[docs.schema[c] for c in keep], *StructType.fromDDL(new).fields])
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name: Spark resolves plain ones, ``run`` sees and returns the real ones."""
+    seen, plain = df.columns, StructType([StructField(f"_c{i}", f.dataType) for i, f in enumerate(schema)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(b.rename_columns(seen) for b in batches):
+            yield batch.rename_columns(plain.names)
+
+    return df.toDF(*[f"_c{i}" for i in range(len(seen))]).mapInArrow(renamed, plain).toDF(*schema.names)
+
+
 def boxed(docs: DataFrame, *names: str) -> DataFrame:
     """``names`` beside ``_row``, a struct of all columns: whatever they are called, they clash with no helper column."""
     return docs.select(F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("_row"), *[docs[quoted(c)] for c in names])

@@ -3,6 +3,9 @@
 import hashlib
 import itertools
 import math
+import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -10,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from branchwise.llm import components, mixing, pieces, prefix_trie, quality, sharding, simhash, substring, templates, token_scan, topk, toxicity
+from branchwise.llm import components, mixing, pieces, pii, prefix_trie, quality, sharding, simhash, substring, templates, token_scan, topk, toxicity
 from branchwise.llm.queries import bpe_pattern, public_file
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, size string, _h string, _group long, n_words string, hits string, shard string, depth string"
@@ -582,6 +585,106 @@ def test_trie_of_little(spark, monkeypatch):
     assert sorted(map(tuple, prefix_trie.trie(spark.createDataFrame(rows, kinds)).collect()), key=str) == plain_trie(rows)
 
 
+# 13 personal data
+
+PLAIN = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def plain_spans(text):
+    out = []
+    for k, p in enumerate(PLAIN):
+        for m in re.finditer(p, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+            if (k == 0 or k == 1 and all(int(x) <= 255 for x in m[0].split(".")) or k == 2 and 16 <= len(digits) <= 19 and luhn
+                    or k == 3 and 8 <= len(digits) <= 15):
+                out.append((k, m.start(), m.end()))
+    return out
+
+
+def test_base_spans_equal_the_plain_patterns():
+    draw = random.Random(1)
+    bits = ["a", "b.", "@", "1", "23", "4.5", ". ", "-", " ", "+1", " (", "\u00e9", "5", "c.d", "@e.f", "%", "255", "1.2.3.4", "4111111111111111"]
+    for _ in range(20_000):
+        text = "".join(draw.choices(bits, k=draw.randint(0, 24)))
+        base = pii.base_spans(text)
+        assert base == plain_spans(text)
+        more = sorted([*pii.candidates(text, base)])
+        assert all(a[1] <= b[0] for a, b in zip(more, more[1:])) and not any(x < b and a < y for a, b in more for _, x, y in base)
+    began = time.time()
+    for part in ("1", "a", "1.", "1 ", "a@", "+1", "5(", "a.", "1@", "(1"):
+        text = part * 100_000 + "@"
+        pii.patterns(text, 0, 100_000)
+        pii.candidates(text, pii.base_spans(text))
+    assert time.time() - began < 30
+
+
+def plain_personal(texts):
+    """The whole method in plain loops: (base spans, all spans) per text."""
+    marks = []
+    for t in texts:
+        base = plain_spans(t or "")
+        marks.append([(k, a, b) for k, a, b in base] + [(-1, a, b) for a, b in pii.candidates(t or "", base)])
+    edges, seeds = {}, {}
+    for t, spots in zip(texts, marks):
+        for k, a, b in spots:
+            if k >= 0:
+                seeds[t[a:b].lower()] = min(k, seeds.get(t[a:b].lower(), 9))
+            for p in pii.patterns(t, a, b):
+                edges.setdefault(p, set()).add(t[a:b].lower())
+    seeds = {s: k for s, k in seeds.items() if any(s in i for i in edges.values())}
+    known, size = {s: (k, 1.0) for s, k in seeds.items()}, -1
+    for _ in range(pii.ROUNDS):
+        counting = {}
+        for p, members in edges.items():
+            for k in range(4):
+                shares = [known[i][1] for i in members if i in known and known[i][0] == k]
+                if sum(c >= pii.ACCEPT for c in shares) >= pii.SUPPORT and sum(shares) / (len(members) + 1) >= pii.ACCEPT:
+                    counting[p, k] = sum(shares) / (len(members) + 1)
+        rest = {}
+        for (p, k), score in counting.items():
+            for i in edges[p] - set(seeds):
+                rest.setdefault(i, {}).setdefault(k, []).append(score)
+        fresh = {i: max((1 - math.prod(1 - s for s in by), -k) for k, by in kinds.items()) for i, kinds in rest.items()}
+        if len(fresh) == size:
+            break
+        known, size = {**{s: (k, 1.0) for s, k in seeds.items()}, **{i: (-k, c) for i, (c, k) in fresh.items()}}, len(fresh)
+    out = []
+    for t, spots in zip(texts, marks):
+        added = []
+        for k, a, b in spots:
+            if k < 0 and (best := max(((counting[p, j], -j) for p in pii.patterns(t, a, b) for j in range(4) if (p, j) in counting), default=None)):
+                added.append((-best[1], a, b))
+        base = [s for s in spots if s[0] >= 0]
+        out.append((base, sorted(base + added) if added else base))
+    return out
+
+
+def test_context_finds_identifiers_without_a_plain_form(spark):
+    draw = random.Random(4)
+    noise = lambda: " ".join(draw.choices(["the", "house", "of", "12", "7", "2.0", "river"], k=draw.randint(0, 6)))
+    number = lambda: f"+1 ({draw.randint(100, 999)}) 555-{draw.randint(1000, 9999)}"
+    texts = [f"{noise()} call {number()} today {noise()}" for _ in range(200)]
+    texts += [f"{noise()} call 555-{100 + i}3 now {noise()}" for i in range(12)]  # no plain form, the word before tells
+    texts += [f"{noise()} ask 555-{100 + i}3 please" for i in range(12)] + ["ask 555-9123 please"]  # learnt from those just found
+    texts += [f"{noise()} write to ann{i}@mail.example.org soon" for i in range(9)] + ["write to root@localhost soon", "look at it@home here"]
+    texts += [f"version 3.{i} of 4111 1111 1111 1112" for i in range(6)] + ["", None, LONG, "call"] + texts[:5]
+    docs = spark.createDataFrame([(i, t, "x", -1) for i, t in enumerate(texts)], "doc_id long, text string, spans string, `base.a` long")
+    got = {r.doc_id: r for r in pii.extract(docs).collect()}
+    want = plain_personal(texts)
+    assert len(got) == len(texts)
+    for i, (base, spans) in enumerate(want):
+        assert [tuple(s) for s in got[i].base] == base and [tuple(s) for s in got[i].spans] == spans
+    found = {texts[i][s.start:s.end] for i in got for s in got[i].spans if s not in got[i].base}
+    assert {"555-1003", "555-9123", "root@localhost"} <= found and not any(x in found for x in ("12", "7", "2.0", "it@home", "3.1"))
+
+
+def test_personal_data_odd_rows(spark, odd, empty):
+    got = pii.extract(odd).collect()
+    assert len(got) == len(ODD) and all(not r.base and not r.spans for r in got)
+    assert pii.extract(empty).count() == 0
+
+
 # column names
 
 def test_any_column_name(spark):
