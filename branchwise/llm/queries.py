@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from branchwise.llm import mixing, pieces, pii, prefix_trie, quality, sharding, simhash, substring, templates, token_scan, topk, toxicity
+from branchwise.llm import alignment, mixing, pieces, pii, prefix_trie, quality, sharding, simhash, substring, templates, token_scan, topk, toxicity
 from branchwise.llm.words import table
 from branchwise.session import configure, durable
 
@@ -26,7 +26,7 @@ def query(function):
 
 
 def public_file(name: str) -> bytes:
-    """A vocabulary file, read once by the driver: executors get its bytes (under 1 MB)."""
+    """A vocabulary file, read once by the driver: executors get its bytes (a few MB at most)."""
     import public_tokenizers
 
     with open(public_tokenizers.path(name), "rb") as f:
@@ -108,6 +108,12 @@ def op9_extendible_sharding(spark, sf_dir):
     return placed.drop("size")
 
 
+@query
+def op11_token_alignment(spark, sf_dir):
+    """Groups and links between the tokens of two tokenizers in every document, and how common its links are."""
+    return alignment.links(table(spark, sf_dir, "documents").select("doc_id", "text"), public_file("byte_bpe_50k.json"), public_file("piece_bpe_32k.model"))
+
+
 @query
 def op12_conversation_trie(spark, sf_dir):
     """The nodes of the prefix trie of all conversations, rebuilt with their shared beginnings."""

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from branchwise.llm import components, mixing, pieces, pii, prefix_trie, quality, sharding, simhash, substring, templates, token_scan, topk, toxicity
+from branchwise.llm import alignment, components, mixing, pieces, pii, prefix_trie, quality, sharding, simhash, substring, templates, token_scan, topk, toxicity
 from branchwise.llm.queries import bpe_pattern, public_file
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, size string, _h string, _group long, n_words string, hits string, shard string, depth string"
@@ -532,6 +532,79 @@ def test_components_of_a_long_path(spark):
     assert found == {**{i: 0 for i in range(301)}, 900: 900, 901: 900, 905: 900}
 
 
+# 11 token alignment
+
+def plain_alignment(texts):
+    import sentencepiece as spm
+    from tokenizers import Tokenizer
+
+    first = Tokenizer.from_str(public_file("byte_bpe_50k.json").decode())
+    first.encode_special_tokens = True
+    second = spm.SentencePieceProcessor(model_proto=public_file("piece_bpe_32k.model"))
+    byte_of = alignment.byte_of()
+    found = []
+    for t in texts:
+        a, b = first.encode(" " + t, add_special_tokens=False).ids if t else [], second.encode(t) if t else []
+        raw_a = [bytes(byte_of[c] for c in first.id_to_token(i)) for i in a]
+        raw_b = [bytes([int(second.id_to_piece(i)[3:5], 16)]) if second.is_byte(i) else second.id_to_piece(i).replace("\u2581", " ").encode() for i in b]
+        if not (t and b"".join(raw_a) == (" " + t).encode() == b"".join(raw_b)):
+            found.append([])
+            continue
+        ends = [list(itertools.accumulate(map(len, raw))) for raw in (raw_a, raw_b)]
+        groups, x, y = [], 0, 0
+        for end in sorted(set(ends[0]) & set(ends[1])):
+            p, q = ends[0].index(end) + 1, ends[1].index(end) + 1
+            groups.append((a[x:p], b[y:q]))
+            x, y = p, q
+        found.append(groups)
+    counts = {}
+    for groups in found:
+        for pair in {(i, j) for a, b in groups for i in a for j in b}:
+            counts[pair] = counts.get(pair, 0) + 1
+    top = {}
+    for (i, _), n in counts.items():
+        top[i] = max(n, top.get(i, 0))
+    out = []
+    for groups in found:
+        pairs = [(i, j) for a, b in groups for i in a for j in b]
+        text = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+        out.append((sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), len(pairs), sum(counts[p] == top[p[0]] for p in pairs),
+                    sum(counts[p] for p in pairs), hashlib.sha256(text.encode()).hexdigest() if groups else ""))
+    return out
+
+
+@pytest.mark.parametrize("chars", [alignment.BLOCK_CHARS, 500])
+def test_alignment_equals_plain_version(spark, chars):
+    rng = np.random.default_rng(3)
+    texts = [*corpus(40), "", None, " ", "  two  spaces ", "\n\nlines\r\n\there ", "\u2581meta", "<s> </s> <unk> <0x0A> <|endoftext|>", "\U0001f600\u00e9\u0301 \ufb01", "it's we're 'll I'd",
+             "a\x85b c\x1cd\u00a0e\u3000f", "\x00\x01", "12345 67,890.12", "x" * 400, "".join(rng.choice(list(" ab1\u00e9\n'.s\U0001f600"), 3000)), "the same", "the same"]
+    docs = spark.createDataFrame([(i, t, 1, "p") for i, t in enumerate(texts)], "doc_id long, text string, block long, `pairs.x` string")
+    got = alignment.links(docs, public_file("byte_bpe_50k.json"), public_file("piece_bpe_32k.model"), chars=chars).collect()
+    assert len(got) == len(texts)
+    want = plain_alignment(texts)
+    for r in got:
+        assert tuple(r)[1:] == want[r.doc_id], texts[r.doc_id]
+
+
+def test_runs_are_jumped_and_irregular_groups_resolved():
+    rng = np.random.default_rng(2)
+    for _ in range(2000):
+        n = int(rng.integers(1, 60))
+        cuts = [np.unique(np.append(rng.choice(n, rng.integers(0, n + 1), replace=False) + 1, n)) for _ in range(2)]
+        runs, groups = alignment.align(*[c.astype(np.int32) for c in cuts])
+        ends = sorted([int(cuts[0][i + k]) for i, _, m in runs for k in range(m)] + [int(cuts[0][p - 1]) for _, p, _, _ in groups])
+        assert ends == sorted(set(cuts[0].tolist()) & set(cuts[1].tolist()))
+        assert all((cuts[0][i:i + k] == cuts[1][j:j + k]).all() for i, j, k in runs) and all(cuts[0][p - 1] == cuts[1][q - 1] for _, p, _, q in groups)
+        assert sum(k for _, _, k in runs) + sum(p - i for i, p, _, _ in groups) == len(cuts[0])
+    assert alignment.align(np.zeros(0, np.int32), np.zeros(0, np.int32)) == ([], [])
+
+
+def test_alignment_odd_rows(odd, empty):
+    tools = public_file("byte_bpe_50k.json"), public_file("piece_bpe_32k.model")
+    assert sorted(r.n_links == 0 for r in alignment.links(odd, *tools).collect()) == [False] * 6 + [True] * 2
+    assert alignment.links(empty, *tools).count() == 0
+
+
 # 12 conversation trie
 
 def plain_trie(rows):
