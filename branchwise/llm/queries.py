@@ -165,12 +165,11 @@ FROM w LEFT JOIN kept USING (doc_id)
 
 ORACLES["op4_line_templates"] = rf"""
 WITH a AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents),
-     l AS (SELECT doc_id, text, unnest(a) AS line, unnest(range(1, len(a) + 1)) AS no, unnest(list_prepend(NULL, a[:-2])) AS before,
-                  unnest(list_append(a[2:], NULL)) AS after FROM a),
-     t AS (SELECT doc_id, text, no, row(before, after) AS ctx,
+     l AS (SELECT doc_id, text, unnest(a) AS line, unnest(range(1, len(a) + 1)) AS no FROM a),
+     t AS (SELECT doc_id, text, no,
                   list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '{templates.FIELD}' ELSE w END) AS ws FROM l),
      f AS (SELECT *, row(len(ws), ws[1:{templates.DEPTH}]) AS leaf FROM t WHERE len(ws) > 0),
-     c AS (SELECT f.* FROM f JOIN (SELECT leaf FROM f GROUP BY leaf HAVING count(DISTINCT ctx) >= {templates.RECUR}) USING (leaf)),
+     c AS (SELECT f.* FROM f JOIN (SELECT leaf FROM f GROUP BY leaf HAVING count(DISTINCT text) >= {templates.RECUR}) USING (leaf)),
      d AS (SELECT leaf, ws, count(*) AS n FROM c GROUP BY ALL),
      e AS (SELECT leaf, ws, n, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
      o AS (SELECT leaf, p, word FROM e WHERE word <> '{templates.FIELD}' GROUP BY ALL HAVING sum(n) >= {templates.RECUR}),
@@ -178,9 +177,9 @@ WITH a AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents)
            FROM e LEFT JOIN o ON o.leaf = e.leaf AND o.p = e.p AND o.word = e.word GROUP BY ALL
            HAVING avg(CASE WHEN o.word IS NOT NULL OR e.word = '{templates.FIELD}' THEN 1.0 ELSE 0 END) >= {templates.CONSTANT}
               AND avg(CASE WHEN o.word IS NOT NULL THEN 1.0 ELSE 0 END) >= 0.5),
-     j AS (SELECT c.leaf, tpl, doc_id, text, no, ctx FROM c JOIN g ON g.leaf = c.leaf AND g.ws = c.ws),
+     j AS (SELECT c.leaf, tpl, doc_id, text, no FROM c JOIN g ON g.leaf = c.leaf AND g.ws = c.ws),
      r AS (SELECT leaf, tpl, min(doc_id) AS first_id FROM j GROUP BY ALL
-           HAVING count(DISTINCT row(doc_id, text)) >= {templates.RECUR} AND count(DISTINCT ctx) >= {templates.RECUR}),
+           HAVING count(DISTINCT text) >= {templates.RECUR}),
      x AS (SELECT DISTINCT doc_id, text, no FROM j JOIN r USING (leaf, tpl) WHERE doc_id IS DISTINCT FROM first_id),
      gone AS (SELECT doc_id, text, count(*) AS n FROM x GROUP BY ALL),
      kept AS (SELECT l.doc_id, l.text, string_agg(l.line, chr(10) ORDER BY l.no) AS new_text FROM (SELECT DISTINCT doc_id, text, line, no FROM l) l

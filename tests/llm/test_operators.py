@@ -213,7 +213,7 @@ def test_templates_with_constant_neighbours(spark):
     rows += [(200 + i, f"Error at night {i} on page {i}") for i in range(20)]  # nothing else
     rows += [(300 + i, "copied first line here\ncopied second line here\ncopied third line here") for i in range(30)]  # one text
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in templates.drop_recurring(df, by_text=True).collect()}
+    got = {r.doc_id: r for r in templates.drop_recurring(df).collect()}
     text = dict(rows)
     assert all(got[i].text == text[i] for i in (0, 100, 200, *range(300, 330)))  # first of their kind, and copies
     assert all(got[i].n_dropped == 1 and "cookies" not in got[i].text for i in range(1, 50))
@@ -223,6 +223,12 @@ def test_templates_with_constant_neighbours(spark):
     assert left == {i: r.text for i, r in got.items() if r.text}
 
 
+def test_few_and_many_leaves_give_the_same(spark):
+    docs = spark.createDataFrame([(i, f"line one of {i}\nshared line here\nown {'xyz'[i % 3]}{i}") for i in range(40)], "doc_id long, text string")
+    first, second = (sorted(map(tuple, templates.recurring(docs, few=n).collect())) for n in (templates.FEW, 0))
+    assert first == second and len(first) == 39 * 2
+
+
 def test_templates_odd_rows(odd, empty):
     got = templates.drop_recurring(odd).collect()
     assert sorted(map(str, [r.text for r in got])) == sorted(str(r[1]) for r in ODD) and [r.n_lines for r in got if r.text is None] == [0]
