@@ -18,6 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from branchwise.functions.vectors import vector_sum
+from branchwise.operators.scan import products
 from branchwise.session import durable
 
 # Ship the helpers below inside the tasks, so that workers need no copy of this package.
@@ -121,23 +122,24 @@ def score(seqs: DataFrame, models: Sequence[Hmm], branch: Sequence[str], keep: S
         *branch, *keep, "part",
         *[F.when(F.col("part") == 0, _forward(m, F.col("obs"))).otherwise(_transfer(m, F.col("obs"))).alias(f"m{i}")
           for i, m in enumerate(models)])
-    folded = parts.groupBy(*branch, *keep).agg(*[
-        F.array_sort(F.collect_list(F.struct("part", f"m{i}"))).alias(f"m{i}") for i in range(len(models))])
-
-    def joined(i: int, m: Hmm) -> Column:
-        n = range(m.states)
-        first = F.get(F.col(f"m{i}"), F.lit(0))
-        # A branch whose part 0 became empty by filtering starts in its first remaining part.
-        start = F.when(F.size(first[f"m{i}"]) == m.states, first[f"m{i}"]).otherwise(F.array(*[
-            log_sum([F.lit(_log(m.start[a])) + first[f"m{i}"][a * m.states + b] for a in n]) for b in n]))
-        rest = F.slice(F.col(f"m{i}"), F.lit(2), F.size(F.col(f"m{i}")) - 1)
-        end = F.aggregate(rest, start, lambda acc, p: F.array(*[
-            log_sum([acc[a] + p[f"m{i}"][a * m.states + b] for a in n]) for b in n]))
-        return F.aggregate(end, F.lit(None).cast("double"),
-                           lambda acc, x: F.when(acc.isNull(), x).otherwise(log_sum([acc, x])))
-
-    by_label = {id(m): i for i, m in enumerate(models)}
-    long = folded.select(*branch, *keep, entries(lambda m: joined(by_label[id(m)], m)).alias("lls"))
+    # one row per (part, model): a forward vector becomes a matrix of equal rows
+    square = lambda i, m: F.when(F.size(f"m{i}") == m.states, F.flatten(F.array_repeat(F.col(f"m{i}"), m.states))).otherwise(F.col(f"m{i}"))
+    firsts = split.join(seqs.select(*branch, "part"), list(branch)).groupBy(*branch).agg(F.min("part").alias("_first"))
+    # a branch whose part 0 became empty by filtering starts in its first remaining part
+    starts = [F.array(*[F.lit(_log(p)) for p in m.start]) for m in models]
+    entered = lambda i, m: F.when((F.col("part") == F.col("_first")) & (F.col("part") > 0), F.flatten(F.array_repeat(F.array(*[
+        log_sum([starts[i][a] + F.col(f"m{i}")[a * m.states + b] for a in range(m.states)]) for b in range(m.states)]), m.states))).otherwise(square(i, m))
+    logs = parts.join(firsts, list(branch)).select(
+        *branch, *keep, "part", F.posexplode(F.array(*[entered(i, m) for i, m in enumerate(models)])).alias("_model", "_logs"))
+    top = F.array_max("_logs")
+    mats = logs.select(*branch, *keep, "part", "_model", F.transform("_logs", lambda x: F.exp(x - top)).alias("mat"), top.alias("log"))
+    done = products(mats, [*branch, "_model"]).where(F.col("place") == F.col("n_parts") - 1)
+    # every row of the product is the last forward vector
+    states = F.element_at(F.array(*[F.lit(m.states) for m in models]), F.col("_model") + 1)
+    end = F.aggregate(F.slice("pre", F.lit(1), states), F.lit(0.0), lambda acc, x: acc + x)
+    label = F.element_at(F.array(*[F.lit(m.label) for m in models]), F.col("_model") + 1)
+    one = F.struct("_model", F.struct(label.alias("label"), (F.ln(end) + F.col("pre_log")).alias("ll")).alias("e"))
+    long = done.groupBy(*branch, *keep).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["e"]).alias("lls"))
     return single.unionByName(long)
 
 
@@ -149,12 +151,34 @@ def best_label(lls: Column) -> Column:
 
 # --- fitting -----------------------------------------------------------------------------------
 
-def _log_b(model: Hmm, x: np.ndarray) -> np.ndarray:
-    """(sequences, length, states) log emission of x = (sequences, length, features)."""
-    if model.emission is not None:
-        return np.log(np.maximum(model.emission, FLOOR)).T[x[..., 0].astype(int)]
-    diff = x[..., None, :] - model.mean
-    return -0.5 * (np.log(2 * np.pi * model.var) + diff * diff / model.var).sum(-1)
+@dataclass(frozen=True)
+class Shape:
+    """What models are fitted: their emissions, number of states and whether they see times."""
+
+    kind: str = "gaussian"
+    states: int = 2
+    timestamps: bool = False
+
+    def __post_init__(self):
+        if self.kind not in ("gaussian", "discrete"):
+            raise ValueError(f"kind must be gaussian or discrete, got {self.kind}")
+
+    @property
+    def width(self) -> int:
+        return 2 if self.timestamps and self.kind == "gaussian" else 1
+
+    def __str__(self) -> str:
+        return f"{self.kind}{self.states}" + ("t" if self.width > 1 else "")
+
+
+def _log_b(models: Sequence[Hmm], x: np.ndarray) -> np.ndarray:
+    """(models, sequences, length, states) log emission of x = (sequences, length, features), for models of one shape."""
+    if models[0].emission is not None:
+        table = np.log(np.maximum(np.stack([m.emission for m in models]), FLOOR))
+        return np.moveaxis(table[:, :, x[..., 0].astype(int)], 1, -1)
+    mean, var = (np.stack([getattr(m, f) for m in models])[:, None, None] for f in ("mean", "var"))
+    diff = x[None, :, :, None, :mean.shape[-1]] - mean
+    return -0.5 * (np.log(2 * np.pi * var) + diff * diff / var).sum(-1)
 
 
 def _stats_size(model: Hmm) -> int:
@@ -163,44 +187,46 @@ def _stats_size(model: Hmm) -> int:
                         else k + 2 * k * model.mean.shape[1]) + 1
 
 
-def _expect(model: Hmm, x: np.ndarray, weight: np.ndarray, entering: np.ndarray | None = None,
-            leaving: np.ndarray | None = None) -> np.ndarray:
-    """Sufficient statistics of equally long sequences (or parts with known neighbours)."""
-    log_b = _log_b(model, x)
+def _filtered(models: Sequence[Hmm], x: np.ndarray, entering: np.ndarray | None) -> tuple:
+    """Scaled emissions, transitions, forward vectors and the logarithm of their scales."""
+    log_b = _log_b(models, x)
     peak = log_b.max(-1, keepdims=True)
     b = np.exp(log_b - peak)
-    trans = np.maximum(model.trans, FLOOR)
-    n, length, k = b.shape
-    alpha = np.empty_like(b)
-    norm = np.empty((n, length))
-    prior = np.maximum(model.start, FLOOR) if entering is None else entering @ trans
-    for t in range(length):
-        a = (prior if t == 0 else alpha[:, t - 1] @ trans) * b[:, t]
-        norm[:, t] = a.sum(-1)
-        alpha[:, t] = a / norm[:, t, None]
+    trans = np.maximum(np.stack([m.trans for m in models]), FLOOR)
+    alpha, norm = np.empty_like(b), np.empty(b.shape[:3])
+    prior = np.maximum(np.stack([m.start for m in models]), FLOOR)[:, None] if entering is None else entering @ trans
+    for t in range(b.shape[2]):
+        a = (prior if t == 0 else alpha[:, :, t - 1] @ trans) * b[:, :, t]
+        norm[:, :, t] = a.sum(-1)
+        alpha[:, :, t] = a / norm[:, :, t, None]
+    return b, trans, alpha, norm, np.log(norm) + peak[..., 0]
+
+
+def _expect(models: Sequence[Hmm], x: np.ndarray, weight: np.ndarray, entering: np.ndarray | None = None,
+            leaving: np.ndarray | None = None) -> np.ndarray:
+    """(models, statistics) of equally long sequences (or parts with known neighbours), for models of one shape."""
+    b, trans, alpha, norm, logs = _filtered(models, x, entering)
+    n, _, length, k = b.shape
     beta = np.empty_like(b)
-    beta[:, -1] = 1.0 if leaving is None else leaving
+    beta[:, :, -1] = 1.0 if leaving is None else leaving
     for t in range(length - 2, -1, -1):
-        beta[:, t] = (b[:, t + 1] * beta[:, t + 1]) @ trans.T / norm[:, t + 1, None]
+        beta[:, :, t] = (b[:, :, t + 1] * beta[:, :, t + 1]) @ trans.transpose(0, 2, 1) / norm[:, :, t + 1, None]
     gamma = alpha * beta
     gamma /= gamma.sum(-1, keepdims=True)
-    xi = np.zeros((k, k))
+    xi = np.zeros((n, k, k))
     for t in range(0 if entering is not None else 1, length):
-        last = entering if t == 0 else alpha[:, t - 1]
-        pair = last[:, :, None] * trans * (b[:, t] * beta[:, t])[:, None, :]
-        xi += (pair / pair.sum((1, 2), keepdims=True) * weight[:, None, None]).sum(0)
+        last = entering if t == 0 else alpha[:, :, t - 1]
+        pair = last[..., :, None] * trans[:, None] * (b[:, :, t] * beta[:, :, t])[..., None, :]
+        xi += (pair / pair.sum((2, 3), keepdims=True) * weight[:, None, None]).sum(1)
     wg = gamma * weight[:, None, None]
-    start = wg[:, 0].sum(0) if entering is None else np.zeros(k)
-    if model.emission is not None:
+    start = wg[:, :, 0].sum(1) if entering is None else np.zeros((n, k))
+    if models[0].emission is not None:
         symbols = x[..., 0].astype(int)
-        emis = np.stack([wg[symbols == s].sum(0) if (symbols == s).any() else np.zeros(k)
-                         for s in range(model.emission.shape[1])], axis=1)
-        rest = [emis.ravel()]
+        rest = [np.stack([wg[:, symbols == s].sum(1) for s in range(models[0].emission.shape[1])], axis=2).reshape(n, -1)]
     else:
-        flat, g = x.reshape(-1, x.shape[-1]), wg.reshape(-1, k)
-        rest = [g.sum(0), (g.T @ flat).ravel(), (g.T @ (flat * flat)).ravel()]
-    ll = ((np.log(norm) + peak[..., 0]) * weight[:, None]).sum()
-    return np.concatenate([start, xi.ravel(), *rest, [ll]])
+        flat, g = x.reshape(-1, x.shape[-1])[:, :models[0].mean.shape[1]], wg.reshape(n, -1, k).transpose(0, 2, 1)
+        rest = [g.sum(2), (g @ flat).reshape(n, -1), (g @ (flat * flat)).reshape(n, -1)]
+    return np.concatenate([start, xi.reshape(n, -1), *rest, (logs * weight[:, None]).sum((1, 2))[:, None]], axis=1)
 
 
 def _maximise(model: Hmm, stats: np.ndarray) -> Hmm:
@@ -218,85 +244,113 @@ def _maximise(model: Hmm, stats: np.ndarray) -> Hmm:
     return Hmm(model.label, unit(start), unit(xi), mean=mean, var=var)
 
 
-def _features(stance, t, width: int) -> np.ndarray:
-    cols = [np.asarray(stance, dtype=float)]
+def _stacked(pdf: pd.DataFrame, rows: np.ndarray, width: int) -> np.ndarray:
+    """(rows, length, features) of equally long rows."""
+    stance, t = pdf["stance"].to_numpy(), pdf["t"].to_numpy()
+    cols = [np.stack(stance[rows]).astype(float)]
     if width > 1:
-        cols.append(np.asarray(t, dtype=float))
+        cols.append(np.stack(t[rows]).astype(float))
     return np.stack(cols, axis=-1)
 
 
+def _groups(pdf: pd.DataFrame) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Rows of one length that name the same models, a thousand at a time: (names, places)."""
+    sizes = pdf["stance"].str.len().to_numpy()
+    sets, named = pd.factorize(pdf["keys"].map("\x1f".join))
+    order = np.lexsort((sizes, sets))
+    cuts = np.flatnonzero((np.diff(sets[order]) != 0) | (np.diff(sizes[order]) != 0)) + 1
+    for rows in np.split(order, cuts) if len(order) else []:
+        for at in range(0, len(rows), 1000):
+            yield named[sets[rows[0]]].split("\x1f"), rows[at:at + 1000]
+
+
+def _by_shape(names: Sequence[str], models: dict[str, Hmm], wide: int) -> Iterator[list[str]]:
+    """Names of known models, those of one form together, as many as stay small beside ``wide`` numbers each."""
+    forms: dict[tuple, list[str]] = {}
+    for name in names:
+        if name in models:
+            m = models[name]
+            forms.setdefault((m.states, m.emission is None, 0 if m.mean is None else m.mean.shape[1]), []).append(name)
+    most = max(1, 4_000_000 // max(1, wide))
+    for same in forms.values():
+        for at in range(0, len(same), most):
+            yield same[at:at + most]
+
+
 def _partition_stats(models: dict[str, Hmm], width: int):
+    wide = max(map(_stats_size, models.values()))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = {k: np.zeros(_stats_size(m)) for k, m in models.items()}
+        sums = {k: np.zeros(wide) for k in models}  # equally long for all shapes
         for pdf in batches:
-            groups: dict[tuple, list[int]] = {}
-            for i, (keys, stance) in enumerate(zip(pdf["keys"], pdf["stance"])):
-                for key in keys:
-                    groups.setdefault((key, len(stance)), []).append(i)
-            for (key, _), rows in groups.items():
-                x = np.stack([_features(pdf["stance"].iat[i], pdf["t"].iat[i], width) for i in rows])
-                weight = pdf["weight"].to_numpy()[rows]
-                bounds = ([np.stack([np.asarray(v, dtype=float) for v in pdf[c].to_numpy()[rows]])
-                           for c in ("entering", "leaving")] if "leaving" in pdf else [None, None])
-                sums[key] += _expect(models[key], x, weight, *bounds)
+            weights = pdf["weight"].to_numpy()
+            for names, rows in _groups(pdf):
+                x, weight = _stacked(pdf, rows, width), weights[rows]
+                ends = [np.stack(pdf[c].to_numpy()[rows])[None] if c in pdf else None for c in ("entering", "leaving")]
+                for some in _by_shape(names, models, x.size * 4):
+                    for name, stats in zip(some, _expect([models[n] for n in some], x, weight, *ends)):
+                        sums[name][:len(stats)] += stats
         yield pd.DataFrame({"key": list(sums), "stats": [v.tolist() for v in sums.values()]})
     return run
 
 
 def _part_matrices(models: dict[str, Hmm], width: int):
-    """Scaled matrix of every (part, model), the first part with the start distribution folded in."""
+    """Scaled matrix of every (part, model) and the logarithm of its scale; a first part holds the start distribution, in equal rows."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                x = _features(row.stance, row.t, width)[None]
-                for key in row.keys:
-                    m = models[key]
-                    log_b = _log_b(m, x)[0]
-                    b = np.exp(log_b - log_b.max(-1, keepdims=True))
-                    trans = np.maximum(m.trans, FLOOR)
-                    mat = np.eye(m.states) if row.part else np.maximum(m.start, FLOOR)[None] * b[0]
-                    for step in (b if row.part else b[1:]):
-                        mat = (mat @ trans) * step
-                        mat = mat / mat.sum()
-                    out.append((row.branch, row.part, key, (mat / mat.sum()).ravel().tolist()))
-            yield pd.DataFrame(out, columns=["branch", "part", "key", "mat"])
+            for first, half in ((True, pdf[pdf["part"] == 0]), (False, pdf[pdf["part"] != 0])):
+                half = half.reset_index(drop=True)
+                for names, rows in _groups(half):
+                    x = _stacked(half, rows, width)
+                    for some in _by_shape(names, models, x.size * 4):
+                        chosen = [models[n] for n in some]
+                        log_b = _log_b(chosen, x)
+                        peak = log_b.max(-1, keepdims=True)
+                        b = np.exp(log_b - peak)
+                        trans = np.maximum(np.stack([m.trans for m in chosen]), FLOOR)[:, None]
+                        k = b.shape[-1]
+                        mat, log = np.broadcast_to(np.eye(k), (*b.shape[:2], k, k)), peak[..., 0].sum(2)
+                        for t in range(b.shape[2]):
+                            if first and t == 0:
+                                start = np.maximum(np.stack([m.start for m in chosen]), FLOOR)[:, None] * b[:, :, 0]
+                                mat = np.repeat(start[:, :, None], k, axis=2)
+                            else:
+                                mat = (mat @ trans) * b[:, :, t, None, :]
+                            scale = mat.sum((2, 3), keepdims=True)
+                            mat, log = mat / scale, log + np.log(scale[..., 0, 0])
+                        ids = half.iloc[rows]
+                        for name, own, scale in zip(some, mat.reshape(*mat.shape[:2], -1), log):
+                            yield pd.DataFrame({"branch": ids["branch"].to_numpy(), "part": ids["part"].to_numpy(), "key": name, "mat": own.tolist(), "log": scale})
     return run
 
 
-def _boundaries(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Forward vector entering and backward vector leaving each part; one small matrix per part."""
-    pdf = pdf.sort_values("part").reset_index(drop=True)
-    first = np.asarray(pdf["mat"].iat[0])
-    k = len(first)
-    mats = [np.asarray(m).reshape(-1, k) for m in pdf["mat"]]
-    entering, leaving = [np.full(k, np.nan)], [np.ones(k)]
-    alpha = first / first.sum()
-    for m in mats[1:]:
-        entering.append(alpha)
-        alpha = alpha @ m
-        alpha = alpha / alpha.sum()
-    beta = np.ones(k)
-    for m in reversed(mats[1:]):
-        beta = m @ beta
-        beta = beta / beta.sum()
-        leaving.append(beta)
-    out = pdf[["branch", "part", "key"]].copy()
-    out["entering"] = [e.tolist() for e in entering]
-    out["leaving"] = [v.tolist() for v in reversed(leaving)]
-    return out
-
-
-def _initial(keys: dict[str, int], moments: dict[str, tuple], states: int, kind: str, width: int, seed: int) -> dict[str, Hmm]:
-    models = {}
-    for key, label in keys.items():
+MATRICES = "branch string, part int, key string, mat array<double>, log double"
+
+
+def _boundaries(matrices: DataFrame) -> DataFrame:
+    """Forward vector that enters and backward vector that leaves each part, by prefix and suffix products: branch, part, key, entering, leaving."""
+    done = products(matrices, ["branch", "key"], suffix=True)
+    side = F.sqrt(F.size("pre")).cast("int")
+    sums = F.transform(F.sequence(F.lit(0), side - 1), lambda i: F.aggregate(F.slice("suf", (i * side + 1).cast("int"), side), F.lit(0.0), lambda a, v: a + v))
+    ends = durable(done.select("branch", "key", "part", "place", F.slice("pre", F.lit(1), side).alias("_row"), sums.alias("_col"), F.array_repeat(F.lit(1.0), side).alias("_ones")))
+    unit = lambda c: F.transform(c, lambda x: x / F.aggregate(c, F.lit(0.0), lambda a, v: a + v))
+    before = ends.select("branch", "key", (F.col("place") + 1).alias("place"), unit(F.col("_row")).alias("entering"))
+    after = ends.select("branch", "key", (F.col("place") - 1).alias("place"), unit(F.col("_col")).alias("leaving"))
+    on = ["branch", "key", "place"]
+    return ends.join(before, on, "left").join(after, on, "left").select(
+        "branch", "key", "part", "entering", F.coalesce("leaving", "_ones").alias("leaving"))
+
+
+def _initial(keys: Sequence[str], moments: dict[str, tuple], shape: Shape, seed: int) -> dict[str, Hmm]:
+    models, states = {}, shape.states
+    for key in keys:
+        label = int(key.rsplit("|", 1)[1])
         rng = np.random.default_rng(seed + zlib.crc32(key.encode()))
         start, trans = np.full(states, 1 / states), np.full((states, states), 1 / states)
-        if kind == "discrete":
-            emission = rng.dirichlet(np.ones(SYMBOLS) * 2, size=states)
-            models[key] = Hmm(label, start, trans, emission=emission)
+        if shape.kind == "discrete":
+            models[key] = Hmm(label, start, trans, emission=rng.dirichlet(np.ones(SYMBOLS) * 2, size=states))
         else:
-            n, s, ss = moments[key]
+            n, s, ss = (v[:shape.width] if isinstance(v, np.ndarray) else v for v in moments[key])
             mean = s / n
             var = np.maximum(ss / n - mean * mean, VARIANCE_FLOOR)
             spread = np.linspace(-1, 1, states)[:, None] if states > 1 else np.zeros((1, 1))
@@ -305,95 +359,131 @@ def _initial(keys: dict[str, int], moments: dict[str, tuple], states: int, kind:
     return models
 
 
-def fit(seqs: DataFrame, states: int = 2, kind: str = "gaussian", timestamps: bool = False,
-        n_iter: int = 10, tol: float = 1e-2, seed: int = 42, branch: Sequence[str] = ("source_id", "leaf_id"),
-        history: list | None = None) -> dict[str, Hmm]:
-    """Fit all models named in the rows at once.
+def split_parts(rows: DataFrame, branch: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of branches in one part, and those of branches in several (``branch`` as one string; the first part left is 0)."""
+    multi = rows.where("part > 0").select(*branch).distinct()
+    if not multi.take(1):
+        return rows, None
+    long = rows.join(multi, list(branch), "left_semi")
+    # parts emptied by filters leave gaps: the first one left starts the branch
+    first = long.groupBy(*branch).agg(F.min("part").alias("_first"))
+    long = long.join(first, list(branch)).withColumn("part", F.when(F.col("part") == F.col("_first"), 0).otherwise(F.col("part") + 1)).drop("_first")
+    return rows.join(multi, list(branch), "left_anti"), long.withColumn("branch", F.concat_ws("\x1f", *branch))
+
+
+def _rows(seqs: DataFrame, branch: Sequence[str], timed: bool) -> DataFrame:
+    return durable(seqs.withColumn("stance", F.transform("obs", lambda o: o["stance"])).withColumn(
+        "t", F.transform("obs", lambda o: o["t"]) if timed else F.lit(None).cast("array<double>"))
+        .select(*branch, "part", "keys", "stance", "t"))
+
 
-    ``seqs`` has obs and ``keys`` (array of "<group>|<label>" model names the row trains; default:
-    its own class). Without times equal rows are counted first, so a pass costs one visit per distinct sequence.
+def fit_shapes(seqs: DataFrame, shapes: Sequence[Shape], n_iter: int = 10, tol: float = 1e-2, seed: int = 42,
+               branch: Sequence[str] = ("source_id", "leaf_id"), history: list | None = None) -> dict[str, Hmm]:
+    """Models of all shapes for all names in the rows' ``keys`` ("<group>|<label>"), as ``<shape>/<name>``, in the same passes.
+
+    A pass is one visit to every row, which serves all models that the row trains; a model that gains less than ``tol`` is finished and takes
+    no part in later passes. Without times equal rows are counted first, so a pass costs one visit per distinct sequence. What is known of a
+    branch in several parts outside a part comes from prefix and suffix products, so no task holds a branch.
     """
-    if kind not in ("gaussian", "discrete"):
-        raise ValueError(f"kind must be gaussian or discrete, got {kind}")
-    width = 2 if timestamps and kind == "gaussian" else 1
-    if "keys" not in seqs.columns:
-        seqs = seqs.withColumn("keys", F.array(F.concat(F.lit("all|"), F.col("veracity").cast("string"))))
+    timed = any(s.width > 1 for s in shapes)
     if "part" not in seqs.columns:
         seqs = seqs.withColumn("part", F.lit(0))
-    rows = durable(seqs.withColumn("stance", F.transform("obs", lambda o: o["stance"])).withColumn(
-        "t", F.transform("obs", lambda o: o["t"]) if width > 1 else F.lit(None).cast("array<double>"))
-        .select(*branch, "part", "keys", "stance", "t"))
-    multi = rows.where("part > 0").select(*branch).distinct()
-    has_long = bool(multi.take(1))
-    short = rows.join(multi, list(branch), "left_anti") if has_long else rows
-    # Without times many sequences are equal; with them hardly any, so counting would only shuffle them whole.
-    short = durable(short.groupBy("keys", "stance", "t").agg(F.count(F.lit(1)).cast("double").alias("weight")) if width == 1
+    short, long = split_parts(_rows(seqs, branch, timed), branch)
+    # with times hardly any sequences are equal, so counting would only shuffle them whole
+    short = durable(short.groupBy("keys", "stance", "t").agg(F.count(F.lit(1)).cast("double").alias("weight")) if not timed
                     else short.select("keys", "stance", "t", F.lit(1.0).alias("weight")))
-    long = None
-    if has_long:
-        long = rows.join(multi, list(branch), "left_semi")
-        # Parts emptied by filters leave gaps: number the remaining ones anew by their order.
-        first = long.groupBy(*branch).agg(F.min("part").alias("_first"))
-        long = durable(long.join(first, list(branch)).select(
-            F.concat_ws("\x1f", *branch).alias("branch"),
-            F.when(F.col("part") == F.col("_first"), 0).otherwise(F.col("part") + 1).alias("part"),
-            "keys", "stance", "t"))
-
-    all_rows = short.select("keys", "stance", "t", "weight")
+    all_rows = short
     if long is not None:
+        long = durable(long.select("branch", "part", "keys", "stance", "t"))
         all_rows = all_rows.unionByName(long.select("keys", "stance", "t", F.lit(1.0).alias("weight")))
     sq = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v)
     add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
-    cols = ["stance"] + (["t"] if width > 1 else [])
-    found = (all_rows.select(F.explode("keys").alias("key"), "weight", "stance", "t").groupBy("key")
+    cols = ["stance"] + (["t"] if timed else [])
+    # sums per set of names first: it is the rows that are many
+    found = (all_rows.groupBy("keys")
              .agg(F.sum(F.col("weight") * F.size("stance")).alias("n"),
                   *[F.sum(F.col("weight") * add(F.col(c).cast("array<double>"))).alias("s_" + c) for c in cols],
                   *[F.sum(F.col("weight") * sq(F.col(c).cast("array<double>"))).alias("q_" + c) for c in cols])
-             .orderBy("key").collect())  # one row per model
+             .select(F.explode("keys").alias("key"), "n", *[p + c for p in ("s_", "q_") for c in cols])
+             .groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", *[p + c for p in ("s_", "q_") for c in cols])])
+             .orderBy("key").collect())  # one row per name
     moments = {r["key"]: (r["n"], np.array([r["s_" + c] for c in cols]), np.array([r["q_" + c] for c in cols]))
                for r in found}
-    models = _initial({k: int(k.rsplit("|", 1)[1]) for k in moments}, moments, states, kind, width, seed)
-
-    width_of_stats = max((_stats_size(m) for m in models.values()), default=0)
-    last: dict[str, float] = {}
+    models = {f"{s}/{k}": m for s in shapes for k, m in _initial(list(moments), moments, s, seed).items()}
+    named_by = lambda s: F.transform("keys", lambda k: F.concat(F.lit(f"{s}/"), k))
+    keys = F.flatten(F.array(*[named_by(s) for s in shapes]))
+    width = 2 if timed else 1
+    open_models, last = dict(models), {}
     for _ in range(n_iter):
-        stats = short.mapInPandas(_partition_stats(models, width), "key string, stats array<double>")
+        if not open_models:
+            break
+        run = _partition_stats(open_models, width)
+        stats = short.withColumn("keys", keys).mapInPandas(run, "key string, stats array<double>")
         if long is not None:
-            mats = long.mapInPandas(_part_matrices(models, width), "branch string, part int, key string, mat array<double>")
-            ends = mats.groupBy("branch", "key").applyInPandas(
-                _boundaries, "branch string, part int, key string, entering array<double>, leaving array<double>")
-            bounded = (long.select("branch", "part", F.explode("keys").alias("key"), "stance", "t")
-                       .join(ends, ["branch", "part", "key"])
-                       .select(F.array("key").alias("keys"), "part", "stance", "t", F.lit(1.0).alias("weight"),
-                               "entering", "leaving"))
-            for later in (False, True):
-                some = bounded.where((F.col("part") > 0) == F.lit(later)).drop("part")
-                run = _partition_stats(models, width)
-                if not later:  # a first part starts the sequence: it has no entering vector
-                    run = _first_parts(models, width)
+            named = long.withColumn("keys", keys)
+            ends = _boundaries(named.mapInPandas(_part_matrices(open_models, width), MATRICES))
+            bounded = (named.select("branch", "part", F.explode("keys").alias("key"), "stance", "t").join(ends, ["branch", "part", "key"])
+                       .select(F.array("key").alias("keys"), "part", "stance", "t", F.lit(1.0).alias("weight"), "entering", "leaving"))
+            later = bounded.where("part > 0").drop("part")
+            first = bounded.where("part = 0").drop("part", "entering")  # starts its branch: nothing enters
+            for some in (first, later):
                 stats = stats.unionByName(some.mapInPandas(run, "key string, stats array<double>"))
+        # a row per model
         totals = {r["key"]: np.array(r["stats"]) for r in
-                  stats.groupBy("key").agg(vector_sum(F.col("stats"), width_of_stats).alias("stats")).collect()}
+                  stats.groupBy("key").agg(vector_sum(F.col("stats"), max(map(_stats_size, open_models.values()))).alias("stats")).collect()}
+        totals = {k: v[:_stats_size(m)] for k, m in open_models.items() for v in [totals[k]]}
         ll = {k: float(v[-1]) for k, v in totals.items()}
         if history is not None:
-            history.append(ll)
-        models = {k: _maximise(m, totals[k]) for k, m in models.items()}
-        if last and all(ll[k] - last[k] < tol for k in models):
-            break
-        last = ll
+            history.append({**last, **ll})
+        models.update({k: _maximise(m, totals[k]) for k, m in open_models.items()})
+        open_models = {k: models[k] for k in open_models if k not in last or ll[k] - last[k] >= tol}
+        last.update(ll)
     return models
 
 
-def _first_parts(models: dict[str, Hmm], width: int):
+def fit(seqs: DataFrame, states: int = 2, kind: str = "gaussian", timestamps: bool = False,
+        n_iter: int = 10, tol: float = 1e-2, seed: int = 42, branch: Sequence[str] = ("source_id", "leaf_id"),
+        history: list | None = None) -> dict[str, Hmm]:
+    """Fit all models named in the rows at once, of one shape: ``fit_shapes`` with plain names.
+
+    ``seqs`` has obs and ``keys`` (array of "<group>|<label>" model names the row trains; default: its own class).
+    """
+    shape = Shape(kind, states, timestamps)
+    if "keys" not in seqs.columns:
+        seqs = seqs.withColumn("keys", F.array(F.concat(F.lit("all|"), F.col("veracity").cast("string"))))
+    own: list = []
+    models = fit_shapes(seqs, [shape], n_iter, tol, seed, branch, own)
+    plain = lambda found: {k.split("/", 1)[1]: v for k, v in found.items()}
+    if history is not None:
+        history.extend(plain(h) for h in own)
+    return plain(models)
+
+
+def likelihoods(rows: DataFrame, models: dict[str, Hmm], branch: Sequence[str]) -> DataFrame:
+    """``key`` and ``ll`` per branch and model that its rows name in ``keys``: one pass whatever the number of models.
+
+    Rows have ``branch``, part, obs and keys (equal in all parts of a branch).
+    """
+    timed = any(m.mean is not None and m.mean.shape[1] > 1 for m in models.values())
+    width = 2 if timed else 1
+    short, long = split_parts(_rows(rows, branch, timed).withColumn("branch", F.concat_ws("\x1f", *branch)), branch)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = {k: np.zeros(_stats_size(m)) for k, m in models.items()}
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                key = row.keys[0]
-                sums[key] += _expect(models[key], _features(row.stance, row.t, width)[None],
-                                     np.array([row.weight]), None, np.asarray(row.leaving, dtype=float)[None])
-        yield pd.DataFrame({"key": list(sums), "stats": [v.tolist() for v in sums.values()]})
-    return run
+            for names, places in _groups(pdf):
+                x = _stacked(pdf, places, width)
+                for some in _by_shape(names, models, x.size * 4):
+                    total = _filtered([models[n] for n in some], x, None)[-1].sum(2)
+                    for name, ll in zip(some, total):
+                        yield pd.DataFrame({"branch": pdf["branch"].to_numpy()[places], "key": name, "ll": ll})
+
+    found = short.select("branch", "keys", "stance", "t").mapInPandas(run, "branch string, key string, ll double")
+    if long is not None:
+        done = products(long.select("branch", "part", "keys", "stance", "t").mapInPandas(_part_matrices(models, width), MATRICES), ["branch", "key"])
+        side = F.sqrt(F.size("pre")).cast("int")
+        end = F.aggregate(F.slice("pre", F.lit(1), side), F.lit(0.0), lambda a, v: a + v)
+        found = found.unionByName(done.where(F.col("place") == F.col("n_parts") - 1).select("branch", "key", (F.ln(end) + F.col("pre_log")).alias("ll")))
+    return found
 
 
 def to_table(spark, models: dict[str, Hmm]) -> DataFrame:

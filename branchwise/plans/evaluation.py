@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from branchwise.models import hmm
 from branchwise.operators import splits
-from branchwise.operators.metrics import fold_means, scores
+from branchwise.operators.metrics import METRICS, fold_means, scores
 from branchwise.operators.sequences import per_branch, prepare
 from branchwise.operators.tree import length_bucket
 from branchwise.session import durable
@@ -27,6 +27,15 @@ class Config:
     timestamps: bool = False
     by_length: bool = False
 
+    @property
+    def view(self) -> str:
+        """What the rows look like: configurations of one view share them."""
+        return f"{self.unverified_cast}/{str(self.remove_commenting).lower()}"
+
+    @property
+    def shape(self) -> hmm.Shape:
+        return hmm.Shape(self.kind, self.states, self.timestamps)
+
 
 def grid(corpora: Sequence[str], states: Sequence[int] = (2,), timestamps: bool = True, by_length: bool = False) -> list[Config]:
     """All combinations of cast, commenting removal, test corpus, model kind and state count. Time
@@ -38,85 +47,120 @@ def grid(corpora: Sequence[str], states: Sequence[int] = (2,), timestamps: bool
             for ts in ((False, True) if timestamps and kind == "gaussian" else (False,))]
 
 
-def assign(seqs: DataFrame, config: Config, corpora: Sequence[str], folds: int, seed: int) -> DataFrame:
-    """Fold per branch of the tested corpora, and the names of all models each row trains.
+def _views(seqs: DataFrame, configs: Sequence[Config]) -> DataFrame:
+    """The prepared rows of every view that a configuration asks for, with its name."""
+    out = None
+    for cast, remove, view in dict.fromkeys((c.unverified_cast, c.remove_commenting, c.view) for c in configs):
+        rows = prepare(seqs, cast, remove).withColumn("view", F.lit(view))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
 
-    A model is ``<corpora>@<fold>``. An untested corpus trains its own model once (fold ``all``)
-    and joins the mixed model of every fold; a tested one leaves out its test fold. All parts of a
-    branch share its fold.
+def _stems(test: tuple[str, ...], corpora: Sequence[str], fold: int) -> dict[str, str]:
+    """Which models answer for a fold of the tested corpora, by the name they are reported under.
+
+    An untested corpus trains its own model once (``all``) and joins the mixed model of every fold; a tested one leaves out its test fold.
     """
-    branches = seqs.select("corpus", *BRANCH).distinct()
-    tested = branches.where(F.col("corpus").isin(*config.test))
-    bucket, order = splits.shuffled(BRANCH, seed)
-    numbered = None
-    for corpus in config.test:
-        part = splits.kfold(tested.where(F.col("corpus") == corpus), folds, bucket, order)
-        numbered = part if numbered is None else numbered.unionByName(part)
-    rows = seqs.join(numbered, ["corpus", *BRANCH], "left")
-    mixed = "+".join(corpora)
-    names = []
-    for corpus in corpora:
-        here = F.col("corpus") == corpus
-        if corpus in config.test:
-            for f in range(folds):
-                train = here & ~F.col("fold").eqNullSafe(F.lit(f))
-                names += [F.when(train, F.lit(f"{corpus}@{f}"))]
-                names += [F.when(train, F.lit(f"{mixed}@{f}"))] if len(corpora) > 1 else []
-        else:
-            names += [F.when(here, F.lit(f"{corpus}@all"))]
-            names += [F.when(here, F.lit(f"{mixed}@{f}")) for f in range(folds)]
-    return rows.withColumn("train", F.array_compact(F.array(*names)))
+    own = {c: f"{c}@{fold}" if c in test else f"{c}@all" for c in corpora}
+    mixed = {"+".join(corpora): f"{'+'.join(corpora)}~{'+'.join(test)}@{fold}"} if len(corpora) > 1 else {}
+    return {**own, **mixed}
 
 
-def evaluate(seqs: DataFrame, config: Config, corpora: Sequence[str], folds: int = 5, n_iter: int = 10, seed: int = 42) -> DataFrame:
-    """Mean metrics per model (and length class): each corpus, all together, and a majority twin of each.
+def _trained(tests: Sequence[tuple[str, ...]], corpora: Sequence[str], folds: int) -> Column:
+    """Names of all models that a row of ``corpus`` and ``fold`` trains: those of any test set, each once."""
+    corpus, fold = F.col("corpus"), F.col("fold")
+    names = {}
+    for test in tests:
+        for f in range(folds):
+            apart = corpus.isin(*test) & fold.eqNullSafe(F.lit(f))  # tested in this fold
+            for name, stem in _stems(test, corpora, f).items():
+                names[stem] = F.when((corpus == name if name in corpora else F.lit(True)) & ~apart, F.lit(stem))
+    return F.array_compact(F.array(*names.values()))
+
+
+def assign_all(seqs: DataFrame, configs: Sequence[Config], corpora: Sequence[str], folds: int,
+               shuffle: tuple[Column, list[Column]]) -> DataFrame:
+    """Rows of all views with the fold of their branch and the models they train (``train``)."""
+    rows = durable(_views(seqs, configs))
+    branches = rows.select("view", "corpus", *BRANCH).distinct()
+    folded = splits.kfold(branches, folds, *shuffle, by=["view", "corpus"])
+    tests = list(dict.fromkeys(c.test for c in configs))
+    return rows.join(folded, ["view", "corpus", *BRANCH]).withColumn("train", _trained(tests, corpora, folds))
+
 
-    ``seqs`` has corpus, source_id, leaf_id, part, obs, veracity. All models of all folds are fitted
-    in the same passes over the rows.
+def _answers(spark, configs: Sequence[Config], corpora: Sequence[str], folds: int) -> DataFrame:
+    """A row per configuration, fold and reported model: the view, shape and stem that answers. Small: its size is the grid's."""
+    rows = [(i, c.view, str(c.shape), list(c.test), f, name, stem)
+            for i, c in enumerate(configs) for f in range(folds) for name, stem in _stems(c.test, corpora, f).items()]
+    return spark.createDataFrame(rows, "config int, view string, shape string, test array<string>, fold int, model string, stem string")
+
+
+def _reported(spark, configs: Sequence[Config]) -> DataFrame:
+    rows = [(i, c.unverified_cast, str(c.remove_commenting).lower(), "+".join(c.test), c.kind, c.states, c.shape.width > 1) for i, c in enumerate(configs)]
+    return spark.createDataFrame(rows, "config int, unverified_cast string, remove_commenting string, testdata_type string, model_type string, comp_count int, timestamps boolean")
+
+
+def evaluate_all(seqs: DataFrame, configs: Sequence[Config], corpora: Sequence[str], folds: int = 5, n_iter: int = 10, seed: int = 42,
+                 shuffle: tuple[Column, list[Column]] | None = None, fitted: bool = True) -> DataFrame:
+    """Mean metrics per configuration and model: each corpus, all together, and a majority twin of each.
+
+    ``seqs`` has corpus, source_id, leaf_id, part, obs, veracity. All models of all configurations and folds are fitted in the same passes over the
+    union of the views, each of them once however many configurations it serves; one more pass scores every test branch with all models that
+    judge it. Without ``fitted`` only the majority twins are judged. ``by_length`` must agree in all configurations.
     """
-    rows = prepare(seqs, config.unverified_cast, config.remove_commenting)
-    rows = durable(assign(rows, config, corpora, folds, seed))
-    keyed = rows.withColumn("keys", F.transform("train", lambda m: F.concat(m, F.lit("|"), F.col("veracity").cast("string"))))
-    ids = ["corpus", *BRANCH]  # equal ids in two corpora are different branches
-    models = hmm.fit(keyed, config.states, config.kind, config.timestamps, n_iter, seed=seed, branch=ids)
-    counted = (per_branch(rows.select("corpus", *BRANCH, "train", "veracity")).select(F.explode("train").alias("model"), "veracity").groupBy("model", "veracity").count()
-               .groupBy("model").agg(F.max(F.struct("count", (-F.col("veracity")).alias("neg"))).alias("b")).collect())
-    majority = {r["model"]: -r["b"]["neg"] for r in counted}  # one row per model
-
-    names = list(corpora) + (["+".join(corpora)] if len(corpora) > 1 else [])
+    spark, by_length = seqs.sparkSession, configs[0].by_length
+    rows = durable(assign_all(seqs, configs, corpora, folds, shuffle or splits.shuffled(BRANCH, seed)))
+    ids = ["view", "corpus", *BRANCH]  # equal ids in two corpora are different branches
     lengths = rows.groupBy(*ids).agg(F.sum(F.size("obs")).alias("n_obs"), F.max("veracity").alias("actual"), F.max("fold").alias("fold"))
-    judged = None
-    for f in range(folds):
-        fitted, owner = [], []
-        for name in names:
-            stem = f"{name}@{f}" if f"{name}@{f}" in majority else f"{name}@all"
-            for key, model in sorted(models.items()):
-                if key.rsplit("|", 1)[0] == stem:
-                    owner.append((name, model.label))
-                    fitted.append(replace(model, label=len(fitted)))
-        scored = hmm.score(rows.where(F.col("fold") == f).select(*ids, "part", "obs"), fitted, ids)
-        answers = []
-        for name in names:
-            mine = F.array(*[F.struct(F.lit(label).alias("label"), F.col("lls")[i]["ll"].alias("ll"))
-                             for i, (owned, label) in enumerate(owner) if owned == name])
-            stem = f"{name}@{f}" if f"{name}@{f}" in majority else f"{name}@all"
-            answers += [F.struct(F.lit(name).alias("model"), hmm.best_label(mine).alias("predicted")),
-                        F.struct(F.lit(name + "_majority").alias("model"), F.lit(majority.get(stem, -1)).alias("predicted"))]
-        part = scored.select(*ids, F.inline(F.array(*answers)))
-        judged = part if judged is None else judged.unionByName(part)
-    judged = judged.join(lengths, ids).withColumn("length", length_bucket(F.col("n_obs")))
-    by = ["model"] + (["length"] if config.by_length else [])
+    tested = durable(lengths.where("fold is not null"))
+    # every test branch with all that is asked about it
+    asked = tested.join(F.broadcast(_answers(spark, configs, corpora, folds)), ["view", "fold"]).where(F.array_contains("test", F.col("corpus")))
+    votes = (per_branch(rows.select(*ids, "part", "obs", "veracity", "train")).select("view", "veracity", F.explode("train").alias("stem"))
+             .groupBy("view", "stem", "veracity").agg(F.count(F.lit(1)).alias("n"))
+             .groupBy("view", "stem").agg(F.max(F.struct("n", (-F.col("veracity")).alias("neg"))).alias("_b")))
+    votes = votes.select("view", "stem", (-F.col("_b.neg")).alias("predicted"))
+    judged = asked.join(votes, ["view", "stem"], "left").select(
+        "config", F.concat("model", F.lit("_majority")).alias("model"), "fold", "n_obs", "actual", F.coalesce("predicted", F.lit(-1)).alias("predicted"))
+    if fitted:
+        shapes = list(dict.fromkeys(c.shape for c in configs))
+        of_view = F.transform("train", lambda m: F.concat("view", F.lit(":"), m, F.lit("|"), F.col("veracity").cast("string")))
+        models = hmm.fit_shapes(rows.withColumn("keys", of_view), shapes, n_iter, seed=seed, branch=ids)
+        # the models that judge a branch of this view, corpus and fold: few, and the same for all such branches
+        wanted: dict[tuple, set[str]] = {}
+        for c in configs:
+            for f in range(folds):
+                for corpus in c.test:
+                    wanted.setdefault((c.view, corpus, f), set()).update(f"{c.shape}/{c.view}:{stem}" for stem in _stems(c.test, corpora, f).values())
+        by_stem: dict[str, list[str]] = {}
+        for key in models:
+            by_stem.setdefault(key.rsplit("|", 1)[0], []).append(key)
+        table = [(v, corpus, f, sorted(k for stem in stems for k in by_stem.get(stem, []))) for (v, corpus, f), stems in wanted.items()]
+        judges = spark.createDataFrame(table, "view string, corpus string, fold int, keys array<string>")
+        scored = rows.drop("train").join(F.broadcast(judges), ["view", "corpus", "fold"]).where(F.size("keys") > 0)
+        found = hmm.likelihoods(scored, models, ids)
+        # "<shape>/<view>:<stem>|<label>"
+        label = F.substring_index("key", "|", -1).cast("int")
+        best = (found.groupBy("branch", F.substring_index("key", "|", 1).alias("judge")).agg(F.max(F.struct("ll", (-label).alias("neg"))).alias("_b"))
+                .select(F.col("branch").alias("_branch"), "judge", (-F.col("_b.neg")).alias("predicted")))
+        asked = asked.withColumn("_branch", F.concat_ws("\x1f", *ids)).withColumn("judge", F.concat("shape", F.lit("/"), "view", F.lit(":"), "stem"))
+        judged = judged.unionByName(asked.join(best, ["_branch", "judge"], "left").select(
+            "config", "model", "fold", "n_obs", "actual", F.coalesce("predicted", F.lit(-1)).alias("predicted")))
+    judged = judged.withColumn("length", length_bucket(F.col("n_obs")))
+    by = ["config", "model"] + (["length"] if by_length else [])
     means = fold_means(scores(judged, [*by, "fold"]), by, folds)
-    return means.select(
-        "model", *(["length"] if config.by_length else []), F.lit(config.unverified_cast).alias("unverified_cast"),
-        F.lit(str(config.remove_commenting).lower()).alias("remove_commenting"), F.lit("+".join(config.test)).alias("testdata_type"),
-        F.lit(config.kind).alias("model_type"), F.lit(config.states).alias("comp_count"),
-        "f1_macro", "f1_micro", "accuracy", "precision", "recall")
+    return means.join(F.broadcast(_reported(spark, configs)), "config").select(
+        "model", *(["length"] if by_length else []), "unverified_cast", "remove_commenting", "testdata_type", "model_type", "comp_count", "timestamps", *METRICS)
+
+
+def evaluate(seqs: DataFrame, config: Config, corpora: Sequence[str], folds: int = 5, n_iter: int = 10, seed: int = 42) -> DataFrame:
+    """``evaluate_all`` for one configuration."""
+    return evaluate_all(seqs, [config], corpora, folds, n_iter, seed).drop("timestamps")
 
 
 def sweep(seqs: DataFrame, configs: Sequence[Config], corpora: Sequence[str], path: str, folds: int = 5, n_iter: int = 10) -> None:
-    """Run all configurations and append their metric rows."""
+    """Judge all configurations and append their metric rows."""
     from branchwise.sources.sinks import metric_rows
 
-    for config in configs:
-        metric_rows(evaluate(seqs, config, corpora, folds, n_iter), path, config.by_length, config.timestamps)
+    found = durable(evaluate_all(seqs, configs, corpora, folds, n_iter))
+    for timed in sorted({c.shape.width > 1 for c in configs}):
+        metric_rows(found.where(F.col("timestamps") == timed), path, configs[0].by_length, timed)

@@ -477,6 +477,36 @@ oracle("evaluation_grid", [], """
       FROM documents, (SELECT unnest(['true', 'false']) AS unverified_cast), (SELECT unnest([true, false]) AS remove_commenting)
       WHERE NOT (remove_commenting AND n_chars % 4 = 3) GROUP BY ALL) GROUP BY ALL""")
 
+oracle("evaluation_sweep_majority", ["obs"], """
+    SELECT model || '_majority' AS model, unverified_cast, remove_commenting, testdata_type, model_type, timestamps,
+           round(sum(f1_macro) / 5, 6) AS f1_macro, round(sum(accuracy) / 5, 6) AS f1_micro, round(sum(accuracy) / 5, 6) AS accuracy,
+           round(sum(precision) / 5, 6) AS precision, round(sum(recall) / 5, 6) AS recall
+    FROM metric, (VALUES ('gaussian', false), ('gaussian', true), ('discrete', false)) k(model_type, timestamps)
+    GROUP BY ALL""", extra="""
+branch AS (SELECT source_id, leaf_id, max(truth) AS truth, count(*) FILTER (WHERE sdqc <> 3) AS said FROM mf GROUP BY ALL),
+corpus AS (SELECT 'm' || conv_id || '_0' AS source_id, CASE WHEN dayofweek(make_timestamp(CAST(created_s AS BIGINT) * 1000000)) < 3 THEN 'early' ELSE 'late' END AS corpus FROM msg WHERE turn = 0),
+view AS (SELECT c.unverified_cast, r.remove_commenting, corpus, source_id, leaf_id,
+                CASE WHEN truth = 2 THEN CASE c.unverified_cast WHEN 'true' THEN 1 ELSE 0 END ELSE truth END AS actual
+         FROM branch JOIN corpus USING (source_id), (VALUES ('true'), ('false')) c(unverified_cast), (VALUES ('true'), ('false')) r(remove_commenting)
+         WHERE r.remove_commenting = 'false' OR said > 0),
+fold AS (SELECT *, CASE WHEN rn // size < 5 THEN rn // size END AS fold FROM (
+           SELECT *, row_number() OVER (PARTITION BY unverified_cast, remove_commenting, corpus ORDER BY md5(source_id || '|' || leaf_id), source_id, leaf_id) - 1 AS rn,
+                  count(*) OVER (PARTITION BY unverified_cast, remove_commenting, corpus) // 5 AS size FROM view)),
+tests AS (SELECT * FROM (VALUES ('early', ['early']), ('late', ['late']), ('early+late', ['early', 'late'])) t(testdata_type, tested)),
+models AS (SELECT * FROM (VALUES ('early', ['early']), ('late', ['late']), ('early+late', ['early', 'late'])) t(model, trained)),
+asked AS (SELECT f.*, testdata_type, tested, model, trained FROM fold f, tests, models WHERE fold IS NOT NULL AND list_contains(tested, corpus)),
+votes AS (SELECT unverified_cast, remove_commenting, testdata_type, model, k AS fold, actual, count(*) AS n
+          FROM fold, tests, models, range(5) g(k) WHERE list_contains(trained, corpus) AND NOT (list_contains(tested, corpus) AND fold IS NOT DISTINCT FROM k) GROUP BY ALL),
+winner AS (SELECT unverified_cast, remove_commenting, testdata_type, model, fold, actual AS predicted FROM votes
+           QUALIFY row_number() OVER (PARTITION BY unverified_cast, remove_commenting, testdata_type, model, fold ORDER BY n DESC, actual) = 1),
+judged AS (SELECT a.*, coalesce(predicted, -1) AS predicted FROM asked a LEFT JOIN winner w USING (unverified_cast, remove_commenting, testdata_type, model, fold)),
+label AS (SELECT unverified_cast, remove_commenting, testdata_type, model, fold, label, count(*) FILTER (WHERE actual = label AND predicted = label) AS tp,
+                 count(*) FILTER (WHERE actual = label) AS real, count(*) FILTER (WHERE predicted = label) AS said
+          FROM judged, (SELECT unnest([-1, 0, 1]) AS label) WHERE actual = label OR predicted = label GROUP BY ALL),
+metric AS (SELECT unverified_cast, remove_commenting, testdata_type, model, fold, avg(2.0 * tp / (real + said)) AS f1_macro, sum(tp) / sum(real) AS accuracy,
+                  coalesce(max(CASE WHEN label = 1 AND said > 0 THEN tp / said END), 0) AS precision, coalesce(max(CASE WHEN label = 1 AND real > 0 THEN tp / real END), 0) AS recall
+           FROM label GROUP BY ALL)""")
+
 # --- written and read back -------------------------------------------------------------------------
 
 oracle("sequence_file", ["seq"], "SELECT veracity, stances, count(*) AS n, round(sum(t_sum), 4) AS t_sum FROM seq GROUP BY ALL")

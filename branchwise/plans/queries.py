@@ -710,14 +710,41 @@ def hmm_fit_discrete(spark, d):
     return _parameters(spark, hmm.fit(sq.from_messages(_messages(spark, d), timestamps=False), kind="discrete"))
 
 
-@query
-def cross_corpus(spark, d):
-    """Five-fold evaluation with two corpora: threads opened in the first and in the second half of each week."""
+def _two_corpora(spark, d) -> DataFrame:
+    """Threads opened in the first and in the second half of each week."""
     m = _messages(spark, d)
     corpus = m.where("is_source").select("source_id", F.when(F.dayofweek("created") <= 3, "early").otherwise("late").alias("corpus"))
-    s = durable(sq.from_messages(m).join(corpus, "source_id"))
+    return durable(sq.from_messages(m).join(corpus, "source_id"))
+
+
+@query
+def cross_corpus(spark, d):
+    """Five-fold evaluation of one configuration with two corpora."""
     config = evaluation.Config(unverified_cast="true", remove_commenting=True, test=("early",), kind="discrete")
-    return evaluation.evaluate(s, config, ["early", "late"])
+    return evaluation.evaluate(_two_corpora(spark, d), config, ["early", "late"])
+
+
+def _digest_order():
+    """A shuffle that any SQL engine can repeat."""
+    digest = F.md5(F.concat_ws("|", *BRANCH))
+    return F.conv(F.substring(digest, 1, 3), 16, 10).cast("int"), [digest, *[F.col(c) for c in BRANCH]]
+
+
+@query
+def evaluation_sweep(spark, d):
+    """All 36 configurations of the grid, five folds each, fitted in shared passes."""
+    corpora = ["early", "late"]
+    found = evaluation.evaluate_all(_two_corpora(spark, d), evaluation.grid(corpora), corpora, shuffle=_digest_order())
+    return found.select("model", "unverified_cast", "remove_commenting", "testdata_type", "model_type", F.col("comp_count").cast("long").alias("comp_count"),
+                        "timestamps", *[F.round(c, 6).alias(c) for c in mt.METRICS])
+
+
+@query
+def evaluation_sweep_majority(spark, d):
+    """The majority twins of all configurations, judged on the same folds."""
+    corpora = ["early", "late"]
+    found = evaluation.evaluate_all(_two_corpora(spark, d), evaluation.grid(corpora), corpora, shuffle=_digest_order(), fitted=False)
+    return found.select("model", "unverified_cast", "remove_commenting", "testdata_type", "model_type", "timestamps", *[F.round(c, 6).alias(c) for c in mt.METRICS])
 
 
 # --- learned models ------------------------------------------------------------------------------

@@ -167,13 +167,27 @@ def test_splits(spark):
 def test_fold_assignment_never_trains_on_its_test_rows(spark):
     seqs = spark.createDataFrame(sequences(n=40), SEQ)
     config = evaluation.Config(test=("early",))
-    rows = evaluation.assign(seqs, config, ["early", "late"], 3, 42).collect()
+    rows = evaluation.assign_all(seqs, [config], ["early", "late"], 3, splits.shuffled(["leaf_id"])).collect()
     for r in rows:
         if r.corpus == "late":
-            assert r.fold is None and sorted(r.train) == ["early+late@0", "early+late@1", "early+late@2", "late@all"]
+            assert sorted(r.train) == [*[f"early+late~early@{f}" for f in range(3)], "late@all"]
         else:
             assert all(not m.endswith(f"@{r.fold}") for m in r.train)
             assert len(r.train) == (4 if r.fold is not None else 6)
+    both = evaluation.Config(test=("early", "late"))
+    for r in evaluation.assign_all(seqs, [config, both], ["early", "late"], 3, splits.shuffled(["leaf_id"])).collect():
+        mixed = [m for m in r.train if "~early+late@" in m]
+        assert all(not m.endswith(f"@{r.fold}") for m in mixed) and len(mixed) == (2 if r.fold is not None else 3)
+
+
+def test_a_grid_in_shared_passes_equals_its_configurations(spark):
+    seqs = durable(spark.createDataFrame(sequences(n=30), SEQ))
+    configs = [c for c in evaluation.grid(["early", "late"]) if c.test != ("late",)][::11]
+    key = ["unverified_cast", "remove_commenting", "testdata_type", "model_type", "timestamps", "model"]
+    rounded = lambda rows: sorted((*[r[k] for k in key], *[round(r[m], 9) for m in mt.METRICS]) for r in rows)
+    together = rounded(evaluation.evaluate_all(seqs, configs, ["early", "late"], folds=2, n_iter=2).collect())
+    apart = rounded([r for c in configs for r in evaluation.evaluate_all(seqs, [c], ["early", "late"], folds=2, n_iter=2).collect()])
+    assert together == apart and len(together) == 6 * len(configs)
 
 
 def test_parts_are_never_a_result(spark):
@@ -210,6 +224,21 @@ def test_evaluation_and_grid(spark):
     assert len(configs) == 2 * 2 * 3 * 3 and not any(c.timestamps and c.kind == "discrete" for c in configs)
 
 
+def test_a_branch_in_very_many_parts(spark):
+    rng = random.Random(3)
+    obs = [(rng.choices(range(4), [4, 1, 1, 2])[0], rng.random()) for _ in range(1_500)]
+    rows = [("c", "s", "long", 0, obs, 1), *sequences(n=6)]
+    whole, parts = durable(spark.createDataFrame(rows, SEQ)), durable(spark.createDataFrame(cut(rows, 37), SEQ))  # 41 parts
+    lls = [{r.leaf_id: [e["ll"] for e in r.lls] for r in hmm.score(s, GAUSS, ["leaf_id"]).collect()} for s in (whole, parts)]
+    assert all(np.allclose(lls[0][k], lls[1][k], rtol=1e-9) for k in lls[0])
+    named = [s.withColumn("keys", F.array(F.lit("a"), F.lit("b"))) for s in (whole, parts)]
+    many = [{(r.branch, r.key): r.ll for r in hmm.likelihoods(s, {"a": GAUSS[0], "b": DISCRETE[1]}, ["leaf_id"]).collect()} for s in named]
+    assert many[0].keys() == many[1].keys() and all(abs(many[0][k] - many[1][k]) < 1e-6 * abs(many[0][k]) for k in many[0])
+    assert abs(many[1]["long", "a"] - lls[0]["long"][0]) < 1e-6 * abs(lls[0]["long"][0])
+    a, b = (hmm.fit(s, kind="gaussian", timestamps=True, n_iter=1, tol=-1) for s in (whole, parts))
+    assert all(np.allclose(a[k].trans, b[k].trans, atol=1e-8) and np.allclose(a[k].mean, b[k].mean, atol=1e-8) for k in a)
+
+
 def test_stance_models(spark):
     from pyspark.ml.functions import array_to_vector
 
