@@ -438,6 +438,16 @@ oracle("stance_annotation_file", ["m"], f"SELECT msg_id, {STANCE.format('sdqc')}
 oracle("label_round_trip", ["m"], f"""
     SELECT source_id, msg_id, CASE WHEN (conv_id + turn) % 5 = 0 THEN 'Underspecified' ELSE {STANCE.format('sdqc')} END AS sdqc FROM m WHERE turn > 0""")
 oracle("claim_overview_file", ["m"], f"SELECT source_id, {TRUTH.format('truth')} AS truth FROM m WHERE is_source")
+oracle("thread_folder_file", ["br", "seq"], """
+    SELECT edges, source_id, leaf_id, branch_idx, veracity, stances, round(t_sum, 6) AS t_sum FROM seq, (SELECT unnest(['structure', 'replies']) AS edges)""")
+ORACLES["q_claim_marks_file"] = ORACLES["q_claim_overview_file"]
+ORACLES["q_epoch_file"] = ORACLES["q_best_epoch"]
+oracle("thread_selection", ["msg"], """
+    SELECT test, 'm' || conv_id || '_0' AS source_id, n FROM t, (SELECT unnest(['lang', 'hashtag', 'near', 'own', 'all']) AS test)
+    WHERE CASE test WHEN 'lang' THEN conv_id % 3 = 0 WHEN 'hashtag' THEN conv_id % 5 = 3 WHEN 'near' THEN km <= 250 WHEN 'own' THEN conv_id % 4 <> 0
+               ELSE conv_id % 3 = 1 AND conv_id % 4 <> 0 AND n > 3 END""", extra="""
+t AS (SELECT conv_id, count(*) AS n, 2 * 6371.0 * asin(sqrt(pow(sin(radians(54.0 - (50 + conv_id % 10)) / 2), 2)
+             + cos(radians(50 + conv_id % 10)) * cos(radians(54.0)) * pow(sin(radians(8.0 - (5 + conv_id % 7)) / 2), 2))) AS km FROM msg GROUP BY conv_id)""")
 oracle("flagged_claims", ["mf"], f"""
     SELECT source_id, leaf_id, 'False' AS veracity, string_agg({STANCE.format('sdqc')}, ',' ORDER BY pos) AS stances
     FROM mf JOIN best USING (source_id, leaf_id) WHERE predicted = 0 GROUP BY source_id, leaf_id""", extra=HMM_DISCRETE + "," + BEST)

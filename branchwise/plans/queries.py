@@ -1042,6 +1042,60 @@ def claim_overview_file(spark, d):
     return threads_of.attach_claims(m.drop("truth"), threads_of.claim_overview(spark, path)).where("is_source").select("source_id", "truth")
 
 
+def _folders(spark, d) -> str:
+    """All threads in the folder layout."""
+    base = scratch_path(spark, "folders")
+    m = _messages(spark, d).withColumn("ord", F.unix_seconds("created"))
+    sinks.thread_folders(durable(m.select("source_id", "msg_id", "parent_id", "is_source", "text_raw", "created", "sdqc", "truth", "ord")), base)
+    return base
+
+
+@query
+def thread_folder_file(spark, d):
+    """Threads written as folders and read again, with parents from the nested ids and from the reply pointers."""
+    base, out = _folders(spark, d), None
+    for edges in ("structure", "replies"):
+        rows = _branch_rows(durable(threads_of.messages(spark, base, edges))).withColumn("edges", F.lit(edges))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def claim_marks_file(spark, d):
+    """Claim codes derived from the marks in every thread's annotation file, through the overview file."""
+    path = scratch_path(spark, "overview")
+    sinks.claim_overview(threads_of.veracity_overview(spark, _folders(spark, d)), path)
+    return threads_of.claim_overview(spark, path).select("source_id", lb.veracity_name(F.col("veracity")).alias("truth"))
+
+
+@query
+def thread_selection(spark, d):
+    """Threads by language, hashtag, place and origin of their source, and by number of replies."""
+    m = _messages(spark, d)
+    number = F.regexp_extract("source_id", "^m([0-9]+)_", 1).cast("long")
+    tagged = durable(m.select(
+        "source_id", "msg_id", "is_source", F.element_at(F.array(F.lit("da"), F.lit("en"), F.lit("sv")), (number % 3 + 1).cast("int")).alias("lang"),
+        F.array(F.concat(F.lit("Tag"), (number % 5).cast("string"))).alias("hashtags"), (50 + number % 10).cast("double").alias("lat"),
+        (5 + number % 7).cast("double").alias("lon"), (number % 4 == 0).alias("is_retweet")))
+    options = {"lang": {"lang": "da"}, "hashtag": {"hashtag": "#tag3"}, "near": {"near": (54.0, 8.0, 250.0)}, "own": {"drop_retweets": True},
+               "all": {"lang": "en", "drop_retweets": True, "min_replies": 3}}
+    out = None
+    for name, chosen in options.items():
+        rows = tree.select_threads(tagged, **chosen).groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).withColumn("test", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def epoch_file(spark, d):
+    """The best epoch of every setting, from a table that two runs have appended to."""
+    path = scratch_path(spark, "epochs")
+    rows = durable(_epochs(spark, d))
+    for half in (rows.where("epoch <= 15"), rows.where("epoch > 15")):
+        sinks.epoch_rows(half, path)
+    return mt.best_epoch(spark.read.parquet(path), ["params"])
+
+
 @query
 def flagged_claims(spark, d):
     """Branches whose claim the fixed models hold false, written and read again with their stances."""

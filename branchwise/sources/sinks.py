@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from branchwise.functions.text import pair_text
@@ -72,3 +74,58 @@ def epoch_rows(epochs: DataFrame, path: str) -> None:
 def flagged_claims(predictions: DataFrame, path: str, mode: str = "append") -> None:
     """Structured rows: source, branch, claim label, stance labels and claim text."""
     predictions.write.mode(mode).parquet(path)
+
+
+def _nested(rows: pd.DataFrame) -> pd.DataFrame:
+    """The structure file of one thread: its id map, written from the leaves up without recursion."""
+    source = rows["source_id"].iat[0]
+    children: dict[str, list[str]] = {}
+    for parent, child in rows.sort_values(["ord", "msg_id"])[["parent_id", "msg_id"]].itertuples(index=False):
+        children.setdefault(parent, []).append(child)
+    out, todo = [], [(source, "")]
+    while todo:
+        node, after = todo.pop()
+        if node is None:
+            out.append(after)
+            continue
+        below = children.get(node, [])
+        out.append(json.dumps(node) + (": {" if below else ": []"))
+        todo.append((None, ("}" if below else "") + after))
+        todo.extend((c, ", " if i else "") for i, c in enumerate(reversed(below)))
+    return pd.DataFrame({"path": [f"{source}/structure.json"], "value": ["{" + "".join(out) + "}"]})
+
+
+def thread_folders(messages: DataFrame, base: str, lang: str = "en") -> None:
+    """Threads in the folder layout of ``sources.threads``: a file per tweet, the nested ids, the marks of the claim; stance lines and claim codes beside them.
+
+    ``messages`` has source_id, msg_id, parent_id, is_source, text_raw, created, sdqc, truth and ``ord``, the place among siblings. Tasks write their own files;
+    a task that runs again writes the same ones.
+    """
+    from branchwise.functions.labels import RESPONSE_TO_STANCE, veracity_code
+
+    folder = F.when(F.col("is_source"), "source-tweets").otherwise("reactions")
+    tweet = F.to_json(F.struct(F.col("msg_id").alias("id_str"), F.col("text_raw").alias("full_text"), F.col("parent_id").alias("in_reply_to_status_id_str"),
+                               F.date_format("created", "EEE MMM dd HH:mm:ss +0000 yyyy").alias("created_at")))
+    tweets = messages.select(F.concat_ws("/", "source_id", folder, F.concat("msg_id", F.lit(".json"))).alias("path"), tweet.alias("value"))
+    maps = (messages.where("not is_source").select("source_id", "parent_id", "msg_id", "ord")
+            .groupBy("source_id").applyInPandas(lambda rows: _nested(rows), "path string, value string"))
+    sources = messages.where("is_source")
+    mark = lambda name: F.when(F.col("truth") == name, "1")
+    marks = sources.select(F.concat("source_id", F.lit("/annotation.json")).alias("path"), F.to_json(F.struct(
+        F.lit("rumour").alias("is_rumour"), mark("True").alias("true"), mark("False").alias("misinformation"))).alias("value"))
+    root = f"{base}/threads/{lang}/all"
+
+    def put(rows) -> None:
+        from pyarrow import fs
+
+        for row in rows:
+            place, path = fs.FileSystem.from_uri(f"{root}/{row.path}")
+            place.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with place.open_output_stream(path) as file:
+                file.write(row.value.encode())
+
+    tweets.unionByName(maps).unionByName(marks).foreachPartition(put)
+    response = F.create_map(*[F.lit(x) for code, name in RESPONSE_TO_STANCE.items() for x in (name, code)])
+    messages.where("not is_source and sdqc <> 'Underspecified'").select(F.to_json(F.struct(
+        F.col("msg_id").alias("tweetid"), response[F.col("sdqc")].alias("responsetype-vs-source"))).alias("value")).write.text(f"{base}/annotations/{lang}.json")
+    claim_overview(sources.select("source_id", veracity_code(F.col("truth")).alias("veracity")), f"{base}/rumour_overview.txt")

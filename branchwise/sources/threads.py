@@ -4,6 +4,9 @@ and claim labels in ``rumour_overview.txt``."""
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from branchwise.functions.labels import (RESPONSE_TO_STANCE, lookup, or_unspecified, threads_veracity,
@@ -62,26 +65,42 @@ def _tweets(spark: SparkSession, base: str, folder: str) -> DataFrame:
                     _from_path(4).alias("event"), _from_path(3).alias("thread_id")))
 
 
+def _walker():
+    """A table function: the reply edges of one nested id map, in one walk over its text with a stack of its own, at any depth."""
+    token = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s"{}\[\],:]+')
+
+    class Walk:
+        def eval(self, value: str):
+            open_nodes, last, root = [], None, None
+            for m in token.finditer(value):
+                mark = m[0]
+                if mark == ":":
+                    node = json.loads(last)
+                    if len(open_nodes) == 1:
+                        root = node
+                    else:
+                        yield root, open_nodes[-1], node
+                    last = node
+                elif mark == "{":
+                    open_nodes.append(last)
+                elif mark == "}":
+                    if not open_nodes:
+                        raise ValueError("a structure file closes more maps than it opens")
+                    open_nodes.pop()
+                elif mark[0] == '"':
+                    last = mark
+            if open_nodes or root is None:
+                raise ValueError("a structure file is not a whole map of ids")
+
+    return F.udtf(Walk, returnType="source_id string, parent_id string, msg_id string")
+
+
 def structure_edges(spark: SparkSession, base: str) -> DataFrame:
-    """(source_id, parent_id, msg_id) from the nested id maps, one level of all files per round."""
-    level = durable(
-        spark.read.text(f"{base}/threads/*/*/*/structure.json", wholetext=True)
-        .select(F.lit(None).cast("string").alias("source_id"), F.lit(None).cast("string").alias("node"),
-                F.parse_json("value").alias("value")))
-    parts = []
-    while True:
-        level = durable(spark.sql(
-            "SELECT coalesce(l.source_id, e.key) AS source_id, l.node AS parent_id, e.key AS node, e.value AS value "
-            "FROM {level} l, LATERAL variant_explode(l.value) AS e WHERE e.key IS NOT NULL", level=level))
-        if not level.take(1):
-            break
-        parts.append(level.where("parent_id is not null").select("source_id", "parent_id", F.col("node").alias("msg_id")))
-        level = level.select("source_id", "node", "value")
-    if not parts:
+    """(source_id, parent_id, msg_id) from the nested id maps, all files in one job however deep they are."""
+    files = spark.read.text(f"{base}/threads/*/*/*/structure.json", wholetext=True)
+    edges = durable(files.lateralJoin(_walker()(F.col("value").outer())).select("source_id", "parent_id", "msg_id"))
+    if not edges.take(1):
         raise ValueError(f"no reply is listed in any structure.json below {base}")
-    edges = parts[0]
-    for part in parts[1:]:
-        edges = edges.unionByName(part)
     return edges
 
 

@@ -98,6 +98,16 @@ def test_thread_folders(spark, threads_dir, edges):
     assert seqs == {"12": ([0, 1], 2)}
 
 
+def test_a_deep_chain_of_replies_is_one_walk(spark, tmp_path):
+    for name, text in (("a", '{"a": ' + "".join(f'{{"a{i}": ' for i in range(10_000)) + "[]" + "}" * 10_001),
+                       ("b", '{"b": {"b \\"{x": [], "b1": {"b2": [] , "b3": []}}}')):
+        (tmp_path / "threads" / "en" / "e" / name).mkdir(parents=True)
+        (tmp_path / "threads" / "en" / "e" / name / "structure.json").write_text(text)
+    rows = [tuple(r) for r in threads.structure_edges(spark, str(tmp_path)).collect()]
+    assert sorted(r[1:] for r in rows if r[0] == "b") == [("b", 'b "{x'), ("b", "b1"), ("b1", "b2"), ("b1", "b3")]
+    assert {r[1:] for r in rows if r[0] == "a"} == {("a", "a0"), *[(f"a{i}", f"a{i + 1}") for i in range(9_999)]} and len(rows) == 10_004
+
+
 def test_last_stance_line_counts(spark, threads_dir, tmp_path):
     more = [{"tweetid": "11", "responsetype-vs-source": "disagreed"}, {"tweetid": "11", "responsetype-vs-source": "comment"}]
     with open(tmp_path / "annotations" / "en-scheme.json", "a") as f:
