@@ -5,8 +5,9 @@ such windows without holding every document against every shard, texts are cut s
 smallest hash among its runs of ``ANCHOR`` words (the first on ties), and consecutive windows with the same anchor form a segment. Equal
 windows have equal anchors, so shards are hash ranges of anchors.
 
-1. Anchors of all documents are counted; those found in one document only can hold no shared window and end here.
-2. Segments with a shared anchor are cut out; equal ones become one, with its smallest doc_id. Where an anchor has over ``CROWD``
+1. Every document is cut into segments once; its anchors are written beside its text. Each task's anchors go, as sorted packed columns with the smallest and
+   largest doc_id, to ranges of the hash; a range says which of them stand in two documents or more. Others can hold no shared window and end here.
+2. Texts meet the shared anchors of their own part and their segments with one are cut out; equal ones become one, with its smallest doc_id. Where an anchor has over ``CROWD``
    different segments, each of their windows is a segment of its own, dealt by its own hash, so no shard grows with a frequent phrase.
 3. A shard indexes its segments: suffix array, Burrows-Wheeler transform, wavelet matrix with packed bits and block
    counts. Segments are streamed through backward search, which gives the matching statistics (words matched by more
@@ -21,12 +22,15 @@ other; rows without a doc_id neither remove nor lose words; other columns stay.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from branchwise.llm.words import columns_and, map_arrow, quoted, stored, word_bytes
@@ -37,6 +41,9 @@ ANCHOR = 5
 CROWD = 5_000
 SHARD_SEGMENTS = 40_000
 STRIP = 1 << 16
+CHUNK_CHARS = 500_000
+HELD = 4_000_000
+RANGE_SEGMENTS = 1_000_000
 REMEMBER = 500_000
 
 
@@ -54,51 +61,138 @@ def segments(words: list[bytes], window: int = WINDOW, anchor: int = ANCHOR) ->
     run ^= run >> np.uint64(32)
     width = window - anchor + 1
     place = np.empty(n, dtype=np.int64)
-    for at in range(0, n, STRIP):  # views of a strip at a time
-        part = np.lib.stride_tricks.sliding_window_view(run[at:at + STRIP + width - 1], width)[:n - at]
-        part = part[:STRIP]
-        place[at:at + len(part)] = part.argmin(axis=1) + np.arange(at, at + len(part))
+    for at in range(0, n, STRIP):  # a strip at a time
+        part = _first_minimum(run[at:at + STRIP + width - 1], width)[:n - at]
+        place[at:at + len(part)] = part + at
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     return run[place[first]].view(np.int64), first, np.diff(first, append=n)
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_minimum(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the (first) smallest of every ``width`` neighbours, by doubling."""
+    place, low, have = np.arange(len(values)), values, 1
+    while have < width:
+        step = min(have, width - have)
+        later = low[step:] < low[:-step]
+        place, low = np.where(later, place[step:], place[:-step]), np.where(later, low[step:], low[:-step])
+        have += step
+    return place
+
+
+PART = "part int, at int, doc_ids array<long>, hashes array<long>, texts array<string>, own array<int>, anchors binary, first binary, count binary"
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with their segments, a few hundred to a row: ``own`` segments of each, packed one document after the other."""
+    part, number, names = TaskContext.get().partitionId(), 0, [c.split()[0] for c in PART.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), *[pa.binary()] * 3]
     for batch in batches:
-        found, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            one = np.unique(segments(word_bytes(text.as_py()))[0])
-            found.append(one)
-            ids.append(np.full(len(one), key, dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(ids))], ["anchor", "doc_id"])
+        at = 0
+        while at < batch.num_rows:
+            found, texts, chars = [], [], 0
+            while at + len(texts) < batch.num_rows and len(texts) < 256 and chars < CHUNK_CHARS:
+                texts.append(batch.column(2)[at + len(texts)].as_py())
+                found.append(segments(word_bytes(texts[-1])))
+                chars += len(texts[-1] or "")
+            ids, hashes = (batch.column(i).slice(at, len(texts)).to_pylist() for i in (0, 1))
+            at += len(texts)
+            packed = [np.concatenate([f[i] for f in found]).astype(t).tobytes() for i, t in enumerate((np.int64, np.int32, np.uint8))]
+            row = [part, number, ids, hashes, texts, [len(f[0]) for f in found], *packed]
+            number += 1
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
+
+
+def _merged(anchors: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct anchors, in order, with the smallest and the largest doc_id."""
+    order = np.argsort(anchors, kind="stable")
+    anchors = anchors[order]
+    starts = np.flatnonzero(np.concatenate(([True], anchors[1:] != anchors[:-1]))) if len(anchors) else np.zeros(0, np.int64)
+    return anchors[starts], *[f.reduceat(x[order], starts) if len(starts) else x for f, x in ((np.minimum, low), (np.maximum, high))]
+
+
+def _asked(bits: int):
+    """Anchors of each part, by range of their hash: range, part, anchors, low, high (packed)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for part, pieces in held.items():
+                columns = _merged(*[np.concatenate([x[i] for x in pieces]) for i in range(3)])
+                cell = (columns[0].view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(columns[0]), np.int64)
+                order = np.argsort(cell, kind="stable")
+                cells, starts = np.unique(cell[order], return_index=True)
+                parts = [np.split(c[order], starts[1:]) for c in columns]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cells, pa.int64()), pa.array([part] * len(cells), pa.int32()), *[pa.array([x.tobytes() for x in p], pa.binary()) for p in parts]],
+                    ["range", "part", "anchors", "low", "high"])
+            held.clear()
+
+        for batch in batches:
+            for part, ids, own, packed in zip(*(batch.column(i) for i in range(4))):
+                doc = np.repeat(ids.values.to_numpy(), own.values.to_numpy())
+                held.setdefault(part.as_py(), []).append((np.frombuffer(packed.as_py(), np.int64), doc, doc))
+                size += len(doc)
+            if size >= HELD:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    return run
+
+
+def _shared(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one range: the anchors of each row that stand in two documents or more."""
+    unpacked = [[np.frombuffer(x, np.int64) for x in rows[c]] for c in ("anchors", "low", "high")]
+    anchors, low, high = _merged(*[np.concatenate(u) for u in unpacked])
+    anchors = anchors[low < high]
+    return pd.DataFrame({"part": rows["part"], "anchors": [x[np.isin(x, anchors, assume_unique=True)].tobytes() for x in unpacked[0]]})
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments with a wanted anchor: the document's key, first window, and a 128-bit hash of the words.
 
-    The words and the anchor come with the first segment of its kind that a task meets (or meets again after ``REMEMBER`` others).
+    Rows of a part come together, its shared anchors first. The words and the anchor come with the first segment of its kind that a
+    task meets (or meets again after ``REMEMBER`` others).
     """
     names = ["doc_id", "_h", "start", "sid", "anchor", "body"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
     seen: set[bytes] = set()
+    part, wanted, sought = None, [], None
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            rows: list[list] = [[] for _ in names]
-            part = batch.slice(at, 64)
-            for key, mark, text, wanted in zip(*(part.column(i) for i in range(4))):
-                words = word_bytes(text.as_py())
-                hashes, first, count = segments(words)
-                key, mark = key.as_py(), mark.as_py()
-                for i in np.flatnonzero(np.isin(hashes, wanted.values.to_numpy())).tolist():
-                    body = b" ".join(words[first[i]:first[i] + count[i] + WINDOW - 1])
-                    sid = xxhash.xxh3_128_digest(body)
-                    new = sid not in seen
-                    if new:
-                        if len(seen) >= REMEMBER:
-                            seen.clear()
-                        seen.add(sid)
-                    for out, v in zip(rows, (key, mark, int(first[i]), sid, int(hashes[i]) if new else None, body if new else None)):
-                        out.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds)], names)
+        for row in range(batch.num_rows):
+            of, at, ids, hashes, texts, own, anchors, first, count = (batch.column(i)[row] for i in range(9))
+            if of.as_py() != part:
+                part, wanted, sought = of.as_py(), [], None
+            if at.as_py() < 0:
+                wanted.append(np.frombuffer(anchors.as_py(), np.int64))
+                continue
+            if sought is None:
+                sought = np.sort(np.concatenate(wanted)) if wanted else np.zeros(0, np.int64)
+            if not len(sought):
+                continue
+            keys = np.frombuffer(anchors.as_py(), np.int64)
+            places = np.flatnonzero(sought[np.minimum(np.searchsorted(sought, keys), len(sought) - 1)] == keys)
+            if not len(places):
+                continue
+            doc = np.repeat(np.arange(len(own)), own.values.to_numpy())[places]
+            starts, wide = np.frombuffer(first.as_py(), np.int32)[places], np.frombuffer(count.as_py(), np.uint8)[places].astype(np.int64) + WINDOW - 1
+            sids, bodies, last, words = [], [], -1, []
+            for d, a, n in zip(doc.tolist(), starts.tolist(), wide.tolist()):
+                if d != last:
+                    last, words = d, word_bytes(texts.values[d].as_py())
+                body = b" ".join(words[a:a + n])
+                sid = xxhash.xxh3_128_digest(body)
+                if sid in seen:
+                    body = None
+                else:
+                    if len(seen) >= REMEMBER:
+                        seen.clear()
+                    seen.add(sid)
+                sids.append(sid)
+                bodies.append(body)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids.values.to_numpy()[doc]), pa.array(hashes.values.to_numpy()[doc]), pa.array(starts.astype(np.int64)), pa.array(sids, pa.binary()),
+                 pa.array(keys[places], mask=np.array([b is None for b in bodies])), pa.array(bodies, pa.binary())], names)
 
 
 class Bits:
@@ -222,14 +316,19 @@ def _windows(distinct: DataFrame) -> DataFrame:
 
 def covered(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Removed windows: doc_id, ``_h`` (hash of the text) and ``hits``, (first window, bits of the windows after it) of each segment."""
-    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    anchors, drop_anchors = stored(named.mapInArrow(_anchors, "anchor long, doc_id long"))
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("anchor")
-    wanted, drop_wanted = stored(anchors.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
-    drop_anchors()
-    cut, drop_cut = stored(named.join(wanted, "doc_id").select("doc_id", F.xxhash64("text").alias("_h"), "text", "anchors")
-                           .mapInArrow(_cut, "doc_id long, _h long, start long, sid binary, anchor long, body binary"))
-    drop_wanted()
+    spark = docs.sparkSession
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_h"), "text")
+    marked, drop_marked = stored(named.mapInArrow(_marked, PART))
+    n_parts, n_segments = marked.agg(F.max("part"), F.sum(F.octet_length("anchors")) / 8).first()
+    bits = math.ceil(math.log2(max((n_segments or 0) / RANGE_SEGMENTS, int(spark.conf.get("spark.sql.shuffle.partitions")), 1)))
+    asked = marked.select("part", "doc_ids", "own", "anchors").mapInArrow(_asked(bits), "range long, part int, anchors binary, low binary, high binary")
+    shared = asked.groupBy("range").applyInPandas(lambda rows: _shared(rows), "part int, anchors binary").where(F.octet_length("anchors") > 0)
+    empty = [F.lit(None).cast(marked.schema[c].dataType).alias(c) for c in marked.columns]
+    answers = shared.select(*[F.col("part") if c == "part" else F.lit(-1).alias(c) if c == "at" else F.col(c) if c == "anchors" else e for c, e in zip(marked.columns, empty)])
+    # a part to a task, as it was read: its shared anchors come before its texts
+    met = marked.unionByName(answers).repartitionById((n_parts or 0) + 1, F.col("part")).sortWithinPartitions("part", "at")
+    cut, drop_cut = stored(met.mapInArrow(_cut, "doc_id long, _h long, start long, sid binary, anchor long, body binary"))
+    drop_marked()
     distinct, drop_distinct = stored(cut.groupBy("sid").agg(F.max("anchor").alias("anchor"), F.max("body").alias("body"), F.min("doc_id").alias("low")))
     crowds = durable(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowd).select("anchor"))
     if crowds.take(1):
@@ -266,15 +365,19 @@ def deduplicate(docs: DataFrame, digest: bool = False, **options) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[], [], []]
-            for text, marks in zip(batch.column(len(keep)), batch.column(len(keep) + 1).to_pylist()):
+            marks = batch.column(len(keep) + 1)
+            ends = np.cumsum(marks.value_lengths().fill_null(0).to_numpy()).tolist()
+            starts, bits = (marks.flatten().field(i).to_numpy() for i in (0, 1))
+            for text, a, b in zip(batch.column(len(keep)), [0, *ends], ends):
                 words = word_bytes(text.as_py())
-                gone = np.zeros(len(words) + 1, dtype=np.int64)
-                for m in marks or ():
-                    for i in range(m["bits"].bit_length()):
-                        if m["bits"] >> i & 1:
-                            gone[m["start"] + i] += 1
-                            gone[min(m["start"] + i + WINDOW, len(words))] -= 1
-                kept = [w for w, g in zip(words, np.cumsum(gone[:-1]).tolist()) if g == 0] if marks else words
+                kept = words
+                if b > a:
+                    gone, n = np.zeros(len(words) + 1, dtype=np.int64), len(words)
+                    for i in range(int(bits[a:b].max()).bit_length()):
+                        at = starts[a:b][bits[a:b] >> i & 1 == 1] + i
+                        np.add.at(gone, at, 1)
+                        np.add.at(gone, np.minimum(at + WINDOW, n), -1)
+                    kept = list(compress(words, (np.cumsum(gone[:-1]) == 0).tolist()))
                 joined_words = b" ".join(kept)
                 for out, v in zip(rows, (len(words), len(words) - len(kept), hashlib.sha256(joined_words).hexdigest() if digest else joined_words.decode())):
                     out.append(v)
