@@ -119,6 +119,8 @@ def _asked(bits: int):
         def flush() -> Iterator[pa.RecordBatch]:
             for part, pieces in held.items():
                 columns = _merged(*[np.concatenate([x[i] for x in pieces]) for i in range(3)])
+                if not len(columns[0]):
+                    continue
                 cell = (columns[0].view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(columns[0]), np.int64)
                 order = np.argsort(cell, kind="stable")
                 cells, starts = np.unique(cell[order], return_index=True)
