@@ -552,3 +552,4 @@ oracle("activity_sessions", [], """
     GROUP BY user_id, s""")
 oracle("repeats_stream", [], "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 oracle("thread_stream", ["br"], "SELECT source_id, leaf_id, branch_len FROM br")
+ORACLES["q_quiet_thread_stream"] = ORACLES["q_thread_stream"]

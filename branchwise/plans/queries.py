@@ -19,7 +19,7 @@ from branchwise.session import configure, durable, scratch_path, spread
 from branchwise.sources import conversations as cv, sinks, store, tables
 from branchwise.sources import threads as threads_of
 from branchwise.sources.read import annotation_data, read_messages
-from branchwise.streaming import activity as st, threads as live
+from branchwise.streaming import activity as st, quiet, threads as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 DIM = 64
@@ -1164,3 +1164,22 @@ def thread_stream(spark, d):
         stream = st.file_stream(spark, f"{base}/in", schema, "parquet")
         live.run(stream, f"{base}/store", f"{base}/out", f"{base}/ckpt").awaitTermination()
     return live.latest(spark, f"{base}/out").select(*BRANCH, "branch_len")
+
+
+@query
+def quiet_thread_stream(spark, d):
+    """Messages arrive on three days and are handed on once their thread has been quiet for six hours: first half of them, older copies among them, then
+    the newer copies, then replies to threads that were handed on before. A last message elsewhere moves the clock."""
+    base = scratch_path(spark, "quiet")
+    m = durable(_messages(spark, d).select("source_id", "msg_id", "parent_id", "is_source", "created", "sdqc"))
+    third = ~F.col("is_source") & (F.pmod(F.xxhash64("msg_id"), F.lit(3)) == 0)
+    second = ~third & (F.pmod(F.xxhash64("msg_id"), F.lit(2)) == 0)
+    stale = m.where(second).withColumn("parent_id", F.when(~F.col("is_source"), F.col("source_id"))).withColumn("sdqc", F.lit("Underspecified"))
+    clock = m.limit(1).select(F.lit("clock").alias("source_id"), F.lit("clock").alias("msg_id"), F.lit(None).cast("string").alias("parent_id"),
+                              F.lit(True).alias("is_source"), "created", "sdqc")
+    for day, rows in enumerate((m.where(~second & ~third).unionByName(stale), m.where(second), m.where(third), clock), 1):
+        rows.withColumn("arrived", F.to_timestamp(F.lit(f"2024-01-0{day} 00:00:00"))).write.mode("append").parquet(f"{base}/in")
+        schema = spark.read.parquet(f"{base}/in").schema
+        stream = st.file_stream(spark, f"{base}/in", schema, "parquet")
+        quiet.run(stream, "arrived", 6 * 3600, f"{base}/store", f"{base}/out", f"{base}/ckpt", splits=4, buckets=8).awaitTermination()
+    return live.latest(spark, f"{base}/out").select("source_id", "leaf_id", "branch_len")

@@ -43,7 +43,8 @@ def update_threads(batch: DataFrame, batch_id: int, store: str, out: str,
     # Few files per bucket, and several for a bucket that holds much of the batch.
     (batch.withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket")
      .parquet(f"{store}/batch={batch_id:012d}"))
-    arrived = spark.read.option("basePath", store).parquet(f"{store}/batch={batch_id:012d}")
+    # declared, as a batch without rows leaves no file to read a schema from
+    arrived = spark.read.schema(batch.withColumn("bucket", F.lit(0)).schema).parquet(f"{store}/batch={batch_id:012d}")
     touched = arrived.select("bucket", "source_id").distinct()
     ids = sorted(r[0] for r in touched.select("bucket").distinct().collect())  # at most ``buckets`` numbers
     if not ids:

@@ -1,6 +1,8 @@
 from datetime import datetime, timedelta
 
-from branchwise.streaming import activity, threads
+from pyspark.sql import functions as F
+
+from branchwise.streaming import activity, quiet, threads
 from tests.test_tree import SCHEMA, START, make
 
 
@@ -21,6 +23,22 @@ def test_late_replies_reopen_a_thread(spark, tmp_path):
     assert arrive([("s", "c", "s", 3, "x")]) == {("s", "b", 2), ("s", "d", 2), ("t", "q", 1)}
 
 
+def test_quiet_threads_are_handed_on_and_late_replies_open_them_again(spark, tmp_path):
+    base = str(tmp_path)
+
+    def arrive(day, rows):
+        make(spark, rows).withColumn("arrived", F.lit(START + timedelta(days=day))).write.mode("append").parquet(f"{base}/in")
+        stream = activity.file_stream(spark, f"{base}/in", spark.read.parquet(f"{base}/in").schema, "parquet")
+        quiet.run(stream, "arrived", 6 * 3600, f"{base}/store", f"{base}/out", f"{base}/ckpt", splits=2, buckets=4).awaitTermination()
+        got = threads.latest(spark, f"{base}/out")
+        return got and {(r.source_id, r.leaf_id, r.branch_len) for r in got.collect()}
+
+    assert arrive(1, [("s", "s", None, 0, "x"), ("s", "a", "s", 1, "x")]) is None  # nothing has been quiet yet
+    assert arrive(2, [("t", "t", None, 0, "x"), ("t", "q", "t", 1, "x")]) == {("s", "a", 1)}
+    assert arrive(3, [("s", "b", "a", 2, "x")]) == {("s", "a", 1), ("t", "q", 1)}
+    assert arrive(9, [("clock", "c", None, 0, "x")]) == {("s", "b", 2), ("t", "q", 1)}
+
+
 def test_the_newest_message_wins(spark, tmp_path):
     base = str(tmp_path)
     first = make(spark, [("s", "s", None, 0, "x"), ("s", "a", "s", 1, "Denying"), ("s", "b", "a", 2, "x")])
