@@ -517,6 +517,15 @@ metric AS (SELECT unverified_cast, remove_commenting, testdata_type, model, fold
                   coalesce(max(CASE WHEN label = 1 AND said > 0 THEN tp / said END), 0) AS precision, coalesce(max(CASE WHEN label = 1 AND real > 0 THEN tp / real END), 0) AS recall
            FROM label GROUP BY ALL)""")
 
+oracle("cooccurrences", ["dt"], """
+    SELECT a, b, n, CASE WHEN n * total > na * nb THEN round(ln(n * total / (na * nb)), 6) END AS weight
+    FROM pair JOIN (SELECT a, CAST(sum(n) AS DOUBLE) AS na FROM pair GROUP BY a) USING (a) JOIN (SELECT a AS b, CAST(sum(n) AS DOUBLE) AS nb FROM pair GROUP BY a) USING (b),
+         (SELECT CAST(sum(n) AS DOUBLE) AS total FROM pair)""", extra="""
+tok AS (SELECT doc_id, unnest(tokens) AS w, unnest(range(len(tokens))) AS p FROM dt),
+often AS (SELECT w FROM tok GROUP BY w HAVING count(*) >= 50),
+pair AS (SELECT x.w AS a, y.w AS b, count(*) AS n FROM tok x JOIN tok y ON x.doc_id = y.doc_id AND x.p <> y.p AND y.p BETWEEN x.p - 5 AND x.p + 5
+         WHERE x.w IN (SELECT w FROM often) AND y.w IN (SELECT w FROM often) GROUP BY ALL)""")
+
 # --- written and read back -------------------------------------------------------------------------
 
 oracle("sequence_file", ["seq"], "SELECT veracity, stances, count(*) AS n, round(sum(t_sum), 4) AS t_sum FROM seq GROUP BY ALL")

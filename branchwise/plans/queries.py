@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from branchwise.functions import labels as lb, text as tx, times
 from branchwise.functions.vectors import cosine, dot
-from branchwise.models import hmm, majority, stance
-from branchwise.operators import agreement as ag, embed, lexicon as lx, merge, metrics as mt, sequences as sq, splits, tree
+from branchwise.models import hmm, majority, stance, word_vectors
+from branchwise.operators import agreement as ag, embed, lexicon as lx, merge, metrics as mt, neighbours, sequences as sq, splits, tree
 from branchwise.operators.normalise import normalise, value_ranges, value_ranges_in_order
 from branchwise.operators.skew import prefix_sum, rank_rows
 from branchwise.plans import claims, evaluation, run
@@ -752,7 +752,24 @@ def evaluation_sweep_majority(spark, d):
 @query
 def word_vectors_trained(spark, d):
     docs = _texts(spark, d).select(tx.word_tokens(F.col("text")).alias("words"))
-    return embed.train_vectors(docs, "words", dim=DIM).select("token", "vector")
+    return word_vectors.train(durable(docs), "words", dim=DIM)
+
+
+@query
+def cooccurrences(spark, d):
+    """Counts and mutual information of word pairs, for words that occur fifty times or more."""
+    docs = durable(_texts(spark, d).select(tx.word_tokens(F.col("text")).alias("words")))
+    counts = durable(word_vectors.cooccurrences(docs, "words", min_count=50))
+    weights = word_vectors.positive_information(counts).select("a", "b", F.round("weight", 6).alias("weight"))
+    return counts.join(weights, ["a", "b"], "left")
+
+
+@query
+def approximate_neighbours(spark, d):
+    """About the ten nearest vectors of every fiftieth one."""
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("token"), F.col("embedding").cast("array<double>").alias("vector"))
+    found = neighbours.approximate_neighbours(rows, rows.where(F.col("token") % 50 == 0), 10)
+    return found.select(F.col("word").alias("vec_id"), *_long("rank"), "neighbour", F.round("similarity", 6).alias("similarity"))
 
 
 def _stance_rows(spark, d):

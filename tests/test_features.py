@@ -11,6 +11,7 @@ from tests.test_tree import SCHEMA, START
 
 VECTORS = {"a": [1.0, 0.0, 2.0], "b": [0.0, 3.0, -1.0], "c": [0.5, 0.5, 0.5]}
 MESSAGES = [("m1", ["a", "b", "a", "zz"]), ("m2", ["c"]), ("m3", ["zz"]), ("m4", [])]
+from branchwise.session import durable
 
 
 @pytest.fixture(scope="module")
@@ -172,3 +173,63 @@ def test_training_passes(spark, monkeypatch):
     monkeypatch.setattr(feature.Word2Vec, "fit", lambda self, df: asked.append((self.getMaxIter(), self.getNumPartitions())) or plain(self, df))
     embed.train_vectors(docs, "words", dim=4, partitions=8)
     assert asked == [(8, 8)]
+
+
+def test_planted_synonyms_are_nearest(spark):
+    import random
+
+    from branchwise.models import word_vectors
+
+    rng = random.Random(2)
+    topics = [[f"{t}{i}" for i in range(12)] for t in "abcd"]
+    rows = [([*rng.choices(topics[k], k=6), rng.choice(("kat", "mis")) if k == 0 else rng.choice(("bil", "vogn")) if k == 1 else "andet", *rng.choices(topics[k], k=6)],)
+            for _ in range(600) for k in [rng.randrange(4)]] + [(["ene"],), ([],)]
+    docs = durable(spark.createDataFrame(rows, "words array<string>"))
+    counts = {(r.a, r.b): r.n for r in word_vectors.cooccurrences(docs, "words", window=2, min_count=1).collect()}
+    want = {}
+    for (w,) in rows:
+        for i in range(len(w)):
+            for j in range(len(w)):
+                if i != j and abs(i - j) <= 2:
+                    want[w[i], w[j]] = want.get((w[i], w[j]), 0) + 1
+    assert counts == want
+    vectors = durable(word_vectors.train(docs, "words", dim=8))
+    assert "ene" not in {r.token for r in vectors.collect()}
+    found = {r.word: r.neighbour for r in embed.nearest_words(vectors, ["kat", "bil"], 1).collect()}
+    assert found["kat"] in {"mis", *topics[0]} and found["bil"] in {"vogn", *topics[1]}
+    similar = {(r.w1, r.w2): r.similarity for r in embed.word_similarity(spark.createDataFrame([("kat", "mis"), ("bil", "vogn"), ("kat", "bil")], "w1 string, w2 string"), vectors).collect()}
+    assert similar["kat", "mis"] > 0.9 and similar["bil", "vogn"] > 0.9 and similar["kat", "bil"] < 0.3
+
+
+def test_factors_are_the_leading_eigenvectors(spark):
+    import numpy as np
+
+    from branchwise.models import word_vectors
+
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((30, 3))
+    matrix = base @ base.T
+    rows = [(f"w{i}", f"w{j}", float(matrix[i, j])) for i in range(30) for j in range(30)]
+    got = {r.token: r.vector for r in word_vectors.factorise(spark.createDataFrame(rows, "a string, b string, weight double"), 5).collect()}
+    x = np.array([got[f"w{i}"] for i in range(30)])
+    assert np.allclose(x @ x.T, matrix, atol=1e-6)  # of rank three: five directions hold all of it
+
+
+def test_approximate_neighbours_find_nine_of_ten(spark):
+    import numpy as np
+
+    from branchwise.operators import neighbours
+
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((60, 24))
+    x = centres[rng.integers(0, 60, 3000)] + 0.6 * rng.standard_normal((3000, 24))
+    rows = durable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "token long, vector array<double>"))
+    found = {}
+    for r in neighbours.approximate_neighbours(rows, rows.where("token % 50 = 0"), 10).collect():
+        found.setdefault(r.word, {})[r.rank] = r.neighbour
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 3000, 50):
+        near = np.argsort(-(y @ y[q]), kind="stable")
+        hits += len(set(near[near != q][:10].tolist()) & set(found[q].values()))
+    assert hits >= 0.9 * 600
