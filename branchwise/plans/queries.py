@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from branchwise.functions import labels as lb, text as tx, times
 from branchwise.functions.vectors import cosine, dot
-from branchwise.models import hmm, majority, stance, word_vectors
+from branchwise.models import epochs, hmm, majority, stance, word_vectors
 from branchwise.operators import agreement as ag, embed, lexicon as lx, merge, metrics as mt, neighbours, sequences as sq, splits, tree
 from branchwise.operators.normalise import normalise, value_ranges, value_ranges_in_order
 from branchwise.operators.skew import prefix_sum, rank_rows
@@ -790,6 +790,22 @@ def stance_model(spark, d):
     return result
 
 
+@query
+def stance_epochs(spark, d):
+    """Three settings trained together, three epochs and then two more from where they stopped, through the epoch table."""
+    from pyspark.ml.functions import vector_to_array
+
+    _, _, rows = _stance_rows(spark, d)
+    plain = rows.select("msg_id", "stance", vector_to_array("features").alias("features"))
+    split = durable(splits.holdout(plain, 0.2, *splits.shuffled(["msg_id"])))
+    settings = [epochs.Setting(), epochs.Setting(hidden=20), epochs.Setting(rate=0.01)]
+    path, out = scratch_path(spark, "training"), scratch_path(spark, "epochs")
+    for until in (3, 5):
+        table = epochs.train(split.where("not is_test"), split.where("is_test"), settings, until, path)
+    sinks.epoch_rows(table, out)
+    return spark.read.parquet(out).select("params", *_long("epoch"), *[F.round(c, 6).alias(c) for c in ("loss", "accuracy", "f1_macro", "f1_micro")])
+
+
 @query
 def claim_predictions(spark, d):
     """Stance and claim labels for all branches from messages alone."""

@@ -266,3 +266,38 @@ def test_release_removes_own_tables(spark):
     assert os.path.isdir(own)
     session.release(spark)
     assert not os.path.exists(own)
+
+
+def test_training_goes_on_from_the_last_epoch(spark, tmp_path):
+    from branchwise.models import epochs
+
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 4, 300)
+    x = np.eye(4)[y] * 2 + rng.standard_normal((300, 4)) * 0.3
+    rows = durable(spark.createDataFrame([(f"m{i}", v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))] + [("none", [0.0] * 4, None)],
+                                         "msg_id string, features array<double>, stance int"))
+    settings = [epochs.Setting(rate=0.2), epochs.Setting(hidden=8, rate=0.1)]
+    key = lambda df: {(r.params, r.epoch): (r.loss, r.accuracy) for r in df.collect()}
+    once = key(epochs.train(rows, rows, settings, 4, f"{tmp_path}/a", batches=2))
+    epochs.train(rows, rows, settings, 2, f"{tmp_path}/b", batches=2)
+    twice = key(epochs.train(rows, rows, settings, 4, f"{tmp_path}/b", batches=2))
+    assert len(once) == 8 and once.keys() == twice.keys() and all(np.allclose(once[k], twice[k], rtol=1e-9) for k in once)
+    for s in settings:
+        assert once[str(s), 3][0] < once[str(s), 0][0] and once[str(s), 3][1] > 0.8
+    alone = key(epochs.train(rows, rows, settings[1:], 2, f"{tmp_path}/c", batches=2))
+    assert all(np.allclose(alone[k], once[k], rtol=1e-9) for k in alone)  # settings don't touch each other
+
+
+def test_gradients_equal_differences():
+    from branchwise.models import epochs
+
+    rng = np.random.default_rng(5)
+    x, y, weight = rng.standard_normal((12, 3)), rng.integers(0, 4, 12), rng.random(12)
+    for setting in (epochs.Setting(), epochs.Setting(hidden=5)):
+        w = setting.start(3, 1)
+        found = epochs.gradient(setting, w, x, y, weight)
+        for i in range(len(w)):
+            step = np.zeros(len(w))
+            step[i] = 1e-5
+            slope = (epochs.gradient(setting, w + step, x, y, weight)[-2] - epochs.gradient(setting, w - step, x, y, weight)[-2]) / 2e-5
+            assert abs(slope - found[i]) < 1e-5
