@@ -149,6 +149,7 @@ def search(vectors: DataFrame, is_query, k: int, vec_id: str = "vec_id", embeddi
         lists = durable(rows.mapInArrow(_local_lists(by_size, k), FOUND))
         kth = {r[0]: r[1] for r in _ranked(lists, k).where(F.col("rank") == k).select("query_id", "score").collect()}  # one per query of the block
         floors = np.array([kth.get(q, np.iinfo(np.int64).min // 2) for q in part["vec_id"]], dtype=np.int64)
-        found = _ranked(rows.mapInArrow(_above(by_size, floors), FOUND), k)
+        # written block by block: only one block's queries and floors are held at a time
+        found = durable(_ranked(rows.mapInArrow(_above(by_size, floors), FOUND), k))
         result = found if result is None else result.unionByName(found)
     return result.select("query_id", "rank", "vec_id", "score")
