@@ -10,8 +10,7 @@ REF_TAG = "refrefref"
 TWEET_URL = r"https://t\.co/*?"
 TWEET_MENTION = r"@[^\n]*? "
 REDDIT_QUOTE = r">([^\n]+?)\n"
-REDDIT_URL = (r"([(\[]?(https?://)|(https?://www.)|(www.))"
-              r"(?:[a-zæøåA-ZÆØÅ]|[0-9]|[$-_@.&+]|[!*(),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+")
+REDDIT_URL = r"([(\[]?(https?://)|(https?://www.)|(www.))(?:[a-zæøåA-ZÆØÅ]|[0-9]|[$-_@.&+]|[!*(),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
 CAPITAL_RUN = "[A-ZÆØÅ]+"
 KEPT_TOKEN = "^[a-zæøå0-9]"
 

@@ -43,13 +43,28 @@ def class_accuracy(df: DataFrame, labels: Sequence[int], by: Sequence[str] = ())
     return cells.groupBy(*by, "actual").agg(F.try_divide(hit, F.sum("n")).alias("accuracy"))
 
 
+def level_scores(df: DataFrame, levels: Sequence[str], positive: int = 1) -> DataFrame:
+    """``scores`` over all rows and over every subset of ``levels`` at once; a level that a row sums over is null, and has its bit in ``level`` set.
+
+    Rows collapse to cells of the finest level once; the coarser ones add up cells.
+    """
+    cells = df.groupBy(*levels, "actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    sets = [[c for i, c in enumerate(levels) if not mask >> (len(levels) - 1 - i) & 1] for mask in range(1 << len(levels))]
+    all_levels = cells.groupingSets([[*s, "actual", "predicted"] for s in sets], *levels, "actual", "predicted").agg(
+        F.sum("n").alias("n"), F.shiftright(F.grouping_id(), 2).alias("level"))
+    return _from_cells(all_levels, ["level", *levels], positive)
+
+
 def scores(df: DataFrame, by: Sequence[str] = (), positive: int = 1) -> DataFrame:
     """accuracy, precision and recall of class ``positive``, macro and micro F1 per group.
 
     Macro averages run over the labels that occur as actual or predicted value. A ratio without a
     denominator counts as 0. One shuffle: rows collapse to cells of the confusion matrix first.
     """
-    cells = df.groupBy(*by, "actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    return _from_cells(df.groupBy(*by, "actual", "predicted").agg(F.count(F.lit(1)).alias("n")), by, positive)
+
+
+def _from_cells(cells: DataFrame, by: Sequence[str], positive: int) -> DataFrame:
     same = F.col("actual") == F.col("predicted")
     per_row = cells.select(*by, F.inline(F.when(same, F.array(
         F.struct(F.col("actual").alias("label"), F.col("n").alias("tp"), F.lit(0).cast("long").alias("fn"),

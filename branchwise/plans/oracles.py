@@ -132,7 +132,7 @@ oracle("unplaced", ["m"], """
        extra="""live AS (SELECT * FROM m WHERE is_source OR sdqc <> 1),
 reach AS (SELECT msg_id FROM live WHERE is_source UNION ALL SELECT l.msg_id FROM reach r JOIN live l ON l.parent_id = r.msg_id)""")
 oracle("branch_tokens", ["mf", "mt"], """
-    SELECT source_id, branch_idx, CAST(0 AS BIGINT) AS piece, CAST(sum(len(tokens)) AS BIGINT) AS n_tokens,
+    SELECT source_id, branch_idx, CAST(sum(len(tokens)) AS BIGINT) AS n_tokens,
            string_agg(array_to_string(tokens, ' '), ' ' ORDER BY pos) FILTER (WHERE len(tokens) > 0) AS pool
     FROM (SELECT mf.source_id, branch_idx, pos, tokens FROM mf JOIN mt USING (msg_id)) GROUP BY source_id, branch_idx""")
 oracle("drop_commenting_branches", ["mf"], """
@@ -542,6 +542,14 @@ oracle("annotation_task_files", ["msg"], """
     SELECT 'claims' AS task, msg_id AS id_str, text, CAST(0 AS BIGINT) AS n_labels FROM msg WHERE turn = 0
     UNION ALL SELECT 'stances', r.msg_id, 'Source: ' || s.text || chr(10) || chr(10) || 'Reply: ' || r.text, 0
     FROM msg r JOIN msg s ON s.conv_id = r.conv_id AND s.turn = 0 WHERE r.turn > 0""")
+oracle("level_metrics", ["mf"], """
+    SELECT length, fold, round(avg(CASE WHEN tp > 0 THEN 2.0 * tp / (real + said) ELSE 0 END), 6) AS f1_macro, round(sum(tp) / sum(real), 6) AS f1_micro, round(sum(tp) / sum(real), 6) AS accuracy,
+           round(coalesce(max(CASE WHEN label = 1 AND said > 0 THEN tp / said END), 0), 6) AS precision, round(coalesce(max(CASE WHEN label = 1 AND real > 0 THEN tp / real END), 0), 6) AS recall
+    FROM label GROUP BY length, fold, lg, fg""", extra=BUCKETED + """,
+label AS (SELECT length, fold, grouping(length) AS lg, grouping(fold) AS fg, label, CAST(count(*) FILTER (WHERE actual = label AND predicted = label) AS DOUBLE) AS tp,
+                 CAST(count(*) FILTER (WHERE actual = label) AS DOUBLE) AS real, CAST(count(*) FILTER (WHERE predicted = label) AS DOUBLE) AS said
+          FROM judged, (SELECT unnest([0, 1]) AS label) WHERE actual = label OR predicted = label
+          GROUP BY GROUPING SETS ((label), (label, length), (label, fold), (label, length, fold)))""")
 oracle("metric_file", ["mf"], f"""
     SELECT 'leaf' AS model, length, round(sum(f1_macro) / 5, 3) AS f1_macro, round(sum(accuracy) / 5, 3) AS accuracy
     FROM ({score_sql('judged', METRICS, 'length, fold').replace('round(', '(').replace(', 6) AS', ') AS')}) GROUP BY length""", extra=BUCKETED)

@@ -188,14 +188,14 @@ def unplaced(spark, d):
 
 @query
 def branch_tokens(spark, d):
-    """Token pool of every branch: the tokens of its members in order, pooled by ``sq.PART`` members first. ``piece`` is 0: the whole branch."""
+    """Token pool of every branch: the tokens of its members in order, pooled by ``sq.PART`` members first."""
     m = _messages(spark, d)
     rows = tree.branch_members(m, index=True).join(m.select("msg_id", "tokens"), "msg_id")
     pool = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tokens"))), lambda x: x["tokens"]))
     parts = rows.groupBy("source_id", "branch_idx", F.floor(F.col("pos") / sq.PART).alias("_part")).agg(pool.alias("pool"))
     whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_part", "pool"))), lambda x: x["pool"]))
-    pools = parts.groupBy("source_id", "branch_idx").agg(F.lit(0).alias("piece"), whole.alias("pool"))
-    return pools.select("source_id", "branch_idx", *_long("piece"), F.size("pool").cast("long").alias("n_tokens"), F.array_join("pool", " ").alias("pool"))
+    pools = parts.groupBy("source_id", "branch_idx").agg(whole.alias("pool"))
+    return pools.select("source_id", "branch_idx", F.size("pool").cast("long").alias("n_tokens"), F.array_join("pool", " ").alias("pool"))
 
 
 @query
@@ -610,6 +610,17 @@ def bucket_metrics(spark, d):
     return means.select("length", *[F.round(c, 6).alias(c) for c in mt.METRICS])
 
 
+@query
+def level_metrics(spark, d):
+    """Scores over all branches, per length class, per fold and per both, from one pass."""
+    m = _messages(spark, d)
+    leaf = m.select(F.col("msg_id").alias("leaf_id"), lb.stance_code(F.col("sdqc")).alias("leaf_stance"), F.unix_seconds("created").alias("s"))
+    truth = m.where("is_source").select("source_id", lb.cast_unverified(lb.veracity_code(F.col("truth")), "true").alias("actual"))
+    judged = tree.branches(m).join(leaf, "leaf_id").join(truth, "source_id").select(
+        "actual", (F.col("leaf_stance") % 2).alias("predicted"), (F.col("s") % 5).alias("fold"), tree.length_bucket(F.col("branch_len")).cast("long").alias("length"))
+    return mt.level_scores(judged, ["length", "fold"]).select("length", "fold", *[F.round(c, 6).alias(c) for c in mt.METRICS])
+
+
 def _epochs(spark, d) -> DataFrame:
     """Daily mean values per event type as a stand-in for a table of training epochs."""
     e = _events(spark, d)
