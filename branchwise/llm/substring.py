@@ -41,7 +41,7 @@ ANCHOR = 5
 CROWD = 5_000
 SHARD_SEGMENTS = 40_000
 STRIP = 1 << 16
-CHUNK_CHARS = 500_000
+CHUNK_BYTES = 500_000
 HELD = 4_000_000
 RANGE_SEGMENTS = 1_000_000
 REMEMBER = 500_000
@@ -79,25 +79,29 @@ def _first_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
-PART = "part int, at int, doc_ids array<long>, hashes array<long>, texts array<string>, own array<int>, anchors binary, first binary, count binary"
+PART = "part int, at int, doc_ids array<long>, hashes array<long>, texts binary, sizes array<int>, own array<int>, anchors binary, count binary"
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with their segments, a few hundred to a row: ``own`` segments of each, packed one document after the other."""
+    """Documents with their segments, a few hundred to a row.
+
+    ``texts`` are their bytes, compressed together, of ``sizes`` each. ``own`` is the number of segments of each; ``anchors`` and ``count`` (windows) are
+    packed, one document after the other. A segment begins where the one before it ends, so its place needn't be kept.
+    """
     part, number, names = TaskContext.get().partitionId(), 0, [c.split()[0] for c in PART.split(", ")]
-    kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), *[pa.binary()] * 3]
+    kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
     for batch in batches:
         at = 0
         while at < batch.num_rows:
-            found, texts, chars = [], [], 0
-            while at + len(texts) < batch.num_rows and len(texts) < 256 and chars < CHUNK_CHARS:
-                texts.append(batch.column(2)[at + len(texts)].as_py())
-                found.append(segments(word_bytes(texts[-1])))
-                chars += len(texts[-1] or "")
+            found, texts, size = [], [], 0
+            while at + len(texts) < batch.num_rows and len(texts) < 256 and size < CHUNK_BYTES:
+                texts.append((batch.column(2)[at + len(texts)].as_py() or "").encode("utf-8", "surrogatepass"))
+                found.append(segments(texts[-1].split()))
+                size += len(texts[-1])
             ids, hashes = (batch.column(i).slice(at, len(texts)).to_pylist() for i in (0, 1))
             at += len(texts)
-            packed = [np.concatenate([f[i] for f in found]).astype(t).tobytes() for i, t in enumerate((np.int64, np.int32, np.uint8))]
-            row = [part, number, ids, hashes, texts, [len(f[0]) for f in found], *packed]
+            anchors, count = (np.concatenate([f[i] for f in found]).astype(t).tobytes() for i, t in ((0, np.int64), (2, np.uint8)))
+            row = [part, number, ids, hashes, pa.compress(b"".join(texts), codec="zstd", asbytes=True), list(map(len, texts)), [len(f[0]) for f in found], anchors, count]
             number += 1
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
@@ -162,7 +166,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, wanted, sought = None, [], None
     for batch in batches:
         for row in range(batch.num_rows):
-            of, at, ids, hashes, texts, own, anchors, first, count = (batch.column(i)[row] for i in range(9))
+            of, at, ids, hashes, texts, sizes, own, anchors, count = (batch.column(i)[row] for i in range(9))
             if of.as_py() != part:
                 part, wanted, sought = of.as_py(), [], None
             if at.as_py() < 0:
@@ -176,12 +180,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places = np.flatnonzero(sought[np.minimum(np.searchsorted(sought, keys), len(sought) - 1)] == keys)
             if not len(places):
                 continue
-            doc = np.repeat(np.arange(len(own)), own.values.to_numpy())[places]
-            starts, wide = np.frombuffer(first.as_py(), np.int32)[places], np.frombuffer(count.as_py(), np.uint8)[places].astype(np.int64) + WINDOW - 1
+            owned, windows = own.values.to_numpy(), np.frombuffer(count.as_py(), np.uint8).astype(np.int64)
+            before = np.concatenate(([0], np.cumsum(windows)))
+            doc = np.repeat(np.arange(len(owned)), owned)
+            starts = (before[:-1] - before[np.cumsum(owned) - owned][doc])[places]  # windows of the document before the segment
+            doc, wide = doc[places], windows[places] + WINDOW - 1
+            ends = np.cumsum(sizes.values.to_numpy()).tolist()
+            raw = pa.decompress(texts.as_py(), decompressed_size=ends[-1], codec="zstd", asbytes=True)
             sids, bodies, last, words = [], [], -1, []
             for d, a, n in zip(doc.tolist(), starts.tolist(), wide.tolist()):
                 if d != last:
-                    last, words = d, word_bytes(texts.values[d].as_py())
+                    last, words = d, raw[ends[d - 1] if d else 0:ends[d]].split()
                 body = b" ".join(words[a:a + n])
                 sid = xxhash.xxh3_128_digest(body)
                 if sid in seen:
@@ -193,7 +202,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sids.append(sid)
                 bodies.append(body)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids.values.to_numpy()[doc]), pa.array(hashes.values.to_numpy()[doc]), pa.array(starts.astype(np.int64)), pa.array(sids, pa.binary()),
+                [pa.array(ids.values.to_numpy()[doc]), pa.array(hashes.values.to_numpy()[doc]), pa.array(starts), pa.array(sids, pa.binary()),
                  pa.array(keys[places], mask=np.array([b is None for b in bodies])), pa.array(bodies, pa.binary())], names)
 
 
