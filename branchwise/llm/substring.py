@@ -333,12 +333,16 @@ def covered(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     n_parts, n_segments = marked.agg(F.max("part"), F.sum(F.octet_length("anchors")) / 8).first()
     bits = math.ceil(math.log2(max((n_segments or 0) / RANGE_SEGMENTS, int(spark.conf.get("spark.sql.shuffle.partitions")), 1)))
     asked = marked.select("part", "doc_ids", "own", "anchors").mapInArrow(_asked(bits), "range long, part int, anchors binary, low binary, high binary")
-    shared = asked.groupBy("range").applyInPandas(lambda rows: _shared(rows), "part int, anchors binary").where(F.octet_length("anchors") > 0)
+    shared, drop_shared = stored(asked.groupBy("range").applyInPandas(lambda rows: _shared(rows), "part int, anchors binary").where(F.octet_length("anchors") > 0))
+    del asked  # a frame that is still named keeps its shuffle files
+    spark.sparkContext._jvm.System.gc()
     empty = [F.lit(None).cast(marked.schema[c].dataType).alias(c) for c in marked.columns]
     answers = shared.select(*[F.col("part") if c == "part" else F.lit(-1).alias(c) if c == "at" else F.col(c) if c == "anchors" else e for c, e in zip(marked.columns, empty)])
     # a part to a task, as it was read: its shared anchors come before its texts
     met = marked.unionByName(answers).repartitionById((n_parts or 0) + 1, F.col("part")).sortWithinPartitions("part", "at")
     cut, drop_cut = stored(met.mapInArrow(_cut, "doc_id long, _h long, start long, sid binary, anchor long, body binary"))
+    del met, answers
+    drop_shared()
     drop_marked()
     distinct, drop_distinct = stored(cut.groupBy("sid").agg(F.max("anchor").alias("anchor"), F.max("body").alias("body"), F.min("doc_id").alias("low")))
     crowds = durable(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowd).select("anchor"))
