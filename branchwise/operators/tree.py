@@ -159,19 +159,24 @@ def sibling_order(messages: DataFrame) -> list[str]:
     return (["ord"] if "ord" in messages.columns else []) + ["created", "msg_id"]
 
 
-def leaf_counts(lifted: Lifted) -> DataFrame:
-    """Leaves under every node (itself included): scope, node, n_leaves, by doubling the depth looked at.
+def totals_below(lifted: Lifted, value: Column, name: str) -> DataFrame:
+    """Sum of ``value`` over every node and all nodes under it: scope, node, ``name``, by doubling the depth looked at.
 
-    After round k a node has the leaves less than 2^k below it; each node then adds its own count to that of
+    After round k a node has the values of nodes less than 2^k below it; each node then adds its own sum to that of
     its 2^k-th ancestor. Work is the number of nodes per round, whatever the length of their paths.
     """
-    counts = lifted.placed.select("scope", "node", F.col("is_leaf").cast("long").alias("n_leaves"))
+    sums = lifted.placed.select("scope", "node", value.alias(name))
     for jump in lifted.jumps:
-        more = (jump.join(counts, ["scope", "node"]).groupBy("scope", F.col("up").alias("node"))
-                .agg(F.sum("n_leaves").alias("_more")))
-        counts = durable(counts.join(more, ["scope", "node"], "left").select(
-            "scope", "node", (F.col("n_leaves") + F.coalesce("_more", F.lit(0))).alias("n_leaves")))
-    return counts
+        more = (jump.join(sums, ["scope", "node"]).groupBy("scope", F.col("up").alias("node"))
+                .agg(F.sum(name).alias("_more")))
+        sums = durable(sums.join(more, ["scope", "node"], "left").select(
+            "scope", "node", (F.col(name) + F.coalesce("_more", F.lit(0))).alias(name)))
+    return sums
+
+
+def leaf_counts(lifted: Lifted) -> DataFrame:
+    """Leaves under every node (itself included): scope, node, n_leaves."""
+    return totals_below(lifted, F.col("is_leaf").cast("long"), "n_leaves")
 
 
 def leaf_places(messages: DataFrame, lifted: Lifted, order: list[str] | None = None, max_group: int = MAX_GROUP) -> DataFrame:
