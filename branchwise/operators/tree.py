@@ -163,14 +163,16 @@ def totals_below(lifted: Lifted, value: Column, name: str) -> DataFrame:
     """Sum of ``value`` over every node and all nodes under it: scope, node, ``name``, by doubling the depth looked at.
 
     After round k a node has the values of nodes less than 2^k below it; each node then adds its own sum to that of
-    its 2^k-th ancestor. Work is the number of nodes per round, whatever the length of their paths.
+    its 2^k-th ancestor. Work is the number of nodes per round, whatever the length of their paths. Every second round is written.
     """
     sums = lifted.placed.select("scope", "node", value.alias(name))
-    for jump in lifted.jumps:
+    for k, jump in enumerate(lifted.jumps, 1):
         more = (jump.join(sums, ["scope", "node"]).groupBy("scope", F.col("up").alias("node"))
                 .agg(F.sum(name).alias("_more")))
-        sums = durable(sums.join(more, ["scope", "node"], "left").select(
-            "scope", "node", (F.col(name) + F.coalesce("_more", F.lit(0))).alias(name)))
+        sums = sums.join(more, ["scope", "node"], "left").select(
+            "scope", "node", (F.col(name) + F.coalesce("_more", F.lit(0))).alias(name))
+        if k % 2 == 0 or k == len(lifted.jumps):
+            sums = durable(sums)
     return sums
 
 

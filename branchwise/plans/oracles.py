@@ -114,6 +114,19 @@ oracle("roots", ["m", "walk"], """
 oracle("children", ["m"], """
     SELECT parent_id, CAST(row_number() OVER (PARTITION BY parent_id ORDER BY created_s, msg_id) - 1 AS BIGINT) AS ord, msg_id AS child_id
     FROM m WHERE turn > 0""")
+PRE = """pre AS (
+    SELECT w.conv_id, w.turn, w.path, row_number() OVER (PARTITION BY w.conv_id ORDER BY w.path) AS enter, s.sdqc FROM walk w JOIN msg s USING (conv_id, turn)
+    UNION ALL SELECT conv_id, turn, list_slice([turn], 1, 0), 0, sdqc FROM msg WHERE turn = 0),
+below AS (
+    SELECT a.conv_id, a.turn AS top, b.turn, len(a.path) AS depth, len(b.path) - len(a.path) AS distance, a.enter, a.sdqc AS top_sdqc, b.sdqc
+    FROM pre a JOIN pre b ON a.conv_id = b.conv_id AND list_slice(b.path, 1, len(a.path)) = a.path)"""
+oracle("subtree", ["msg", "walk"], """
+    SELECT 'm' || conv_id || '_0' AS source_id, 'm' || conv_id || '_' || top AS msg_id, CAST(depth AS BIGINT) AS depth, CAST(enter AS BIGINT) AS enter,
+           CAST(enter + count(*) AS BIGINT) AS leave, CAST(count(*) FILTER (WHERE sdqc = 1) AS BIGINT) AS n_denying
+    FROM below GROUP BY conv_id, top, depth, enter""", extra=PRE)
+oracle("subtree_members", ["msg", "walk"], """
+    SELECT 'm' || conv_id || '_' || top AS top_id, 'm' || conv_id || '_0' AS source_id, 'm' || conv_id || '_' || turn AS msg_id, CAST(distance AS BIGINT) AS distance
+    FROM below WHERE top_sdqc = 1""", extra=PRE)
 oracle("thread_closure", ["m"], """
     SELECT source_id AS root_id, msg_id FROM m WHERE source_id IN (SELECT source_id FROM m WHERE sdqc = 1)""")
 oracle("root_dedupe", ["m"], """
@@ -459,6 +472,11 @@ oracle("merge_stores", ["m"], """
 oracle("upsert_store", ["m"], """
     SELECT source_id, msg_id, CASE WHEN truth = 0 THEN 'old' ELSE 'new' END AS origin FROM m""")
 ORACLES["q_upsert_store_files"] = ORACLES["q_upsert_store"]
+oracle("upsert_store_buckets", ["m"], """
+    SELECT source_id, msg_id, CASE truth WHEN 0 THEN 'old' WHEN 1 THEN 'new' ELSE 'newest' END AS origin FROM m WHERE truth < 2 OR turn = 0""")
+oracle("upsert_store_keys", ["m"], """
+    SELECT source_id, msg_id, CASE truth WHEN 0 THEN 'old' WHEN 1 THEN 'new' ELSE 'newest' END AS origin FROM m
+    WHERE (truth < 2 OR turn = 0) AND source_id IN (SELECT source_id FROM m WHERE sdqc = 1)""")
 oracle("corpus_union", ["m"], """
     SELECT 'threads' AS corpus, count(*) AS n, count(DISTINCT source_id) AS n_ids, CAST(sum(length(text)) AS BIGINT) AS chars FROM m
     UNION ALL SELECT 'documents', count(*), count(DISTINCT doc_id), CAST(sum(length(text)) AS BIGINT) FROM documents""")

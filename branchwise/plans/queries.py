@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from branchwise.functions import labels as lb, text as tx, times
 from branchwise.functions.vectors import cosine, dot
 from branchwise.models import epochs, hmm, majority, stance, word_vectors
-from branchwise.operators import agreement as ag, embed, lexicon as lx, merge, metrics as mt, neighbours, sequences as sq, splits, tree
+from branchwise.operators import agreement as ag, embed, intervals as iv, lexicon as lx, merge, metrics as mt, neighbours, sequences as sq, splits, tree
 from branchwise.operators.normalise import normalise, value_ranges, value_ranges_in_order
 from branchwise.operators.skew import prefix_sum, rank_rows
 from branchwise.plans import claims, evaluation, run
 from branchwise.plans import stance_features as sf
 from branchwise.session import configure, durable, scratch_path, spread
-from branchwise.sources import conversations as cv, sinks, store, tables
+from branchwise.sources import buckets, conversations as cv, sinks, store, tables
 from branchwise.sources import threads as threads_of
 from branchwise.sources.read import annotation_data, read_messages
 from branchwise.streaming import activity as st, quiet, threads as live
@@ -24,6 +24,7 @@ from branchwise.streaming import activity as st, quiet, threads as live
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 DIM = 64
 BRANCH = ["source_id", "leaf_id"]
+STORE_BUCKETS = 8
 
 # Small word lists that stand in for a user's own.
 LEXICON = [("swear_count", "fandens"), ("swear_count", "lort"), ("negation_count", "ikke"), ("negation_count", "nej"),
@@ -132,6 +133,25 @@ def children(spark, d):
     return tree.children(_messages(spark, d)).select("parent_id", *_long("ord"), "child_id")
 
 
+def _labels(spark, d) -> DataFrame:
+    """Intervals of all messages with their stance."""
+    m = durable(_messages(spark, d).select("source_id", "msg_id", "parent_id", "is_source", "created", "sdqc"))
+    return durable(iv.intervals(m).join(m.select("source_id", "msg_id", "sdqc"), ["source_id", "msg_id"]))
+
+
+@query
+def subtree(spark, d):
+    """Place of every message in the walk of its thread, and the denials in the part of the thread below it."""
+    return iv.sums_below(_labels(spark, d), (F.col("sdqc") == "Denying").cast("long"), "n_denying").drop("sdqc")
+
+
+@query
+def subtree_members(spark, d):
+    """The part of a thread below each denying message, with the distance to it."""
+    labels = _labels(spark, d)
+    return iv.members_below(labels, labels.where("sdqc = 'Denying'"))
+
+
 @query
 def thread_closure(spark, d):
     """Whole threads of all denying messages."""
@@ -858,6 +878,31 @@ def upsert_store_files(spark, d):
     return store.latest(spark, path)
 
 
+def _bucket_store(spark, d) -> str:
+    """The two stores as versions in bucket folders, compacted, then a version that cuts unverified threads down to their source."""
+    old, new = _two_stores(spark, d)
+    path = scratch_path(spark, "buckets")
+    buckets.append(old, path, 1, buckets=STORE_BUCKETS)
+    buckets.append(new, path, 2, buckets=STORE_BUCKETS)
+    buckets.compact(spark, path, buckets=STORE_BUCKETS, most=1)
+    sources = _messages(spark, d).where("is_source and truth = 'Unverified'")
+    buckets.append(sources.select("source_id", "msg_id", F.lit("newest").alias("origin")), path, 3, buckets=STORE_BUCKETS)
+    return path
+
+
+@query
+def upsert_store_buckets(spark, d):
+    """Newest rows of every thread from a base and a later version."""
+    return buckets.latest(spark, _bucket_store(spark, d))
+
+
+@query
+def upsert_store_keys(spark, d):
+    """The same for the threads in which someone denies, by a table of keys."""
+    path = _bucket_store(spark, d)
+    return buckets.latest_of(spark, path, _messages(spark, d).where("sdqc = 'Denying'").select("source_id"), buckets=STORE_BUCKETS)
+
+
 @query
 def corpus_union(spark, d):
     """Messages and documents as one corpus table."""

@@ -24,7 +24,7 @@ def bucket(key: str = "source_id", buckets: int = BUCKETS) -> Column:
 
 def _write(rows: DataFrame, path: str, key: str, buckets: int) -> None:
     (rows.withColumn("bucket", bucket(key, buckets)).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket")
-     .option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path))
+     .option(f"parquet.bloom.filter.enabled#{key}", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path))
 
 
 def append(rows: DataFrame, path: str, version: int, key: str = "source_id", buckets: int = BUCKETS) -> None:

@@ -61,7 +61,7 @@ def test_intervals_of_odd_threads(spark):
 
 
 def test_long_chain(spark):
-    n = 3_000
+    n = 500
     rows = [("s", "m0", None, 0, "x")] + [("s", f"m{i}", f"m{i - 1}", i % 1000, "x") for i in range(1, n)]
     messages = make(spark, [(("m0"), m, p, t, x) for _, m, p, t, x in rows])
     labels = iv.intervals(messages)

@@ -14,7 +14,8 @@ QUICK = ["q_thread_summary", "q_branches", "q_children", "q_mask_tweets", "q_mas
          "q_merge_stores", "q_agreement", "q_claim_decode", "q_activity_sessions", "q_reddit_file", "q_tweet_file", "q_stance_annotation_file",
          "q_claim_overview_file", "q_flagged_claims", "q_branch_tokens", "q_word_similarity", "q_pos_tag_lines", "q_sequences_skip_first",
          "q_sequence_casts", "q_majority_baseline", "q_first_occurrence", "q_previous_and_source", "q_matrix_file", "q_thread_stream",
-         "q_thread_folder_file", "q_claim_marks_file", "q_thread_selection", "q_epoch_file", "q_evaluation_sweep_majority"]
+         "q_thread_folder_file", "q_claim_marks_file", "q_thread_selection", "q_epoch_file", "q_evaluation_sweep_majority",
+         "q_subtree", "q_subtree_members", "q_upsert_store_buckets", "q_upsert_store_keys"]
 NO_SQL = {"q_hmm_fit_gaussian", "q_hmm_fit_discrete", "q_cross_corpus", "q_evaluation_sweep", "q_approximate_neighbours", "q_word_vectors_trained", "q_stance_model", "q_stance_epochs", "q_claim_predictions"}
 
 
