@@ -28,8 +28,11 @@ def _write(rows: DataFrame, path: str, key: str, buckets: int) -> None:
 
 
 def append(rows: DataFrame, path: str, version: int, key: str = "source_id", buckets: int = BUCKETS) -> None:
-    """Write one version; writing it again replaces it. ``key`` and ``buckets`` belong to a store for good."""
-    _write(rows, folder(path, version), key, buckets)
+    """Write one version; writing it again replaces it. ``key`` and ``buckets`` belong to a store for good.
+
+    Rows without a key belong to no thread and aren't stored; a version without rows changes nothing.
+    """
+    _write(rows.where(F.col(key).isNotNull()), folder(path, version), key, buckets)
 
 
 def _number(path: str) -> int:
@@ -41,7 +44,14 @@ def live_folders(spark: SparkSession, path: str) -> list[str]:
     bases = committed(spark, f"{path}/bases")
     base = bases[-1:]
     after = _number(base[0]) if base else -1
-    return base + [v for v in committed(spark, path) if "/version=" in v and _number(v) > after]
+    return _filled(spark, base + [v for v in committed(spark, path) if "/version=" in v and _number(v) > after])
+
+
+def _filled(spark: SparkSession, folders: Sequence[str]) -> list[str]:
+    """Those with a bucket: a version without rows has no file to read a schema from."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(folders[0]).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()) if folders else None
+    return [f for f in folders if any(s.isDirectory() for s in fs.listStatus(hadoop.Path(f)))]
 
 
 def _rows(spark: SparkSession, folders: Sequence[str]) -> DataFrame | None:

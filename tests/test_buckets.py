@@ -53,3 +53,13 @@ def test_compaction(spark):
     write(spark, path, 4, ["t"], 9)
     assert len(buckets.live_folders(spark, path)) == 2
     assert sorted(map(tuple, buckets.latest_of(spark, path, ["t", "t2"], buckets=8).collect())) == [("t", "t_0", 9), ("t", "t_1", 9), ("t2", "t2_0", 2), ("t2", "t2_1", 2)]
+
+
+def test_versions_without_rows_and_rows_without_key(spark):
+    path = scratch_path(spark, "buckets")
+    write(spark, path, 0, [], 0)
+    assert buckets.latest(spark, path) is None and buckets.latest_of(spark, path, ["a"], buckets=8) is None
+    write(spark, path, 1, ["a", None], 1, 1)
+    write(spark, path, 2, [], 2)
+    assert [tuple(r) for r in buckets.latest(spark, path).collect()] == [("a", "a_0", 1)]
+    assert buckets.latest_of(spark, path, [], buckets=8).collect() == []
