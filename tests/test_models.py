@@ -190,6 +190,18 @@ def test_a_grid_in_shared_passes_equals_its_configurations(spark):
     assert together == apart and len(together) == 6 * len(configs)
 
 
+def test_scores_of_the_grid_are_not_broadcast(spark):
+    seqs = durable(spark.createDataFrame(sequences(n=30), SEQ))
+    found = evaluation.evaluate_all(seqs, evaluation.grid(["early", "late"])[:1], ["early", "late"], folds=2, n_iter=1)
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    assert any("MapInPandas" in x for x in lines)
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            assert not any("MapInPandas" in x for x in lines[i:end])  # a row per branch and judge
+
+
 def test_parts_are_never_a_result(spark):
     from tests.test_tree import make
 
