@@ -7,6 +7,7 @@ before the shuffle) and made orthonormal again. Only products of ``dim`` by ``di
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,32 +19,92 @@ from branchwise.session import durable
 
 WINDOW = 5
 ROUNDS = 6
+#: Tokens that a task counts together.
+BLOCK = 2_000_000
+#: Bits that mark frequent words, 16 MB of them, and those in a row of Spark's bitmaps.
+MARKS, BUCKET_BITS = 1 << 27, 1 << 15
+
+
+def _marks(words: DataFrame) -> np.ndarray:
+    """A bit per checksum of a word, of fixed size whatever the vocabulary: other words may share a bit, none of these lacks its own."""
+    place = (_mark() + 1).alias("p")  # Spark counts them from 1
+    rows = (words.select(place).groupBy(F.bitmap_bucket_number("p").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect())
+    marks = np.zeros((MARKS // BUCKET_BITS, BUCKET_BITS // 8), np.uint8)
+    for r in rows:
+        marks[r["bucket"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return marks.ravel()
+
+
+def _mark():
+    return F.crc32("token") % MARKS
+
+
+def _pair_counter(marks, window: int):
+    """Counts of word pairs per block of sentences, on numbers that a word has in its block. Unmarked words form no pairs but keep their places."""
+    def counted(columns: list[pa.Array]) -> pa.RecordBatch:
+        lists = pa.concat_arrays(columns)
+        sizes = np.diff(lists.offsets.to_numpy())
+        coded = lists.flatten().dictionary_encode()
+        names, ids = coded.dictionary, coded.indices.fill_null(-1).to_numpy()
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        bits = marks.value
+        at = np.fromiter((zlib.crc32(n.as_buffer()) % MARKS for n in names), np.int64, len(names))
+        known = np.append((bits[at >> 3] >> (at & 7)) & 1, 0).astype(bool)[ids]  # the last place is that of nulls
+        found = []
+        for w in range(1, window + 1):
+            one, two = ids[:-w], ids[w:]
+            use = (of[:-w] == of[w:]) & known[:-w] & known[w:]
+            one, two = one[use].astype(np.int64), two[use]
+            found.append(np.minimum(one, two) * len(names) + np.maximum(one, two))
+        pairs, n = np.unique(np.concatenate(found), return_counts=True)
+        sides = [names.take(pa.array(x)) for x in (pairs // max(len(names), 1), pairs % max(len(names), 1))]
+        return pa.RecordBatch.from_arrays([*sides, pa.array(n, pa.int64())], ["a", "b", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch.column(0).drop_null())
+            size += len(held[-1].flatten())
+            if size >= BLOCK:
+                yield counted(held)
+                held, size = [], 0
+        if size:
+            yield counted(held)
+    return run
 
 
 def cooccurrences(sentences: DataFrame, tokens: str, window: int = WINDOW, min_count: int = 5) -> DataFrame:
-    """a, b, n: ordered pairs of different positions at most ``window`` apart, for words that occur ``min_count`` times or more."""
-    counted = sentences.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("_n"))
-    words = durable(counted.where(F.col("_n") >= min_count).select("token"))
-    t = F.col(tokens)
-    beside = lambda i: F.transform(F.slice(t, i + 2, F.lit(window)), lambda y: F.struct(
-        F.least(F.get(t, i), y).alias("a"), F.greatest(F.get(t, i), y).alias("b")))
-    pairs = sentences.where(F.size(t) > 1).select(F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size(t) - 1), beside))).alias("p"))
-    found = pairs.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))  # either order is one row up to here
+    """a, b, n: ordered pairs of different positions at most ``window`` apart, for words that occur ``min_count`` times or more.
+
+    Tasks count blocks of sentences and pass on a row per pair of a block. Rare words are left out by marks of the frequent ones; the few that share
+    a mark with one of those go by name.
+    """
+    counted = sentences.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("token is not null")
+    words = durable(counted.withColumn("mark", _mark()))
+    frequent = words.where(F.col("_n") >= min_count)
+    marks = sentences.sparkSession.sparkContext.broadcast(_marks(frequent))
+    blocks = sentences.select(F.col(tokens).cast("array<string>")).mapInArrow(_pair_counter(marks, window), "a string, b string, n long")
+    found = (blocks.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("n")))  # either order is one row
+    shared = durable(words.where(F.col("_n") < min_count).join(frequent.select("mark"), "mark", "left_semi").select("token"))
     for side in ("a", "b"):
-        found = found.join(words.withColumnRenamed("token", side), side, "left_semi")
+        found = found.join(shared.withColumnRenamed("token", side), side, "left_anti")
     same = F.col("a") == F.col("b")
     both = F.when(same, F.array(F.struct("a", "b", (2 * F.col("n")).alias("n")))).otherwise(
         F.array(F.struct("a", "b", "n"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "n")))
     return found.select(F.inline(both))
 
 
-def positive_information(counts: DataFrame) -> DataFrame:
-    """a, b, weight: ln(n * total / (n of a * n of b)), where it is positive."""
+def positive_information(counts: DataFrame, keep: bool = False) -> DataFrame:
+    """a, b, weight: ln(n * total / (n of a * n of b)), where it is positive. With ``keep`` all pairs stay with their ``n``, others without a weight."""
     sides = durable(counts.groupBy("a").agg(F.sum("n").alias("_n")))
     total = sides.agg(F.sum("_n")).scalar()
     weight = F.ln(F.col("n") * total / (F.col("_a") * F.col("_b")))
-    return (counts.join(sides.select("a", F.col("_n").alias("_a")), "a").join(sides.select(F.col("a").alias("b"), F.col("_n").alias("_b")), "b")
-            .select("a", "b", weight.alias("weight")).where("weight > 0"))
+    rows = (counts.join(sides.select("a", F.col("_n").alias("_a")), "a").join(sides.select(F.col("a").alias("b"), F.col("_n").alias("_b")), "b")
+            .select("a", "b", "n", weight.alias("weight")))
+    if keep:
+        return rows.withColumn("weight", F.when(F.col("weight") > 0, F.col("weight")))
+    return rows.select("a", "b", "weight").where("weight > 0")
 
 
 def _inner(table: DataFrame, left: str, right: str, dim: int) -> np.ndarray:

@@ -201,6 +201,27 @@ def test_planted_synonyms_are_nearest(spark):
     assert similar["kat", "mis"] > 0.9 and similar["bil", "vogn"] > 0.9 and similar["kat", "bil"] < 0.3
 
 
+def test_pairs_are_counted_before_they_are_passed_on(spark, monkeypatch):
+    from branchwise.models import word_vectors
+
+    monkeypatch.setattr(word_vectors, "MARKS", 1 << 15)  # among 3,000 words some share a mark
+    rows = [(["så", f"w{i}", "så", "ja", f"w{i % 40}", None],) for i in range(3000)] + [([],), (None,)]
+    docs = spark.createDataFrame(rows, "words array<string>").coalesce(1)
+    often = {"så", "ja"} | {f"w{i}" for i in range(40)}
+    want = {}
+    for (w,) in rows:
+        for i in range(len(w or [])):
+            for j in range(len(w)):
+                if i != j and abs(i - j) <= 3 and {w[i], w[j]} <= often:
+                    want[w[i], w[j]] = want.get((w[i], w[j]), 0) + 1
+    found = word_vectors.cooccurrences(docs, "words", window=3, min_count=5)
+    assert {(r.a, r.b): r.n for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("Generate") == 1  # both orders at the end; no row per pair of places before
+    information = word_vectors.positive_information(durable(found), keep=True).collect()
+    assert {(r.a, r.b): r.n for r in information} == want and any(r.weight is None for r in information)
+
+
 def test_factors_are_the_leading_eigenvectors(spark):
     import numpy as np
 
@@ -233,3 +254,21 @@ def test_approximate_neighbours_find_nine_of_ten(spark):
         near = np.argsort(-(y @ y[q]), kind="stable")
         hits += len(set(near[near != q][:10].tolist()) & set(found[q].values()))
     assert hits >= 0.9 * 600
+
+
+def test_neighbours_pass_on_the_best_of_each_table(spark):
+    import numpy as np
+
+    from branchwise.operators import neighbours
+
+    x = np.random.default_rng(5).standard_normal((400, 8))
+    rows = durable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "token long, vector array<double>"))
+    found = neighbours.approximate_neighbours(rows, rows.where("token % 50 = 0"), 5, bucket=400)  # two buckets, both looked up: exact
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and plan.count("SortMergeJoin") == 1  # vectors meet once, none is joined to pairs
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {q: [int(i) for i in np.argsort(-(y @ y[q]), kind="stable") if i != q][:5] for q in range(0, 400, 50)}
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.word, []).append(r.neighbour)
+    assert got == want
