@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by random hyperplanes: several tables, several probes, exact ranking of what they find.
 
 Every vector is in one bucket of each table, named by the sides of the table's hyperplanes it lies on. A query looks into its own bucket
-and those behind the planes it lies nearest to. Only pairs from a looked-up bucket are formed; each is ranked by its exact cosine.
+and those behind the planes it lies nearest to. Only pairs from a looked-up bucket are formed, with both vectors, and ranked by their exact cosine there; what is
+passed on is the best of each query and table.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ BUCKET = 64
 
 
 def _signatures(vectors: DataFrame, planes: np.ndarray, probes: int) -> DataFrame:
-    """token, table, bucket: the own bucket, and with ``probes`` those behind any of so many nearest planes."""
+    """token, vector, table, bucket: the own bucket, and with ``probes`` those behind any of so many nearest planes."""
     tables, bits, dim = planes.shape
     weights = 1 << np.arange(bits)
     flips = [c for n in range(min(probes, bits) + 1) for c in combinations(range(min(probes, bits)), n)]
@@ -36,12 +37,15 @@ def _signatures(vectors: DataFrame, planes: np.ndarray, probes: int) -> DataFram
             near = weights[np.argsort(np.abs(side), axis=-1)]  # planes by distance
             found = np.stack([own ^ sum((near[..., i] for i in c), np.zeros_like(own)) for c in flips], axis=-1)
             n, t, f = found.shape
-            token = batch.column(0).take(pa.array(np.repeat(np.arange(n), t * f)))
-            table = np.tile(np.repeat(np.arange(t), f), n)
-            yield pa.RecordBatch.from_arrays([token, pa.array(table, pa.int32()), pa.array(found.ravel(), pa.int64())], ["token", "table", "bucket"])
+            for at in range(0, n, 1000):
+                some = found[at:at + 1000]
+                copies = pa.array(np.repeat(np.arange(at, at + len(some)), t * f))
+                table = np.tile(np.repeat(np.arange(t), f), len(some))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(copies), batch.column(1).take(copies), pa.array(table, pa.int32()),
+                                                  pa.array(some.ravel(), pa.int64())], ["token", "vector", "table", "bucket"])
 
     kind = vectors.schema["token"].dataType.simpleString()
-    return vectors.select("token", "vector").mapInArrow(run, f"token {kind}, table int, bucket long")
+    return vectors.select("token", "vector").mapInArrow(run, f"token {kind}, vector array<double>, table int, bucket long")
 
 
 def approximate_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = TABLES, probes: int = PROBES,
@@ -55,11 +59,12 @@ def approximate_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10,
     dim = len(vectors.select("vector").first()[0]) if n else 1
     bits = max(1, round(np.log2(max(2, n / bucket))))
     planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
-    index = _signatures(rows, planes, 0).withColumnRenamed("token", "neighbour")
-    probed = _signatures(asked, planes, probes).withColumnRenamed("token", "word")
-    pairs = probed.join(index, ["table", "bucket"]).where("word <> neighbour").select("word", "neighbour").distinct()
-    scored = (pairs.join(asked.select(F.col("token").alias("word"), F.col("vector").alias("_q")), "word")
-              .join(rows.select(F.col("token").alias("neighbour"), F.col("vector").alias("_v")), "neighbour")
-              .select("word", "neighbour", dot(F.col("_q"), F.col("_v")).alias("similarity")))
-    order = Window.partitionBy("word").orderBy(F.desc("similarity"), "neighbour")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("word", "rank", "neighbour", "similarity")
+    index = _signatures(rows, planes, 0).withColumnsRenamed({"token": "neighbour", "vector": "_v"})
+    probed = _signatures(asked, planes, probes).withColumnsRenamed({"token": "word", "vector": "_q"})
+    # sorted into buckets on both sides: neither is sent whole to every task
+    scored = (probed.join(index.hint("merge"), ["table", "bucket"]).where("word <> neighbour")
+              .select("word", "table", "neighbour", dot(F.col("_q"), F.col("_v")).alias("similarity")))
+    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("similarity"), "neighbour"))
+    # a table holds a vector once, so its best are different vectors; the best of all tables are among them
+    found = scored.withColumn("rank", best("word", "table")).where(F.col("rank") <= k).groupBy("word", "neighbour").agg(F.max("similarity").alias("similarity"))
+    return found.withColumn("rank", best("word")).where(F.col("rank") <= k).select("word", "rank", "neighbour", "similarity")
