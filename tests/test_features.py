@@ -272,3 +272,15 @@ def test_neighbours_pass_on_the_best_of_each_table(spark):
     for r in sorted(found.collect(), key=lambda r: r["rank"]):
         got.setdefault(r.word, []).append(r.neighbour)
     assert got == want
+
+
+def test_matrices_are_not_shuffled(spark, vectors):
+    rows = spark.createDataFrame([("x", 7, ["a", "nope", "c", "a"], ["b"]), ("y", None, [], None), ("z", 1, ["nope"], ["c", None])],
+                                 "msg_id string, n int, own array<string>, other array<string>")
+    known = {r.token: list(r.vector) for r in vectors.collect()}
+    want = {"x": (7, [known["a"], known["c"], known["a"]], [known["b"]]), "y": (None, None, None), "z": (1, None, [known["c"]])}
+    for limit, exchanges in ((1 << 20, 1), (0, None)):
+        found = embed.token_matrices(rows, ["msg_id"], {"mine": "own", "theirs": "other"}, vectors, limit)
+        assert {r.msg_id: (r.n, r.mine, r.theirs) for r in found.collect()} == want
+        if exchanges:  # the rows before they have vectors
+            assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == exchanges
