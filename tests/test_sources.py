@@ -232,3 +232,16 @@ def test_whole_jobs(spark, reddit_dir, tmp_path):
     seqs = run.claim_table(spark, reddit_dir, "reddit", timestamps=False, rumours_only=True, out=str(tmp_path / "s"), out_format="tsv")
     assert seqs.count() == 2
     assert sorted([o.stance for o in r.obs] for r in tables.sequences(spark, str(tmp_path / "s")).collect()) == [[1, 2], [1, 3]]
+
+
+def test_small_files_are_listed_and_read_in_tasks(spark, tmp_path):
+    from branchwise.sources import files, threads
+
+    rows = [(f"t {i}/annotation.json", '{"true": "1"}') for i in range(30)] + [("t 0/reactions/é.json", "{}"), ("t 1/structure.json", "﻿å")]
+    files.write_texts(spark.createDataFrame(rows, "path string, value string"), f"{tmp_path}/threads/en/all")
+    (tmp_path / "threads/en/all/t 2/.hidden.json").write_text("no")
+    found = {r.path[len(str(tmp_path)):]: r.value for r in files.texts(spark, f"{tmp_path}/threads", "*/*/*/*.json").collect()}
+    assert found == {f"/threads/en/all/{p}": v.lstrip("﻿") for p, v in rows if "é" not in p}
+    overview = threads.veracity_overview(spark, str(tmp_path))
+    assert not any("annotation.json" in name for name in overview.inputFiles())  # no list of them on the driver
+    assert {r.source_id for r in overview.collect()} == {f"t {i}" for i in range(30)}
