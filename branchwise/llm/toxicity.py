@@ -6,11 +6,12 @@ ending stay close to what was learnt. Words get a mark for their start and end;
 are read as those; letters written one by one (i d i o t) are read as one word as well.
 
 Training (on the driver, from bounded samples): labelled texts are cut into sentences that inherit the label, of which only some words
-deserve it. Words are counted by label with the pairs of neighbours they stand between (copies of a sentence count once). A first guess by
-counts is followed by ``TURNS`` turns: the machine is fitted on Nyström features (the kernel to ``LANDMARKS`` words, whitened), then words seen
-only in toxic texts are relabelled by its verdict. As the machine is linear in kernels to landmarks, it becomes one weight
-per run of three characters, which scores any word without looking at landmarks again. A text is scored whole: a logistic
-regression over the highest verdicts of its words, how many are positive, and its length.
+deserve it. Words are counted by label with the pairs of neighbours they stand between (copies of a sentence count once). A first guess takes
+words that stand in toxic texts more often than chance explains, given how many words there are: a rare word that happens to stand in toxic texts
+only is no insult. ``TURNS`` turns follow: the machine is fitted on Nyström features (the kernel to ``LANDMARKS`` words, whitened), then words
+seen only in toxic texts are relabelled by its verdict and the same chance. As the machine is linear in kernels to landmarks, it becomes one
+weight per run of three characters, which scores any word without looking at landmarks again. A text is scored whole: a logistic
+regression over the highest verdicts of its words, how many are positive, and its length. Both labels weigh the same in it, whatever their shares.
 
 At most ``SAMPLE`` labelled texts of each label are used (a hash of the id decides), at most ``VOCABULARY`` words of them
 (those of most neighbours first) and as many landmarks as named. Everything else covers all rows.
@@ -39,6 +40,7 @@ DECAY = 0.6
 SPAN = 7
 LANDMARKS = 300
 TURNS = 3
+RIDGE = 2e-3
 SAMPLE = 4000
 VOCABULARY = 30_000
 PIECE = 24
@@ -217,14 +219,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _sample(labels: DataFrame, label: str, most: int) -> tuple[DataFrame, dict[int, float]]:
-    """Labelled ids to learn from, about ``most`` of each label by a hash of the id, and the part of each label's rows that they are."""
+def _sample(labels: DataFrame, label: str, most: int) -> DataFrame:
+    """Labelled ids to learn from, about ``most`` of each label by a hash of the id."""
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(
         "doc_id", F.col(label).cast("int").alias("_label")).distinct()
     sizes = {r[0]: r[1] for r in usable.groupBy("_label").count().collect()}
     part = {k: min(1.0, most / n) for k, n in sizes.items()}
     share = F.when(F.col("_label") == 1, part.get(1, 1.0)).otherwise(part.get(0, 1.0))
-    return usable.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < share * 1_000_000), part
+    return usable.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < share * 1_000_000)
 
 
 def _word_counts(texts: DataFrame) -> DataFrame:
@@ -243,6 +245,14 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     return pairs.groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
 
 
+def _beyond_chance(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """Per word, minus the logarithm of how many of these words chance would place in toxic sentences as often (Chernoff's bound)."""
+    n = np.maximum(toxic + clean, 1)
+    share, usual = toxic / n, np.clip(toxic.sum() / n.sum(), 1e-9, 1 - 1e-9)
+    bits = share * np.log(np.maximum(share, 1e-12) / usual) + (1 - share) * np.log(np.maximum(1 - share, 1e-12) / (1 - usual))
+    return np.where(share > usual, n * bits, 0.0) - np.log(len(toxic))
+
+
 def _learn_words(words: list[str], toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, float]:
     """Weight per run of three and offset, from words and their counts by label.
 
@@ -252,7 +262,10 @@ def _learn_words(words: list[str], toxic: np.ndarray, clean: np.ndarray) -> tupl
     only = clean == 0
     total = max(toxic.sum(), 1), max(clean.sum(), 1)
     ratio = np.log((toxic + 0.1) / total[0]) - np.log((clean + 0.1) / total[1])
-    positive = (toxic >= 3) & (ratio > 3) & (toxic >= 20 * clean)
+    often, beyond = (toxic >= 3) & (ratio > 3) & (toxic >= 20 * clean), _beyond_chance(toxic, clean)
+    positive = often & (beyond > 0)
+    if not positive.any():  # too few rows to tell from chance
+        positive = often
     if not positive.any():
         positive = ratio >= np.quantile(ratio, 0.999)
     first = np.argsort(-(toxic * positive), kind="stable")[:LANDMARKS // 2]
@@ -277,7 +290,8 @@ def _learn_words(words: list[str], toxic: np.ndarray, clean: np.ndarray) -> tupl
         verdict = np.full(len(words), -np.inf)
         np.maximum.at(verdict, owner, decided)
         former, best = best, decided == verdict[owner]
-        new = only & (toxic >= 2) & (verdict > 0.3) | positive & (verdict > -0.3)
+        wrong = ((verdict[clean > 0] > 0.3).sum() + 1) / ((clean > 0).sum() + 1)  # part of harmless words with such a verdict
+        new = only & (toxic >= 2) & (verdict > 0.3) & (beyond > np.log(wrong)) | positive & (verdict > -0.3)
         if not new.any() or np.array_equal(new, positive) and np.array_equal(best[new[owner]], former[new[owner]]):
             break
         positive = new
@@ -285,12 +299,14 @@ def _learn_words(words: list[str], toxic: np.ndarray, clean: np.ndarray) -> tupl
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ridge grows with the rows: where verdicts part the labels without fault, the boundary stays in the middle of the gap."""
+    ridge = np.append(np.full(x.shape[1], max(1e-2, RIDGE * len(x))), 1e-2)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        step = np.linalg.solve(z.T @ (z * (count * p * (1 - p) + 1e-9)[:, None]) + 1e-2 * np.eye(len(w)), z.T @ (count * (y - p)) - 1e-2 * w)
+        step = np.linalg.solve(z.T @ (z * (count * p * (1 - p) + 1e-9)[:, None]) + np.diag(ridge), z.T @ (count * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -309,7 +325,7 @@ def _pooled_rows(texts: DataFrame, model: Model, label: str) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Model:
     """Learn from a sample of the labelled rows that are not held out. ``docs``: doc_id, text; ``labels``: doc_id and the label."""
-    ids, part = _sample(labels, label, sample)
+    ids = _sample(labels, label, sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("_label", "text")  # at most about 2 * sample ids
     counted = _word_counts(texts).where("word <> '' and toxic + clean >= 2").orderBy(F.desc(F.greatest(F.col("toxic") * 10, F.col("clean"))), "word").limit(vocabulary).toPandas()
     words, toxic, clean = counted["word"].tolist(), counted["toxic"].to_numpy(float), counted["clean"].to_numpy(float)
@@ -321,8 +337,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
         return blank
     blank.runs, blank.offset = _learn_words(words, toxic, clean)
     rows = _pooled_rows(texts, blank, "_label").toPandas().to_numpy(float)
-    stands_for = np.where(rows[:, 0] == 1, 1 / part[1], 1 / part[0])
-    blank.pool, blank.mean, blank.scale = _logistic(rows[:, 1:], rows[:, 0], stands_for / stands_for.mean())
+    toxic_rows = rows[:, 0] == 1
+    blank.pool, blank.mean, blank.scale = _logistic(rows[:, 1:], rows[:, 0], len(rows) / 2 / np.where(toxic_rows, max(toxic_rows.sum(), 1), max((~toxic_rows).sum(), 1)))
     return blank
 
 

@@ -308,6 +308,27 @@ def test_toxicity_on_held_out_rows_and_disguises(spark):
     assert got[0] < 0.5 and min(got[1:]) > got[0] and got[1] > 0.5
 
 
+def test_rare_words_of_toxic_texts_are_not_learnt(spark):
+    """Words of one or two texts each, many of them in toxic texts only by chance: they say nothing about other rare words."""
+    rng = np.random.default_rng(3)
+    parts = ["th", "er", "on", "an", "in", "re", "ou", "ti", "le", "st", "en", "ha"]
+    made = lambda: "".join(rng.choice(parts, rng.integers(3, 7)))
+    rows, labels = [], []
+    rare = [made() for _ in range(20_000)]
+    for i in range(1500):
+        body = [str(w) for w in rng.choice(rare, 60)]
+        if i % 3 == 0:
+            for w in rng.choice(["moron", "scum", "trash", "clown"], 2):
+                body.insert(int(rng.integers(0, 60)), str(w))
+        rows.append((i, " ".join(body)))
+        labels.append((i, int(i % 3 == 0)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    held = toxicity.score(docs, model).where(toxicity.held_out(F.col("doc_id"))).join(labels, "doc_id").collect()
+    assert np.mean([r.predicted for r in held if r.toxic]) > 0.95 and np.mean([r.predicted for r in held if not r.toxic]) < 0.03
+    assert np.mean(model.verdicts([made() for _ in range(2000)]) > 0) < 0.02
+
+
 @pytest.mark.parametrize("short", [True, False])
 def test_long_words_are_learnt_in_pieces(short):
     rng = np.random.default_rng(4)
