@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from branchwise.models import hmm, majority
+from branchwise.models import hmm, majority, stance
 from branchwise.operators import metrics as mt, sequences as sq, splits
 from branchwise.plans import evaluation
 from branchwise.session import durable
@@ -313,3 +313,23 @@ def test_gradients_equal_differences():
             step[i] = 1e-5
             slope = (epochs.gradient(setting, w + step, x, y, weight)[-2] - epochs.gradient(setting, w - step, x, y, weight)[-2]) / 2e-5
             assert abs(slope - found[i]) < 1e-5
+
+
+def test_stance_features_meet_each_vector_once(spark):
+    """Values by hand, and a join for each of own, previous, branch and source vector besides the branch's sum."""
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0])], "token string, vector array<double>")
+    said = {"s": ["a"], "x": ["b", "?"], "y": ["a", "b"], "z": ["?"], "t": ["?"], "w": ["a"]}
+    threads = {"s": ["s", "x", "y", "z"], "t": ["t", "w"]}
+    messages = spark.createDataFrame([(k, v) for k, v in said.items()], "msg_id string, tokens array<string>")
+    members = spark.createDataFrame([(s, m[-1], i, k) for s, m in threads.items() for i, k in enumerate(m)], "source_id string, leaf_id string, pos int, msg_id string")
+    context = spark.createDataFrame([(k, m[i], s, m[-1]) for s, m in threads.items() for i, k in enumerate(m[1:])], "msg_id string, prev_id string, source_id string, leaf_id string")
+    found = stance.vector_features(messages, context, members, vectors, 2, ["source_id", "leaf_id"])
+    got = {r.msg_id: r.features.toArray() for r in found.collect()}
+    total = {k: sum((np.array({"a": [1.0, 0.0], "b": [0.0, 2.0]}.get(w, [0.0, 0.0])) for w in v), np.zeros(2)) for k, v in said.items()}
+    cos = lambda u, v: u @ v / np.linalg.norm(u) / np.linalg.norm(v)
+    pool = sum(total[k] for k in threads["s"])
+    assert set(got) == {"x", "y"}  # z knows no token, the source of w neither
+    for k, before in (("x", "s"), ("y", "x")):
+        want = [*total[k] / len(said[k]), *total["s"], cos(total[k], total["s"]), cos(total[k], total[before]), cos(total[k], pool)]
+        np.testing.assert_allclose(got[k], want)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 5
