@@ -626,6 +626,46 @@ def test_runs_are_jumped_and_irregular_groups_resolved():
     assert alignment.align(np.zeros(0, np.int32), np.zeros(0, np.int32)) == ([], [])
 
 
+def test_alignment_keeps_few_stretches_between_tasks(spark, monkeypatch):
+    import pyarrow as pa
+
+    tools = public_file("byte_bpe_50k.json"), public_file("piece_bpe_32k.model")
+    texts = [f"ord{i} hest{i % 50} kø" for i in range(3000)]
+    monkeypatch.setattr(alignment, "CHUNK_CHARS", 2000)
+    monkeypatch.setattr(alignment, "REMEMBER", 4000)
+    alignment.pair_of.cache_clear()
+    seen = []
+
+    class Docs:
+        """Stands in for a table: hands the task's function over."""
+        doc_id = text = 0
+
+        def __getitem__(self, name):
+            return self
+
+        def cast(self, kind):
+            return self
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            seen.append(run)
+
+    alignment.blocks(Docs(), *tools, chars=10_000)
+    monkeypatch.setattr(alignment.TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 3})()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(texts)], ["doc_id", "text"])
+    found = [b.to_pylist()[0] for b in seen[0](iter([batch]))]
+    assert len(found) > 3 and sum(len(b["doc_id"]) for b in found) == 3000
+    tool = alignment.pair_of(*tools)
+    assert 0 < len(tool.known) <= 1000 == alignment.REMEMBER // 4  # a worker that waits or does the next step holds few
+    for b in found:  # every document's pairs and how many of the block's documents hold each
+        assert b["pairs"] == sorted(set(b["pairs"])) and len(b["which"]) == sum(b["own"]) == sum(b["docs"]) and sum(b["times"]) == sum(b["n_links"])
+    monkeypatch.setattr(alignment, "REMEMBER", 100)  # what is forgotten on the way is asked for again
+    again = [b.to_pylist()[0] for b in seen[0](iter([batch]))]
+    assert again == found
+
+
 def test_alignment_odd_rows(odd, empty):
     tools = public_file("byte_bpe_50k.json"), public_file("piece_bpe_32k.model")
     assert sorted(r.n_links == 0 for r in alignment.links(odd, *tools).collect()) == [False] * 6 + [True] * 2
