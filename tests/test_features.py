@@ -222,6 +222,44 @@ def test_pairs_are_counted_before_they_are_passed_on(spark, monkeypatch):
     assert {(r.a, r.b): r.n for r in information} == want and any(r.weight is None for r in information)
 
 
+def test_pair_counts_take_bounded_steps(monkeypatch):
+    """However long a batch or one list is, no step holds the pairs of more than a block, and cells add up to plain counts."""
+    import random
+    import zlib
+    from collections import Counter
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from branchwise.models import word_vectors
+
+    rng = random.Random(5)
+    words = [f"ø{i}" for i in range(60)]
+    often = set(words[:40])
+    rows = [[rng.choice([*words, None]) for _ in range(n)] for n in (2000, 0, 1, 3, 700)] + [None]
+    bits = np.zeros(word_vectors.MARKS // 8, np.uint8)
+    for w in often:
+        at = zlib.crc32(w.encode()) % word_vectors.MARKS
+        bits[at >> 3] |= 1 << (at & 7)
+    want = Counter()
+    for r in rows[:-1]:
+        for i, one in enumerate(r):
+            for two in r[i + 1:i + 4]:
+                if {one, two} <= often:
+                    want[tuple(sorted((one, two)))] += 1
+    for name, value in (("BLOCK", 50), ("PART", 60), ("MERGE", 100), ("ROWS", 7)):
+        monkeypatch.setattr(word_vectors, name, value)
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], ["words"])
+    packed = list(word_vectors._pair_counter(SimpleNamespace(value=bits), 3, 5)(iter([batch, batch])))
+    assert len(packed) > 100 and max(sum(b.column("size").to_pylist()) for b in packed) <= 50 * 3
+    assert {c for b in packed for c in b.column("cell").to_pylist()} == set(range(15))
+    found = list(word_vectors._cell_adder(iter(packed)))
+    assert max(map(len, found)) <= 7
+    counts = [(*sorted((r["a"], r["b"])), r["n"]) for b in found for r in b.to_pylist()]
+    assert len(counts) == len(want) and {(a, b): n for a, b, n in counts} == {k: 2 * n for k, n in want.items()}
+
+
 def test_factors_are_the_leading_eigenvectors(spark):
     import numpy as np
 
