@@ -311,5 +311,6 @@ def factorise(weights: DataFrame, dim: int, rounds: int = ROUNDS, seed: int = 42
 
 def train(sentences: DataFrame, tokens: str, dim: int = 300, window: int = WINDOW, min_count: int = 5, rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
     """Word vectors of ``dim`` numbers as a (token, vector) table."""
-    vectors = factorise(positive_information(cooccurrences(sentences, tokens, window, min_count)), dim, rounds, seed)
+    pairs = durable(pair_counts(sentences, tokens, window, min_count))
+    vectors = factorise(pair_information(pairs), dim, rounds, seed)
     return vectors.select("token", F.col("vector").cast("array<float>").alias("vector"))

@@ -260,6 +260,22 @@ def test_pair_counts_take_bounded_steps(monkeypatch):
     assert len(counts) == len(want) and {(a, b): n for a, b, n in counts} == {k: 2 * n for k, n in want.items()}
 
 
+def test_training_counts_pairs_once(spark, monkeypatch):
+    from branchwise.models import word_vectors
+
+    docs = spark.createDataFrame([(["a", "b", "a", "c"],)] * 6, "words array<string>")
+    plans = []
+
+    def seen(weights, *rest):
+        plans.append(weights._jdf.queryExecution().optimizedPlan().toString())
+        assert {tuple(r) for r in weights.select("a", "b").collect()} == {(r.a, r.b) for r in word_vectors.positive_information(word_vectors.cooccurrences(docs, "words")).collect()}
+        return spark.createDataFrame([], "token string, vector array<double>")
+
+    monkeypatch.setattr(word_vectors, "factorise", seen)
+    word_vectors.train(docs, "words", dim=2)
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]  # read from the stored table, which the words' sums came from too
+
+
 def test_factors_are_the_leading_eigenvectors(spark):
     import numpy as np
 
